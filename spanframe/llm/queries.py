@@ -12,7 +12,7 @@ from spanframe.llm.byte_bpe import round_trip
 from spanframe.llm.common import table
 from spanframe.llm.exact_dedup import exact_groups
 from spanframe.llm.mixing import mix
-from spanframe.llm.secrets import secret_report
+from spanframe.llm.secret_scan import secret_report
 from spanframe.llm.token_counts import count_tokens
 
 #: Characters that lower a document's quality weight in the mix.
@@ -86,5 +86,5 @@ ORACLE_SQL = {
           FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
         )
         SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (epochs * size + greatest(least(round_even(budget, 0)::BIGINT - ahead, size), 0))::BIGINT AS taken FROM o""",
+               (epochs * size + greatest(least(round(budget)::BIGINT - ahead, size), 0))::BIGINT AS taken FROM o""",
 }
