@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once it has been counted.
-BROADCAST_ROWS = 10_000
+#: Rows up to which a side of a few numbers and digests may be broadcast once it has been counted.
+BROADCAST_ROWS = 100_000
 #: `[\x20\x09-\x0D]`, the white space of the text contracts.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -81,3 +81,19 @@ def training_row(doc_id: str = "doc_id") -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, mod 5, is 0; a null id counts as the text of none: held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+#: A group of at least 1 / HOT of all rows is hot, so there are at most HOT hot groups.
+HOT = 1000
+
+
+def by_hot_key(rows: DataFrame, answers: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined to the one answer of their key. answers.rows is how many rows have the key.
+
+    Hot keys, at most HOT of them, are broadcast; in the shuffle that joins the others no key has over 1 / HOT of all rows.
+    """
+    is_hot = F.col("rows") >= F.greatest(F.lit(2), F.lit(n_rows // HOT + 1))
+    columns = [*rows.columns, *[c for c in answers.columns if c not in (key, "rows")]]
+    marked = rows.join(F.broadcast(answers.where(is_hot).drop("rows").withColumn("hot", F.lit(True))), key, "left")
+    cold = marked.where("hot is null").select(*rows.columns).join(answers.where(~is_hot).drop("rows"), key)
+    return marked.where("hot").select(*columns).unionByName(cold.select(*columns))

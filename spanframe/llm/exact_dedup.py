@@ -20,11 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import SPACE, Scratch, checked_broadcast, text_or_empty
+from spanframe.llm.common import SPACE, Scratch, by_hot_key, checked_broadcast, text_or_empty
 
 SALTS = 64
-#: A group is hot from this share of all rows on; so there are at most HOT hot groups.
-HOT = 1000
 
 
 def normalised(c: Column) -> Column:
@@ -52,27 +50,27 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     n_rows, most_texts = total.first()
 
     light = rows.select("doc_id", "digest")
-    out = _answers(light, by_digest.where("texts = 1").drop("texts"), n_rows)
+    out = by_hot_key(light, by_digest.where("texts = 1").drop("texts"), "digest", n_rows)
+    out = out.select("doc_id", "keep_id", "group_size", "text_sha256")
     if (most_texts or 1) > 1:
         several = by_digest.where("texts > 1").select("digest")
         texts = winners.join(several, "digest", "left_semi").select("digest", "norm", "keep_id", "group_size", "text_sha256")
         exact = rows.join(checked_broadcast(several), "digest", "left_semi").join(texts, ["digest", "norm"])
-        out = out.unionByName(exact.select(*out.columns))
+        out = out.unionByName(exact.select("doc_id", "keep_id", "group_size", "text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def _answers(light: DataFrame, answers: DataFrame, n_rows: int) -> DataFrame:
-    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    hot = answers.where(F.col("rows") >= F.greatest(F.lit(2), F.lit(n_rows // HOT + 1))).withColumn("hot", F.lit(True)).drop("rows")
-    cold = answers.where(F.col("rows") < F.greatest(F.lit(2), F.lit(n_rows // HOT + 1))).drop("rows")
-    marked = light.join(F.broadcast(hot), "digest", "left")
-    by_shuffle = marked.where("hot is null").select("doc_id", "digest").join(cold, "digest")
-    return marked.where("hot").select(*columns).unionByName(by_shuffle.select(*columns))
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat one doc_id and text, one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    keyed = docs.withColumn("own_sha", F.sha2(normalised(text_or_empty()), 256))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "own_sha"]).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "copies")
+    groups = scratch.save(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "groups")
+    gone = groups.where("not kept").select("doc_id", "text_sha256").distinct()
+    twice = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.sha2(normalised(text_or_empty()), 256).alias("sha"))
+    same = lambda other: F.col("id").eqNullSafe(other["doc_id"]) & (F.col("sha") == other["text_sha256"])
+    gone, n_twice = checked_broadcast(gone), twice.count()
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if n_twice:
+        twice = checked_broadcast(twice, n_twice)
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["id", "sha"]))
+    return kept.select("row.*")

@@ -27,6 +27,8 @@ from spanframe.llm.mixing import draw
 ORDER, DIMS, SAMPLE, EPOCHS, SCALE = 3, 1 << 17, 6_000, 2, 100.0
 WORDS_KEPT, LONGEST_KEPT = 400_000, 48
 UNKNOWN = "und"
+#: Calibrated probability below which a text counts as of no language. It is low, as short texts in a language stay.
+REJECT_BELOW = 0.3
 
 
 def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,5 +178,22 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
     return rows.mapInArrow(run, schema)
 
 
+def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a language of at least this score."""
+    spark = docs.sparkSession
+    small_batches(spark, 1000)
+    model = fit(docs, sample)
+    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = LanguageModel(*shared.value)
+        for b in batches:
+            keep = [lang != UNKNOWN and score >= least for lang, score in own.predict(b.column(at).to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -92,3 +92,11 @@ def mix(docs: DataFrame, quality: Column | None = None, share: float = 1.5, most
     out = others.unionByName(edge)
     copies = F.col("epochs") + (2 * F.col("more") >= F.greatest(F.col("size"), F.lit(1))).cast("int")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("epochs") * F.col("size") + F.col("more")).alias("taken"))
+
+
+def draw_mix(docs: DataFrame, quality: Column | None = None, **options) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it as a whole; rows of one doc_id alike."""
+    copies = mix(docs, quality, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    drawn = keyed.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm.byte_bpe import round_trip
-from spanframe.llm.common import table
+from spanframe.llm.common import Scratch, table
 from spanframe.llm.exact_dedup import exact_groups
+from spanframe.llm.embedding_dedup import near_duplicates
+from spanframe.llm.id_files import read_ids, write_ids
+from spanframe.llm.language_id import language_report
 from spanframe.llm.mixing import mix
+from spanframe.llm.ngram_join import jaccard_groups
 from spanframe.llm.secret_scan import secret_report
 from spanframe.llm.token_counts import count_tokens
+from spanframe.llm.toxicity import toxicity_report
 
 #: Characters that lower a document's quality weight in the mix.
 NOISE = "0123456789#$%&*+/<=>@^_{|}~"
@@ -35,20 +40,46 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality_weight()).drop("copies")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "ids").path("documents")
+    write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_byte_bpe, op6_source_mix, op9_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_exact_dedup, op3_ngram_join, op4_byte_bpe, op5_embedding_dedup,
+        op6_source_mix, op7_language_id, op8_id_files, op9_secret_scan, op10_toxicity,
+    )
 }
 
 ORACLE_SQL = {
@@ -60,6 +91,33 @@ ORACLE_SQL = {
                  first_value(doc_id) OVER (PARTITION BY norm ORDER BY size DESC, doc_id) AS keep_id FROM d
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+    "op3_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+          SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS grams FROM w
+        ), e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+        ), p AS (
+          SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+          GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p
+        ), r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.v FROM r JOIN l ON r.seen = l.u
+        ), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.node""",
+    "op5_embedding_dedup": r"""
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+        ), g AS (
+          SELECT * FROM e WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+            AND len(list_filter(x, lambda y: y <> 0)) > 0
+        ), l AS (
+          SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+        ), r AS (SELECT vec_id AS node, vec_id AS seen FROM e UNION SELECT r.node, l.v FROM r JOIN l ON r.seen = l.u
+        ), c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node
+        ), n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM e JOIN c ON e.vec_id = c.node LEFT JOIN n ON e.vec_id = n.u""",
     "op6_source_mix": rf"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
