@@ -51,14 +51,16 @@ class Shingler:
         self.index: dict[bytes, int] = {}
         self.hashes, self.scores = np.zeros(4096, np.uint64), np.zeros(4096, np.int64)
 
+    def make_room(self) -> None:
+        if len(self.index) > CACHE:
+            self.reset()
+
     def words(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
         try:
             return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         except KeyError:
             pass
-        if len(self.index) > CACHE:
-            self.reset()
         for w in set(words).difference(self.index):
             i = self.index[w] = len(self.index)
             if i == len(self.hashes):
@@ -67,28 +69,36 @@ class Shingler:
             self.hashes[i], self.scores[i] = h, self.frequent.get(h, 0)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
-    def shingles(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct hashes, scores) of a text's words; a higher score is a more frequent shingle."""
+    def all_shingles(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of a text's shingles in order, repeated ones too."""
         k = min(self.width, len(at))
         if not k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h, s = np.full(len(at) - k + 1, k, np.uint64), np.zeros(len(at) - k + 1, np.int64)
+            return np.zeros(0, np.uint64)
+        words = self.hashes[at]
+        h = np.full(len(at) - k + 1, k, np.uint64)
         for i in range(k):
-            part = at[i : len(at) - k + 1 + i]
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[part]
-            s += self.scores[part]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(at) - k + 1 + i]
         for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        h ^= h >> np.uint64(33)
+        return h ^ (h >> np.uint64(33))
+
+    def shingles(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, scores) of a text's words; a higher score is a more frequent shingle."""
+        h = self.all_shingles(at)
+        scores = np.cumsum(np.concatenate([[0], self.scores[at]]))
+        k = min(self.width, len(at))
         h, first = np.unique(h, return_index=True)
-        return h, s[first]
+        return h, scores[first + k] - scores[first]
 
 
 def prefix(h: np.ndarray, scores: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The shingles that a similar set must share one of: rarest first, common ones last."""
     n = len(h)
     most = n - (percent * n + 99) // 100 + 1
-    last = np.isin(h, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+    last = np.zeros(n, bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        last = common[at] == h
     rank = ((last.astype(np.uint64) << np.uint64(10)) + np.minimum(scores, 1023).astype(np.uint64)) << np.uint64(53)
     order = rank | (h >> np.uint64(11))
     return h[np.argpartition(order, most - 1)[:most]] if most < n else h
@@ -102,36 +112,60 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+#: Shingles that are counted together; with so many buckets few of them need exact counts.
+CHUNK, BUCKET_BITS = 2_000_000, 20
+
+
+def frequent_in(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of those that occur at least `least` times."""
+    bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    h = h[np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= least]
+    h, n = np.unique(h, return_counts=True)
+    return h[n >= least], n[n >= least]
+
+
 def _statistics(width: int):
+    """Counts of frequent words and of shingles that are common somewhere; every text counts, rare entries are left out."""
+
     def run(batches):
-        own, words, total, held, docs = Shingler(width), {}, 0, [], 0
-        out: list[tuple] = []
+        own, words, total, out = Shingler(width), {}, 0, []
+        held, docs, size, seen = [], 0, 0, []
+
+        def count_words():
+            if seen:
+                n = np.bincount(np.concatenate(seen), minlength=len(own.index))
+                for i in np.flatnonzero(n).tolist():
+                    h = int(own.hashes[i])
+                    words[h] = words.get(h, 0) + int(n[i])
+                seen.clear()
 
         def close():
+            nonlocal docs, size
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                often = n >= max(8, docs * COMMON)
-                out.extend(("shingle", int(a), int(c)) for a, c in zip(h[often].view(np.int64), n[often], strict=True))
+                h, n = frequent_in(np.concatenate(held), max(8, int(docs * COMMON)))
+                out.extend(("shingle", a, c) for a, c in zip(h.view(np.int64).tolist(), n.tolist(), strict=True))
+            held.clear()
+            docs = size = 0
 
         for b in batches:
             for text in b.column(0).to_pylist():
+                if len(own.index) > CACHE:
+                    count_words()
+                    own.reset()
                 at = own.words(text)
-                for w, n in zip(*np.unique(own.hashes[at], return_counts=True), strict=True) if len(at) > 4096 else ():
-                    words[w] = words.get(w, 0) + n
-                if len(at) <= 4096:
-                    for w in own.hashes[at].tolist():
-                        words[w] = words.get(w, 0) + 1
+                seen.append(at)
                 total += len(at)
-                held.append(own.shingles(at)[0])
-                docs += 1
-                if docs == 4096 or sum(map(len, held[-64:])) > 4_000_000:
+                held.append(own.all_shingles(at))
+                docs, size = docs + 1, size + len(at)
+                if size > CHUNK:
                     close()
-                    held, docs = [], 0
-            if len(words) > 1_000_000:
-                words = {w: n for w, n in words.items() if n > 1}
+                    count_words()
+                    if len(words) > 2_000_000:
+                        words = {w: n for w, n in words.items() if n > 1}
         close()
+        count_words()
         least = max(2, total * FREQUENT / 4)
-        out += [("word", int(np.uint64(w).view(np.int64)), int(n)) for w, n in words.items() if n >= least] + [("words", 0, total)]
+        out += [("word", int(np.uint64(w).view(np.int64)), n) for w, n in words.items() if n >= least] + [("words", 0, total)]
         columns = [pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))]
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "hash", "n"])
 
@@ -145,6 +179,7 @@ def _sketches(width: int, percent: int, shared):
         for b in batches:
             found = []
             for text in b.column(1).to_pylist():
+                own.make_room()
                 h, s = own.shingles(own.words(text))
                 if len(h):
                     found.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), prefix(h, s, common, percent).view(np.int64), bitmap(h)))
@@ -196,6 +231,14 @@ def _whole_places(batches):
         yield held
 
 
+def folded(bits: int, width: int, to: int) -> int:
+    """A bitmap at a smaller width: halves laid over each other."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
+
+
 class Signature:
     """A node of a signature tree, or a class: size range, component if it is one, bitmaps by width."""
 
@@ -215,9 +258,7 @@ class Signature:
             else:
                 below = []
                 for size, _, _, own, bits in self.members:
-                    while own > width:
-                        own //= 2
-                        bits = (bits >> own) | (bits & ((1 << own) - 1))
+                    bits = folded(bits, own, width)
                     below.append((bits, size - bits.bit_count()))
             union = 0
             for bits, _ in below:
@@ -305,7 +346,8 @@ def _sets(width: int, shared):
         for b in batches:
             rows = np.flatnonzero(wanted[np.asarray(b.column(2))])
             texts = b.column(1).take(pa.array(rows)).to_pylist()
-            sets = [own.shingles(own.words(t))[0].tobytes() for t in texts]
+            own.make_room()
+            sets = [np.unique(own.all_shingles(own.words(t))).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
@@ -326,6 +368,29 @@ def _similar(percent: int):
     return run
 
 
+def _bitmaps_allow(percent: int):
+    """Pairs whose bitmaps leave room for enough overlap: a bit that one alone has is a shingle that the other lacks."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for n, x, m, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                width = 8 * min(len(x), len(y))
+                x, y = (folded(int.from_bytes(z, "little"), 8 * len(z), width) for z in (x, y))
+                most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+                ok.append(most * (100 + percent) >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
+
+    return run
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that their bitmaps don't rule out."""
+    side = lambda c, n, bits: classes.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("bits").alias(bits))
+    joined = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v")
+    return joined.select("u", "v", "n", "x", "m", "y").mapInArrow(_bitmaps_allow(percent), "u long, v long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough; sets are made again only for texts in a pair."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
@@ -338,7 +403,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratc
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"), slot("doc_id").alias("slot"))
     sets = scratch.save(texts.mapInArrow(_sets(width, shared), "doc_id long, shingles binary"), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-    return scratch.save(joined.select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long").distinct(), name)
+    links = scratch.save(joined.select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long").distinct(), name)
+    scratch.drop(f"{name}-sets")
+    return links
 
 
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -363,8 +430,10 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     sketch = texts.mapInArrow(_sketches(width, percent, shared), "doc_id long, n long, digest binary, prefix array<long>, bits binary")
     sketch = scratch.save(sketch, "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
+    light = scratch.save(sketch.select("doc_id", "n", "digest"), "light")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = scratch.save(classes, "classes")
+    scratch.drop("sketch")
 
     # round 1: each class and the smallest of its place
     placed = classes.select("rep", "n", F.explode("prefix").alias("key")).join(F.broadcast(common), F.col("key") == F.col("hash"), "left")
@@ -376,7 +445,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     across = leaders.join(first, "key").where((F.col("lead") != F.col("least.lead")) & (100 * F.col("least.lead_n") >= percent * F.col("lead_n")))
     pairs = places.where("rep != lead").select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"))
     pairs = pairs.unionByName(across.select(F.least("lead", "least.lead").alias("u"), F.greatest("lead", "least.lead").alias("v"))).distinct()
-    pairs = scratch.save(pairs, "pairs")
+    pairs = scratch.save(plausible(pairs, classes, percent), "pairs")
     links = verified(pairs, docs, width, percent, scratch, "links")
     roots = scratch.save(connected_components(links, scratch, "first"), "roots")
 
@@ -389,13 +458,14 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
     dealt = met.select(group, (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "root", "bits").repartition("group").sortWithinPartitions("group")
     more = dealt.mapInArrow(_tree_join(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    more = scratch.save(more, "more")
+    more = scratch.save(plausible(more, classes, percent), "more")
     links = links.unionByName(verified(more, docs, width, percent, scratch, "more-links"))
     roots = connected_components(links, scratch, "second")
 
     answers = classes.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.col("copies").alias("rows"), F.coalesce("root", "rep").alias("component_id"))
+    full = light.where("n > 0 and doc_id is not null")
     grouped = by_hot_key(full.select("doc_id", F.col("n").alias("n_shingles"), "digest"), answers, "digest", n_docs)
-    alone = sketch.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = light.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
