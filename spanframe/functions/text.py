@@ -39,7 +39,7 @@ def collapse_space(text: Column) -> Column:
 
 def is_calendar_date(text: Column) -> Column:
     """Whether the text is YYYY-MM-DD and names a day that exists; false for null."""
-    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}\z") & F.try_to_date(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}\z") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def utf8_bytes(text: Column) -> Column:

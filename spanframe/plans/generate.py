@@ -148,7 +148,9 @@ def slot_sql(k: str = "k", tier: str = "tier") -> dict[str, str]:
     street = f"concat({_pick(lexicon.ROADS, f'{k} * 3')}, {_pick(lexicon.ROAD_SUFFIXES, k)}, CAST({k} % 3 + 1 AS VARCHAR(20)), '段', CAST({k} % 300 + 1 AS VARCHAR(20)), '號')"
     partial = f"({tier} = 'hard' AND {k} % 5 < 3)"
     wide = wide_sql(k, tier)
-    full = lambda sql: f"CASE WHEN {wide} THEN translate({sql}, '{ASCII.replace(chr(39), chr(39) * 2).replace(chr(92), '')}', '{FULLWIDTH.replace('＼', '')}') ELSE {sql} END"
+    narrow = "".join(c for c in ASCII if c not in "'\\\\")
+    broad = narrow.translate(_WIDE)
+    full = lambda sql: f"CASE WHEN {wide} THEN translate({sql}, '{narrow}', '{broad}') ELSE {sql} END"
     return {
         "PERSON": person,
         "ADDRESS": full(f"CASE WHEN {partial} THEN {place} ELSE concat({place}, {street}) END"),
