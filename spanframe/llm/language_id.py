@@ -13,6 +13,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import checked_broadcast, held_out, small_batches, training_row
+from spanframe.llm.common import checked_broadcast, held_out, kept_by_worker, small_batches, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
 ORDER, DIMS, SAMPLE, EPOCHS, SCALE = 3, 1 << 17, 6_000, 2, 100.0
-WORDS_KEPT, LONGEST_KEPT = 400_000, 48
+WORDS_KEPT, LONGEST_KEPT = 200_000, 48
 UNKNOWN = "und"
 #: Calibrated probability below which a text counts as of no language. It is low, as short texts in a language stay.
 REJECT_BELOW = 0.3
@@ -164,12 +165,12 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
     spark = docs.sparkSession
     small_batches(spark, 1000)
     model = model or fit(docs, sample)
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale))
+    shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     rows = docs.select(*keep, F.col("text").alias("text_to_identify"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        own = LanguageModel(*shared.value)
+        own = kept_by_worker(("language", key), lambda: LanguageModel(*shared.value))
         for b in batches:
             found = list(own.predict(b.column(b.num_columns - 1).to_pylist()))
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
@@ -183,11 +184,11 @@ def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW, sample: int
     spark = docs.sparkSession
     small_batches(spark, 1000)
     model = fit(docs, sample)
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale))
+    shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches):
-        own = LanguageModel(*shared.value)
+        own = kept_by_worker(("language", key), lambda: LanguageModel(*shared.value))
         for b in batches:
             keep = [lang != UNKNOWN and score >= least for lang, score in own.predict(b.column(at).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -23,6 +23,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import Scratch, by_hot_key, checked_broadcast, small_batches, text_or_empty
+from spanframe.llm.common import Scratch, by_hot_key, checked_broadcast, kept_by_worker, small_batches, text_or_empty
 from spanframe.llm.components import connected_components
 
 BLOCK, LEAF = 2048, 8
 #: Shares from which words count as frequent and shingles as common, and bounds of the two broadcast tables.
 FREQUENT, COMMON, MOST_ENTRIES = 1e-5, 1 / 512, 1 << 18
 FILTER_BITS = 1 << 25
-CACHE = 500_000
+CACHE = 250_000
 
 
 class Shingler:
@@ -128,7 +129,7 @@ def _statistics(width: int):
     """Counts of frequent words and of shingles that are common somewhere; every text counts, rare entries are left out."""
 
     def run(batches):
-        own, words, total, out = Shingler(width), {}, 0, []
+        own, words, total, out = kept_by_worker(("shingles", width), lambda: Shingler(width)), {}, 0, []
         held, docs, size, seen = [], 0, 0, []
 
         def count_words():
@@ -173,9 +174,11 @@ def _statistics(width: int):
 
 
 def _sketches(width: int, percent: int, shared):
+    key = uuid.uuid4().hex
+
     def run(batches):
         frequent, common = shared.value
-        own = Shingler(width, frequent)
+        own = kept_by_worker(("sketches", width, key), lambda: Shingler(width, frequent))
         for b in batches:
             found = []
             for text in b.column(1).to_pylist():
@@ -342,7 +345,7 @@ def _tree_join(percent: int):
 
 def _sets(width: int, shared):
     def run(batches):
-        own, wanted = Shingler(width), np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
+        own, wanted = kept_by_worker(("shingles", width), lambda: Shingler(width)), np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
         for b in batches:
             rows = np.flatnonzero(wanted[np.asarray(b.column(2))])
             texts = b.column(1).take(pa.array(rows)).to_pylist()
