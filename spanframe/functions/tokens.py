@@ -26,7 +26,7 @@ def unknown_spans(text: Column, tokens: Column, offsets: Column, unknown: Column
     return F.transform(pairs, lambda p: F.struct(p["o"][0].alias("start"), p["o"][1].alias("end"), cut(p).alias("text")))
 
 
-def rebuild_offsets(text: Column, tokens: Column, unknown: str = "[UNK]") -> Column:
+def rebuild_offsets(text: Column, tokens: Column, unknown: tuple[str, ...] = ("[UNK]", "<unk>")) -> Column:
     """Offsets of content tokens from their texts alone, null where a token can't be found.
 
     A token's text is looked for from a cursor on. A token without text takes no characters. An unknown token reaches up
@@ -36,7 +36,7 @@ def rebuild_offsets(text: Column, tokens: Column, unknown: str = "[UNK]") -> Col
     """
     size = F.length(text)
     find = lambda piece, at: F.call_function("locate", piece, text, at + 1)
-    known = lambda t: t.isNotNull() & (t != unknown)
+    known = lambda t: t.isNotNull() & ~t.isin(*unknown)
     zero = F.struct(F.lit(0).alias("cursor"), F.array().cast(OFFSETS).alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -48,9 +48,9 @@ def rebuild_offsets(text: Column, tokens: Column, unknown: str = "[UNK]") -> Col
         found_bound = find(bound, at) - 1
         unknown_end = F.when(bound.isNotNull() & (found_bound > at), found_bound).otherwise(F.least(at + 1, size))
         found = find(piece, at) - 1
-        missing = (token != unknown) & (piece != "") & (found < 0)
-        start = F.when((token == unknown) | (piece == ""), at).otherwise(found)
-        end = F.when(token == unknown, unknown_end).when(piece == "", at).otherwise(found + F.length(piece))
+        missing = ~token.isin(*unknown) & (piece != "") & (found < 0)
+        start = F.when(token.isin(*unknown) | (piece == ""), at).otherwise(found)
+        end = F.when(token.isin(*unknown), unknown_end).when(piece == "", at).otherwise(found + F.length(piece))
         entry = F.when(~missing, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
         return F.struct(F.when(missing, size).otherwise(end).cast("int").alias("cursor"), F.concat(acc["out"], F.array(entry)).alias("out"))
 

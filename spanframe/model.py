@@ -15,17 +15,16 @@ SPANS = f"array<{SPAN}>"
 EXAMPLE = f"id string, text string, entities {SPANS}, tier string, seed int, template_id string"
 GOLD = f"id string, text string, spans {SPANS}, tier string"
 PREDICTIONS = f"id string, spans {SPANS}"
-SCORES = "precision double, recall double, f1 double, tp long, fp long, fn long"
-LABEL_SCORES = "struct<" + ",".join(f"{x}:struct<precision:double,recall:double,f1:double,tp:bigint,fp:bigint,fn:bigint>" for x in ("ADDRESS", "ORG", "PERSON", "micro")) + ">"
+LABEL_SCORES = "struct<" + ",".join(f"{x}:struct<p:double,r:double,f1:double,tp:bigint,fp:bigint,fn:bigint>" for x in ("ADDRESS", "ORG", "PERSON", "micro")) + ">"
 TIER_SCORES = "struct<" + ",".join(f"{t}:struct<exact_micro_f1:double,overlap_micro_f1:double>" for t in SCORED_TIERS) + ">"
 #: A result document. Every field may be missing: unevaluated systems have few, and older files lack newer fields.
 RESULT = f"""
   status string, reason string,
   metadata struct<model_id:string,model_version:string,size_mb:double,data_leaves_machine:boolean,bytes_sent:bigint,
-    package_versions:map<string,string>,hardware:string,python:string,run_at:string,testset_path:string,testset_sha256:string,
+    package_versions:map<string,string>,hardware:string,python:string,date_utc:string,testset_path:string,testset_sha256:string,
     n_examples:bigint,parse_failures:bigint,unlocated_spans:bigint,relocated_spans:bigint,ignored_spans:bigint,span_location:string>,
   config struct<label_mapping:map<string,string>,params:string>,
-  metrics struct<exact:{LABEL_SCORES},overlap:{LABEL_SCORES},negatives:struct<n:bigint,fired:bigint,fpr:double>,
+  metrics struct<exact:{LABEL_SCORES},overlap:{LABEL_SCORES},negatives:struct<n:bigint,examples_with_any_prediction:bigint,fpr:double>,
     false_entities_per_1000_chars:double,by_tier:{TIER_SCORES}>,
   latency_ms struct<p50:double,p95:double,mean:double,n:bigint,warmup:bigint>
 """

@@ -18,7 +18,7 @@ WARMUP = 10
 
 def base_metadata(path: str, sha256: str, n: int) -> dict:
     now = datetime.now(UTC).isoformat(timespec="seconds")
-    return {"hardware": platform.platform(), "python": platform.python_version(), "run_at": now, "testset_path": path, "testset_sha256": sha256, "n_examples": n}
+    return {"hardware": platform.platform(), "python": platform.python_version(), "date_utc": now, "testset_path": path, "testset_sha256": sha256, "n_examples": n}
 
 
 def unevaluated(reason: str, base: dict) -> dict:
@@ -30,12 +30,12 @@ def metrics(gold: DataFrame, predictions: DataFrame) -> dict[str, dict]:
     """The metrics of every system, from three small results of one join."""
     joined = join_predictions(gold, predictions).persist()
     counts = row_counts(joined)
-    rates = ("precision", "recall", "f1", "tp", "fp", "fn")
+    rates = {"p": "precision", "r": "recall", "f1": "f1", "tp": "tp", "fp": "fp", "fn": "fn"}
     out: dict[str, dict] = {}
     for r in score_by_label(counts).collect():
-        out.setdefault(r.system, {x: {} for x in RULES})[r.rule][r.label] = {k: r[k] for k in rates}
+        out.setdefault(r.system, {x: {} for x in RULES})[r.rule][r.label] = {short: r[k] for short, k in rates.items()}
     for r in negatives(joined).collect():
-        out[r.system]["negatives"] = {"n": r.n, "fired": r.fired, "fpr": r.fpr}
+        out[r.system]["negatives"] = {"n": r.n, "examples_with_any_prediction": r.fired, "fpr": r.fpr}
     for r in false_per_1000(joined).collect():
         out[r.system]["false_entities_per_1000_chars"] = r.false_per_1000
     for r in score_by_tier(counts).collect():
