@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanframe.functions.text import strip_marker
 
@@ -58,7 +59,7 @@ def rebuild_offsets(text: Column, tokens: Column, unknown: tuple[str, ...] = ("[
     return F.aggregate(places, zero, step, lambda acc: acc["out"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC normalisation, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
