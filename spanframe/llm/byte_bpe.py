@@ -22,22 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import small_batches, text_or_empty
-from spanframe.llm.pretokens import frequent_pretokens, worker_table
+from spanframe.llm.pretokens import byte_characters, frequent_pretokens, worker_table
 
 ENTRIES, TABLE_ROWS = 32_768, 1_024
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself where it prints, else one from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table, spare = {b: chr(b) for b in plain}, 0x100
-    for b in range(256):
-        if b not in table:
-            table[b] = chr(spare)
-            spare += 1
-    return [table[b] for b in range(256)]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     rows = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
     return {base64.b64decode(token): int(rank) for token, rank in rows}

@@ -22,6 +22,20 @@ CACHE_ENTRIES = 350_000
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level BPE: itself where it prints, else one from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table, spare = {b: chr(b) for b in plain}, 0x100
+    for b in range(256):
+        if b not in table:
+            table[b] = chr(spare)
+            spare += 1
+    return [table[b] for b in range(256)]
+
+
+BYTE_CHARACTERS = dict(enumerate(byte_characters()))
+
+
 class Splitter:
     """The split of one tokenizer definition, if it is one that can be done here."""
 
@@ -96,6 +110,7 @@ class PretokenTable:
         self.table = dict(frequent)
         self.frequent, self.value = frequent, value
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model  # its pre-tokens are written in the characters of the byte table
         self.splitter = Splitter(definition)
 
     def learn(self, lists: list[list[str]]) -> None:
@@ -103,8 +118,9 @@ class PretokenTable:
         if len(self.table) + len(missing) > CACHE_ENTRIES + len(self.frequent):
             self.table = dict(self.frequent)
             missing = list(set().union(*lists).difference(self.table))
-        for token, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.table[token] = self.value(e.ids)
+        tokenize, value = self.model.tokenize, self.value
+        for token in missing:
+            self.table[token] = value([t.id for t in tokenize(token.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
 
     def lookup(self, texts: list[str], combine, group: int = 64):
         """combine(values of the pre-tokens) of each text; whole is the library's answer where the table can't serve."""
