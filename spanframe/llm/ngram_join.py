@@ -106,8 +106,12 @@ def prefix(h: np.ndarray, scores: np.ndarray, common: np.ndarray, percent: int)
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """The token bitmap: one bit a shingle in the next power of two of bits, 64 at least."""
-    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    """The token bitmap: one bit a shingle, in a power of two of bits, at least 4 times as many as shingles and 512.
+
+    A share of exp(-1/4) or more of the shingles that another set lacks has a bit that the other has not, so bitmaps
+    leave few pairs open besides those just under the threshold.
+    """
+    bits = max(512, 4 << (len(h) - 1).bit_length()) if len(h) else 512
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -242,6 +246,14 @@ def folded(bits: int, width: int, to: int) -> int:
     return bits
 
 
+def bitmaps_allow(n: int, x: int, x_width: int, m: int, y: int, y_width: int, percent: int) -> bool:
+    """Whether two sets of n and m shingles may overlap enough: a bit that one alone has is a shingle that the other lacks."""
+    width = min(x_width, y_width)
+    x, y = folded(x, x_width, width), folded(y, y_width, width)
+    most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return most * (100 + percent) >= percent * (n + m)
+
+
 class Signature:
     """A node of a signature tree, or a class: size range, component if it is one, bitmaps by width."""
 
@@ -300,7 +312,9 @@ def dual_traversal(a: Signature, b: Signature, percent: int):
                 stack += [(p, q) for i, p in enumerate(x.parts) for q in x.parts[i:]]
         elif may_overlap(x, y, percent):
             if not x.parts and not y.parts:
-                yield x.members[0][1], y.members[0][1]
+                (n, u, _, a, bits), (m, v, _, b, other) = x.members[0], y.members[0]
+                if bitmaps_allow(n, bits, a, m, other, b, percent):
+                    yield u, v
             elif x.parts and (not y.parts or len(x.members) >= len(y.members)):
                 stack += [(p, y) for p in x.parts]
             else:
@@ -372,16 +386,13 @@ def _similar(percent: int):
 
 
 def _bitmaps_allow(percent: int):
-    """Pairs whose bitmaps leave room for enough overlap: a bit that one alone has is a shingle that the other lacks."""
+    """Pairs whose bitmaps leave room for enough overlap."""
 
     def run(batches):
         for b in batches:
             ok = []
             for n, x, m, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                width = 8 * min(len(x), len(y))
-                x, y = (folded(int.from_bytes(z, "little"), 8 * len(z), width) for z in (x, y))
-                most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
-                ok.append(most * (100 + percent) >= percent * (n + m))
+                ok.append(bitmaps_allow(n, int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y), percent))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
     return run
