@@ -107,8 +107,9 @@ def _compare(threshold: float):
 
     def links(ids, side, key, copies, vectors, keys, out):
         n = len(ids)
-        lo = np.flatnonzero(side == 0) if side.any() else np.arange(n)
-        hi = np.flatnonzero(side == 1) if side.any() else lo
+        alone = side[0] == 2
+        lo = np.arange(n) if alone else np.flatnonzero(side == 0)
+        hi = lo if alone else np.flatnonzero(side == 1)
         width = {len(v) for v in vectors}
         for w in width:
             a, b = (np.array([i for i in part if len(vectors[i]) == w], int) for part in (lo, hi))
@@ -118,7 +119,7 @@ def _compare(threshold: float):
             unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in unit]
             i, j = np.nonzero(unit[0] @ unit[1].T >= threshold)
             i, j = a[i], b[j]
-            if not side.any():
+            if alone:
                 i, j = i[i < j], j[i < j]
             if not len(i):
                 continue
@@ -191,8 +192,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.xxhash64("label", "key", F.least("own", "other"), F.greatest("own", "other"))
-    # in a pair of blocks the lower is side 0 and the higher side 1; a block with itself has one side
-    side = (F.col("own") > F.col("other")).cast("int")
+    # in a pair of blocks the lower is side 0 and the higher side 1; a block with itself is side 2
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     dealt = placed.select(group.alias("group"), side.alias("side"), "key", "class_id", "copies", "embedding", "keys", "label")
     dealt = dealt.repartition("group").sortWithinPartitions("group").drop("label")
     found = scratch.save(dealt.mapInArrow(_compare(threshold), "u long, v long, links long"), "found")
