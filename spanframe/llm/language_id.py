@@ -37,7 +37,7 @@ def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     padded = "".join([f" {w} " for w in words])
     chars = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    hashes, owners, h = [], [], np.zeros(len(chars), np.uint64)
+    hashes, owners, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(chars), np.uint64)
     for n in range(1, ORDER + 1):
         if len(chars) < n:
             break

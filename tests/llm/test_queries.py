@@ -1,0 +1,64 @@
+"""The registered corpus queries against their oracles, and the pipeline against its own parts by brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import compare
+import corpus_pipeline
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+from spanframe.llm import byte_bpe
+from spanframe.llm.queries import ORACLE_SQL, QUERIES
+
+SF = f"{compare.DATA}/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_oracle(spark, name):
+    assert compare.differences(QUERIES[name](spark, SF), ORACLE_SQL[name], SF) == []
+
+
+def test_there_is_one_query_an_operator():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def shingle_set(text, width=5):
+    words = re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+        after = docs.collect()
+        ids = {r.doc_id for r in after}
+        assert ids <= set(before) and all(r == before[r.doc_id] for r in after)
+        if name == "language_id":
+            assert {i for i, r in before.items() if r.text and any(map(str.isalpha, r.text))} == ids
+        elif name == "exact_dedup":
+            assert Counter(re.sub("[ \t-\r]", "", before[i].text) for i in ids) == Counter({re.sub("[ \t-\r]", "", r.text): 1 for r in before.values()})
+        elif name == "ngram_dedup":
+            sets = {i: shingle_set(r.text) for i, r in before.items()}
+            near = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+            gone = set(before) - ids
+            assert not any(near(a, b) for a in ids for b in ids if a < b)
+            assert all(any(near(a, b) for b in before if b != a) for a in gone)
+        else:
+            assert 0 < len(after) and max(Counter(r.doc_id for r in after).values()) <= 2
+        docs, before = spark.createDataFrame(after, docs.schema), {r.doc_id: r for r in after}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in docs.collect())
+    for r in last:
+        assert r.n_tokens == len(library.encode_ordinary(before[r.doc_id].text))
+        assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest()
+
+
+def test_pipeline_run(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
