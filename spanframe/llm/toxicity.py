@@ -37,13 +37,17 @@ IDENTITY_TERMS = (
 )
 #: Lengths of the beginnings of words that are features besides the words.
 BEGINNINGS = (4, 5)
+NAMED = frozenset(t for group in IDENTITY_TERMS for t in group)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words, and the beginnings of the longer ones, marked, which forms of one root share."""
+    """The distinct words, and the beginnings of the longer ones, marked, which forms of one root share.
+
+    Identity terms have no beginnings as features, so that a swap changes all there is of them.
+    """
     words = set(WORD.findall(text.lower()))
-    longer = [w for w in words if len(w) > BEGINNINGS[0]]
+    longer = [w for w in words if len(w) > BEGINNINGS[0] and w not in NAMED]
     return words.union(*[{f"^{w[:n]}" for w in longer} for n in BEGINNINGS])
 
 
@@ -65,27 +69,39 @@ def counterfactual(words: set[str], terms: tuple[tuple[str, ...], ...]) -> set[s
     return {swap.get(w, w) for w in words}
 
 
-def fit_words(examples: list[tuple[set[str], int]], terms=IDENTITY_TERMS, penalty: float = PENALTY, epochs: int = EPOCHS, least: int = 3, l1: float | None = None, l2: float = 0.5, alpha: float = 1.0) -> ToxicityModel:
-    """A model of (words, 0 or 1) examples; words that fewer than `least` of them hold are left out.
+def fit_words(examples: list[tuple[set[str], int]], **options) -> ToxicityModel:
+    """A model of (words, 0 or 1) examples."""
+    words = [sorted(w) for w, _ in examples]
+    flat = pa.array([w for own in words for w in own], pa.string())
+    return fit_flat(flat, np.array([len(own) for own in words], int), np.array([y for _, y in examples], int), **options)
+
 
-    The L1 penalty follows the number of toxic examples, PER_TOXIC of them to a unit, between LEAST_L1 and MOST_L1: few examples bear
-    a small penalty only, and with many of them a word must show its worth.
+def fit_flat(flat: pa.Array, lengths: np.ndarray, labels: np.ndarray, terms=IDENTITY_TERMS, penalty: float = PENALTY, epochs: int = EPOCHS, least: int = 3, l1: float | None = None, l2: float = 0.5, alpha: float = 1.0) -> ToxicityModel:
+    """A model of examples whose words lie in one array; words that fewer than `least` of them hold are left out.
+
+    The L1 penalty follows the number of toxic examples, PER_TOXIC of them to a unit, between LEAST_L1 and MOST_L1: few
+    examples bear a small penalty only, and with many of them a word must show its worth.
     """
-    if not any(y for _, y in examples):
+    if not labels.any():
         return ToxicityModel({}, 0.0, 1.0, learned=False)
-    seen: dict[str, int] = {}
-    for words, _ in examples:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    named = {t for group in terms for t in group}
-    at = {w: i for i, w in enumerate(sorted({w for w, n in seen.items() if n >= least} | named))}
-    data = []
-    for words, y in examples:
-        own = {at[w] for w in words if w in at}
-        other = {at[w] for w in counterfactual(words, terms) if w in at} if named & words else own
-        both = sorted(own | other)
-        change = np.array([(i in own) * 1.0 - (i in other) for i in both])
-        data.append((np.array(sorted(own), int), y, np.array(both, int), change))
+    coded = flat.dictionary_encode()
+    codes = np.asarray(coded.indices)
+    often = np.flatnonzero(np.bincount(codes, minlength=len(coded.dictionary)) >= least)
+    frequent = dict(zip(coded.dictionary.take(pa.array(often)).to_pylist(), often.tolist(), strict=True))
+    names = sorted(frequent.keys() | {t for group in terms for t in group})
+    at = {w: i for i, w in enumerate(names)}
+    place = np.full(len(coded.dictionary) + 1, -1)
+    for w, code in frequent.items():
+        place[code] = at[w]
+    swap = {at[t]: at[group[(i + 1) % len(group)]] for group in terms for i, t in enumerate(group)}
+    data, start = [], 0
+    for n, y in zip(lengths.tolist(), labels.tolist(), strict=True):
+        own = np.unique(place[codes[start : start + n]])
+        own, start = own[own >= 0], start + n
+        mine = set(own.tolist())
+        other = {swap.get(i, i) for i in mine} if mine & swap.keys() else mine
+        both = sorted(mine ^ other)
+        data.append((own, y, np.array(both, int), np.array([1.0 if i in mine else -1.0 for i in both])))
     train, tune = [x for i, x in enumerate(data) if i % 5], data[::5]
     positive = sum(x[1] for x in train)
     l1 = max(LEAST_L1, min(MOST_L1, positive / PER_TOXIC)) if l1 is None else l1
@@ -94,7 +110,7 @@ def fit_words(examples: list[tuple[set[str], int]], terms=IDENTITY_TERMS, penalt
     for _ in range(epochs):
         for own, y, both, change in train:
             model.step(own, np.ones(len(own)), y, cost[y])
-            if change.any():
+            if len(both):
                 model.agree(both, change, penalty)
     logits = np.array([model.logits(own, np.ones(len(own))) for own, *_ in tune]).reshape(len(tune), 2)
     scale = temperature(logits, np.array([x[1] for x in tune], int))
@@ -120,10 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
 
     schema = picked.select("draw", "doc_id", F.col("toxic").cast("int").alias("toxic")).schema.add("words", T.ArrayType(T.StringType()))
     rows = texts.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(features, schema).toArrow()
-    order = pc.sort_indices(rows, [("draw", "ascending"), ("doc_id", "ascending")])
-    rows = rows.take(order)
-    examples = [(set(w.as_py()), int(y.as_py() == 1)) for w, y in zip(rows.column("words"), rows.column("toxic"), strict=True)]
-    return fit_words(examples, **options)
+    rows = rows.take(pc.sort_indices(rows, [("draw", "ascending"), ("doc_id", "ascending")])).combine_chunks()
+    if not rows.num_rows:
+        return ToxicityModel({}, 0.0, 1.0, learned=False)
+    words = rows.column("words").combine_chunks()
+    return fit_flat(words.flatten(), np.diff(np.asarray(words.offsets)), (np.asarray(rows.column("toxic")) == 1).astype(int), **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
