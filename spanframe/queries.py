@@ -191,11 +191,13 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     median(cold) FILTER (error IS NULL AND NOT timed_out) AS cold_load_ms_median, min(cold) FILTER (error IS NULL AND NOT timed_out) AS cold_load_ms_min,
     max(cold) FILTER (error IS NULL AND NOT timed_out) AS cold_load_ms_max, median(first) FILTER (error IS NULL AND NOT timed_out) AS first_inference_ms_median,
     min(first) FILTER (error IS NULL AND NOT timed_out) AS first_inference_ms_min, max(first) FILTER (error IS NULL AND NOT timed_out) AS first_inference_ms_max FROM r GROUP BY ALL)
-  SELECT s.*, latency_p50, latency_p95, latency_n FROM s LEFT JOIN p USING (model, condition)""")
+  SELECT s.* REPLACE (round_even(cold_load_ms_median, 6) AS cold_load_ms_median, round_even(first_inference_ms_median, 6) AS first_inference_ms_median),
+    round_even(latency_p50, 6) AS latency_p50, round_even(latency_p95, 6) AS latency_p95, latency_n FROM s LEFT JOIN p USING (model, condition)""")
 def run_summary_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model"), "user_id").agg(F.min("value").alias("cold_load_ms"), F.max("value").alias("first_inference_ms"), F.collect_list("value").alias("latencies_ms"))
     runs = runs.withColumns({"condition": (F.col("user_id") % 2).cast("string"), "error": F.when(F.col("user_id") % 7 == 0, "failed"), "timed_out": F.col("user_id") % 11 == 0})
-    return scoring.run_summary(runs)
+    found = scoring.run_summary(runs)
+    return found.withColumns({c: X.half_even(F.col(c), 6) for c in ("cold_load_ms_median", "first_inference_ms_median", "latency_p50", "latency_p95")})
 
 
 # A model's answer for a row: its spans' texts, the last first, each twice for every third row, and one that isn't there.
