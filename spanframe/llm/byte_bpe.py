@@ -77,23 +77,26 @@ def character_offsets(text: str, ids: list[int], table: list[bytes]) -> list[tup
     return [(int(char_of_byte[a]), int(char_of_byte[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
 
 
-def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, entries: int = ENTRIES, table_rows: int = TABLE_ROWS, end_id: int | None = None) -> DataFrame:
+def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, entries: int = ENTRIES, table_rows: int = TABLE_ROWS, end_id: int | None = None, decode: list[bytes] | None = None) -> DataFrame:
     """(id, n_tokens, ids_le): ids_le are the ids as little-endian unsigned 32-bit integers; end_id follows each text.
 
-    With offsets=True also offsets, array<struct<start:int,end:int>> in code points.
+    With offsets=True also offsets, array<struct<start:int,end:int>> in code points; with decode, the bytes of each id,
+    also decoded: the bytes that the ids of the row stand for, read back from them in the same pass.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kept = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     texts = [r[0] for r in docs.select(text_or_empty(text_col)).limit(table_rows).collect()]
-    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(texts, definition, id_bytes, entries)))
+    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(texts, definition, id_bytes, entries), decode))
     tail = b"" if end_id is None else id_bytes([end_id])
     schema = f"{id_col} {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_le binary"
     if offsets:
         schema += ", offsets array<struct<start:int,end:int>>"
+    if decode is not None:
+        schema += ", decoded binary"
 
     def run(batches):
-        definition, frequent = shared.value
+        definition, frequent, back = shared.value
         found = worker_table("ids-" + hashlib.sha256(definition.encode()).hexdigest(), frequent, id_bytes, definition)
         table = vocabulary(definition) if offsets else []
         for b in batches:
@@ -111,6 +114,9 @@ def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id
                     spans = [character_offsets(t, np.frombuffer(x, "<u4").tolist(), table) for t, x in zip(texts[i : i + 256], ids, strict=True)]
                     columns.append(pa.array([[{"start": a, "end": e} for a, e in s] for s in spans], kind))
                     names.append("offsets")
+                if back is not None:
+                    columns.append(pa.array([decoded(x + tail, back) for x in ids], pa.binary()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return kept.mapInArrow(run, schema)
@@ -121,20 +127,29 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFram
     return encode_by_definition(docs, tokenizer_definition(read_ranks(ranks), pattern), **options)
 
 
-def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
-    """encoded with decoded in place of ids_le: the bytes that its ids stand for. An id outside the file is an error."""
+def rank_bytes(ranks: str) -> list[bytes]:
+    """The bytes of each rank of a file."""
     by_rank = read_ranks(ranks)
     table = [b""] * (max(by_rank.values(), default=-1) + 1)
     for token, rank in by_rank.items():
         table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def decoded(ids_le: bytes, table: list[bytes]) -> bytes:
+    """The bytes that ids stand for; tokens are joined before anyone reads them as characters. An unknown id is an error."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))
+
+
+def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
+    """encoded with decoded in place of ids_le: the bytes that its ids stand for. An id outside the file is an error."""
+    shared = encoded.sparkSession.sparkContext.broadcast(rank_bytes(ranks))
     at = encoded.columns.index("ids_le")
     schema = encoded.drop("ids_le").schema.add("decoded", "binary")
 
     def run(batches):
-        get = shared.value.__getitem__
         for b in batches:
-            texts = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b.column(at).to_pylist()]
+            texts = [decoded(x, shared.value) for x in b.column(at).to_pylist()]
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
             names = [n for i, n in enumerate(b.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
@@ -144,5 +159,5 @@ def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Digests of the ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode_bpe(docs, ranks, pattern).withColumn("ids_sha256", F.sha2("ids_le", 256))
-    return decode_bpe(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode_bpe(docs, ranks, pattern, decode=rank_bytes(ranks))
+    return both.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

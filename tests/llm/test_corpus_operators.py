@@ -448,3 +448,10 @@ def test_swapped_identity_terms_change_less_under_the_penalty():
     assert gap(even) < gap(plain) / 2
     assert even.score("women river vile") > 0.5 > even.score("women river stone") * 0.99
     assert toxicity.counterfactual({"women", "river"}, (("women", "men"),)) == {"men", "river"}
+
+
+def test_decoding_stored_ids(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    rows = docs(spark)
+    back = byte_bpe.decode_bpe(byte_bpe.encode_bpe(rows, path, P.PATTERN), path).collect()
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in back) == Counter((r.doc_id, (r.text or "").encode()) for r in rows.collect())
