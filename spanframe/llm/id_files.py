@@ -13,6 +13,7 @@ file set and an empty result; a block that was changed fails its checksum when i
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 import numpy as np
@@ -21,9 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.byte_bpe import encode_by_definition
-from spanframe.llm.common import checked_broadcast, small_batches
+from spanframe.llm.byte_bpe import ENTRIES, TABLE_ROWS, id_bytes
+from spanframe.llm.common import checked_broadcast, small_batches, text_or_empty
 from spanframe.llm.id_coder import register
+from spanframe.llm.pretokens import frequent_pretokens, worker_table
 
 BLOCK_IDS = 1 << 17
 SCHEMA = "shard int, block long, start long, doc_ids array<long>, ends array<long>, ids binary"
@@ -31,15 +33,24 @@ SCHEMA = "shard int, block long, start long, doc_ids array<long>, ends array<lon
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Encode the texts by a .json tokenizer, close each with end_id, and write the file set to path."""
-    encode, _ = register(docs.sparkSession)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ids = encode_by_definition(ranged, Path(tokenizer).read_text(encoding="utf-8"), end_id=end_id)
-    blocks = ids.select("doc_id", "ids_le").mapInArrow(_packer(block_ids), SCHEMA)
+    spark, definition = docs.sparkSession, Path(tokenizer).read_text(encoding="utf-8")
+    encode, _ = register(spark)
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # read before the rows are dealt out, so that only these are
+    sample = [r[0] for r in rows.select("text").limit(TABLE_ROWS).collect()]
+    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample, definition, id_bytes, ENTRIES)))
+    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    blocks = ranged.mapInArrow(_packer(shared, block_ids, id_bytes([end_id])), SCHEMA)
     blocks.select("shard", "block", "start", "doc_ids", "ends", F.expr(f"{encode}(ids)").alias("data")).write.mode("overwrite").parquet(path)
 
 
-def _packer(block_ids: int):
+def _packer(shared, block_ids: int, tail: bytes):
+    """Encode texts and pack their ids into blocks, in one pass."""
+
     def run(batches):
+        definition, frequent = shared.value
+        found = worker_table("ids-" + hashlib.sha256(definition.encode()).hexdigest(), frequent, id_bytes, definition)
         shard, block, start, held, docs, ends = TaskContext.get().partitionId(), 0, 0, [], [], [0]
 
         def close():
@@ -48,10 +59,11 @@ def _packer(block_ids: int):
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "start", "doc_ids", "ends", "ids"])
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), found.lookup(b.column(1).to_pylist(), b"".join), strict=True):
                 held.append(ids)
+                held.append(tail)
                 docs.append(doc_id)
-                ends.append(ends[-1] + len(ids) // 4)
+                ends.append(ends[-1] + (len(ids) + len(tail)) // 4)
                 if ends[-1] >= block_ids:
                     yield close()
                     block, start, held, docs, ends = block + 1, start + ends[-1], [], [], [0]
