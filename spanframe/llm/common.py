@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +69,18 @@ def kept_by_worker(key: object, make):
     return _HELD[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches bounded by rows and bytes, so that a run of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def portions(batches: Iterable[pa.RecordBatch], text: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, and bytes of the column `text`, so that few texts are objects at once.
+
+    Spark bounds an Arrow batch by bytes; what Python makes of it is bounded here. A single longer text is a slice alone.
+    """
+    for b in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0), np.int64))
+        start, before = 0, 0
+        while start < b.num_rows:
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(start, stop - start)
+            start, before = stop, int(ends[stop - 1])
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(node, root) of every node that has a link to another; root is the smallest node that it reaches.
+    """(node, root) of every node that reaches a smaller one; root is the smallest that it reaches. Roots have no row.
 
     edges: columns u and v; repeated links, loops and both directions may occur, null ends don't count.
     """

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import checked_broadcast, held_out, kept_by_worker, small_batches, training_row
+from spanframe.llm.common import checked_broadcast, held_out, kept_by_worker, portions, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
@@ -122,7 +122,7 @@ def labelled_sample(docs: DataFrame, sample: int) -> list[tuple]:
     picked = rows.select("doc_id", "lang", "text", drawn.alias("draw")).join(checked_broadcast(quotas), F.col("lang") == F.col("quota_lang")).where(F.col("draw") < F.col("part"))
 
     def features(batches):
-        for b in batches:
+        for b in portions(batches, 3):
             found = [term_counts(t or "") for t in b.column(3).to_pylist()]
             lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in range(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], names=["lang", "draw", "doc_id", "places", "counts"])
@@ -163,7 +163,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, l1: float = 0.02, l2: float = 0.1
 def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("doc_id",), model: LanguageModel | None = None) -> DataFrame:
     """The columns `keep` of each row with lang_pred and score; docs need text, and lang and doc_id if no model is given."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     model = model or fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     rows = docs.select(*keep, F.col("text").alias("text_to_identify"))
@@ -171,7 +170,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
 
     def run(batches):
         own = kept_by_worker(("language", key), lambda: LanguageModel(*shared.value))
-        for b in batches:
+        for b in portions(batches, len(keep)):
             found = list(own.predict(b.column(b.num_columns - 1).to_pylist()))
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "lang_pred", "score"])
@@ -182,14 +181,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
 def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a letter and a language of at least this score."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     model = fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches):
         own = kept_by_worker(("language", key), lambda: LanguageModel(*shared.value))
-        for b in batches:
+        for b in portions(batches, at):
             keep = [lang != UNKNOWN and score >= least for lang, score in own.predict(b.column(at).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 

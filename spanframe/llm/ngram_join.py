@@ -6,13 +6,20 @@ share one of their first |x| - ceil(t |x|) + 1. Any order keeps every link; this
 of the words, from one pass over all texts) and puts shingles of many documents last, so that passages in many
 documents bring nobody together unless they are most of a document.
 
-Meeting classes are compared in two rounds. The first links each class to the smallest class of its place, checks those
-few pairs exactly and finds their components, which resolves families of near copies in a linear number of pairs. The
-second takes the places where classes of different components still meet, and is the join proper: a signature tree over
-the classes of a place, by size, whose nodes hold the OR of their classes' token bitmaps and their size range, is
-traversed against itself, and pairs of nodes of one component, of sizes too far apart or whose largest possible overlap
-is too small are pruned. What is left is checked exactly. A place of over BLOCK classes is dealt into blocks, and each
-pair of blocks is a tree join of its own.
+Meeting classes are compared in two rounds, and no table of pairs is ever made. The first links each class to the
+smallest class of its place (a linear number of pairs), checks these exactly and finds their components. The second is
+the join proper, over the places where components still meet, each set of classes once:
+
+- A signature tree over the classes of a place, by size, whose nodes hold the OR of their classes' token bitmaps and
+  their size range, is traversed against itself; nodes of one component, of sizes too far apart or whose largest possible
+  overlap is too small are pruned. Of the pairs left open a place gives the edges of a spanning forest alone, and the
+  components of these edges over all places are families: every pair that is still open lies within one.
+- The classes of a family come with their whole sets to one task, where the same trees, now over exact sets, are
+  traversed: leaves of classes are compared by their shingles, a found link merges components at once so that pairs of
+  one component are skipped from then on, and only forest edges leave the task.
+
+A place or family of over BLOCK classes, or of many shingles, is dealt into blocks, and each pair of blocks is a tree
+join of its own; so a task holds two blocks at most, and no pair is lost.
 
 Defined cases: a text that is null, empty or white space has an empty set, links with nothing and is its own component;
 with fewer words than a shingle the whole sequence is the one shingle; rows that repeat a doc_id are one node (each row
@@ -28,17 +35,19 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import Scratch, by_hot_key, checked_broadcast, kept_by_worker, small_batches, text_or_empty
+from spanframe.llm.common import Scratch, by_hot_key, checked_broadcast, kept_by_worker, portions, text_or_empty
 from spanframe.llm.components import connected_components
 
-BLOCK, LEAF = 2048, 8
+#: Classes and shingles of a block, children of a node, and classes of a leaf over exact sets.
+BLOCK, BLOCK_SHINGLES, LEAF, SET_LEAF = 2048, 2_000_000, 8, 32
 #: Shares from which words count as frequent and shingles as common, and bounds of the two broadcast tables.
 FREQUENT, COMMON, MOST_ENTRIES = 1e-5, 1 / 512, 1 << 18
 FILTER_BITS = 1 << 25
-CACHE = 250_000
+#: Words that a worker keeps the hashes of, and whose counts it holds.
+CACHE, COUNTED = 200_000, 400_000
 
 
 class Shingler:
@@ -105,13 +114,13 @@ def prefix(h: np.ndarray, scores: np.ndarray, common: np.ndarray, percent: int)
     return h[np.argpartition(order, most - 1)[:most]] if most < n else h
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """The token bitmap: one bit a shingle, in a power of two of bits, at least 4 times as many as shingles and 512.
+def bitmap(h: np.ndarray, per: int = 1) -> bytes:
+    """The token bitmap: one bit a shingle, in a power of two of bits, more than `per` times as many as shingles.
 
-    A share of exp(-1/4) or more of the shingles that another set lacks has a bit that the other has not, so bitmaps
-    leave few pairs open besides those just under the threshold.
+    Of the shingles that another set lacks, a share of exp(-1/per) or more has a bit that the other has not, so one bit a
+    shingle rules out sets that have little in common, and more bits leave few pairs open besides those near the threshold.
     """
-    bits = max(512, 4 << (len(h) - 1).bit_length()) if len(h) else 512
+    bits = max(256, per << len(h).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -134,7 +143,7 @@ def _statistics(width: int):
 
     def run(batches):
         own, words, total, out = kept_by_worker(("shingles", width), lambda: Shingler(width)), {}, 0, []
-        held, docs, size, seen = [], 0, 0, []
+        held, docs, size, seen, rare = [], 0, 0, [], 1
 
         def count_words():
             if seen:
@@ -152,7 +161,7 @@ def _statistics(width: int):
             held.clear()
             docs = size = 0
 
-        for b in batches:
+        for b in portions(batches, 0):
             for text in b.column(0).to_pylist():
                 if len(own.index) > CACHE:
                     count_words()
@@ -165,8 +174,9 @@ def _statistics(width: int):
                 if size > CHUNK:
                     close()
                     count_words()
-                    if len(words) > 2_000_000:
-                        words = {w: n for w, n in words.items() if n > 1}
+                    while len(words) > COUNTED:  # what frequent words count is short by little; only the order depends on it
+                        words = {w: n for w, n in words.items() if n > rare}
+                        rare *= 2
         close()
         count_words()
         least = max(2, total * FREQUENT / 4)
@@ -183,7 +193,7 @@ def _sketches(width: int, percent: int, shared):
     def run(batches):
         frequent, common = shared.value
         own = kept_by_worker(("sketches", width, key), lambda: Shingler(width, frequent))
-        for b in batches:
+        for b in portions(batches, 1):
             found = []
             for text in b.column(1).to_pylist():
                 own.make_room()
@@ -254,15 +264,20 @@ def bitmaps_allow(n: int, x: int, x_width: int, m: int, y: int, y_width: int, pe
     return most * (100 + percent) >= percent * (n + m)
 
 
+def allowed(a: tuple, b: tuple, percent: int) -> bool:
+    """bitmaps_allow() of two (size, id, root, width, bits) classes."""
+    return bitmaps_allow(a[0], a[4], a[3], b[0], b[4], b[3], percent)
+
+
 class Signature:
-    """A node of a signature tree, or a class: size range, component if it is one, bitmaps by width."""
+    """A node of a signature tree: classes by size, their size range, the OR of their bitmaps, their component if it is one."""
 
     def __init__(self, members: list, parts: list[Signature]):
         self.members, self.parts = members, parts
         self.low, self.high = members[0][0], members[-1][0]
-        roots = {m[2] for m in members}
+        roots = {p.root for p in parts} if parts else {m[2] for m in members}
         self.root = roots.pop() if len(roots) == 1 else None
-        self.width = min(m[3] for m in members)
+        self.width = min(p.width for p in parts) if parts else min(m[3] for m in members)
         self.made: dict[int, tuple[int, int]] = {}
 
     def at(self, width: int) -> tuple[int, int]:
@@ -282,9 +297,10 @@ class Signature:
         return self.made[width]
 
 
-def tree(members: list) -> Signature:
-    """The signature tree over (size, id, root, width, bits) classes, by size."""
-    level = [Signature([m], []) for m in sorted(members, key=lambda m: m[:2])]
+def tree(members: list, leaf: int = 1) -> Signature:
+    """The signature tree over (size, id, root, width, bits) classes, by size, with `leaf` of them in a leaf."""
+    members = sorted(members, key=lambda m: m[:2])
+    level = [Signature(members[i : i + leaf], []) for i in range(0, len(members), leaf)]
     while len(level) > 1:
         level = [Signature([m for p in level[i : i + LEAF] for m in p.members], level[i : i + LEAF]) for i in range(0, len(level), LEAF)]
     return level[0]
@@ -303,86 +319,197 @@ def may_overlap(a: Signature, b: Signature, percent: int) -> bool:
 
 
 def dual_traversal(a: Signature, b: Signature, percent: int):
-    """Pairs of class ids below two trees that may be similar, or within one tree if both are the same."""
+    """Pairs of leaves below two trees, or within one tree if both are the same, that may hold similar classes."""
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
         if x is y:
             if x.root is None:
-                stack += [(p, q) for i, p in enumerate(x.parts) for q in x.parts[i:]]
+                if x.parts:
+                    stack += [(p, q) for i, p in enumerate(x.parts) for q in x.parts[i:]]
+                else:
+                    yield x, y
         elif may_overlap(x, y, percent):
             if not x.parts and not y.parts:
-                (n, u, _, a, bits), (m, v, _, b, other) = x.members[0], y.members[0]
-                if bitmaps_allow(n, bits, a, m, other, b, percent):
-                    yield u, v
+                yield x, y
             elif x.parts and (not y.parts or len(x.members) >= len(y.members)):
                 stack += [(p, y) for p in x.parts]
             else:
                 stack += [(x, p) for p in y.parts]
 
 
-def _tree_join(percent: int):
-    def run(batches):
-        name, sides, out = None, ({}, {}), set()
+class Forest:
+    """Union-find over 0..n-1; what have one name are one from the start."""
+
+    def __init__(self, names: list):
+        first: dict = {}
+        self.parent = [first.setdefault(x, i) for i, x in enumerate(names)]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """True if i and j were of different components until now."""
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def trees(side: list[int], make):
+    """The trees to traverse against each other: block with itself (side 0), and the lower with the higher (1 and 2)."""
+    for x, y in ((0, 0), (1, 2)):
+        left, right = ([i for i, s in enumerate(side) if s == z] for z in (x, y))
+        if left and right:
+            one = make(left)
+            yield one, (one if x == y else make(right))
 
-        def close():
-            left, right = (list(s.values()) for s in sides)
-            if left and right:
-                pairs = dual_traversal(tree(left), tree(right), percent)
-            elif left and len(left) > 1:
-                top = tree(left)
-                pairs = dual_traversal(top, top, percent)
-            else:
-                pairs = ()
-            out.update((min(p), max(p)) for p in pairs if p[0] != p[1])
-            for s in sides:
-                s.clear()
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b; only shingles of two sets or more need a column."""
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[place]
+    out = np.zeros((len(a), len(b)), np.int64)
+    for start in range(0, int(column.max(initial=-1)) + 1, 1 << 15):
+        here = (column >= start) & (column < start + (1 << 15))
+        m = np.zeros((len(a) + len(b), 1 << 15 if start or column.max() >= 1 << 15 else int(column.max()) + 1), np.float32)
+        m[owner[here], column[here] - start] = 1
+        out += (m[: len(a)] @ m[len(a) :].T).astype(np.int64)
+    return out
+
+
+def _grouped(columns: int, close):
+    """mapInArrow function over rows (group, columns) sorted by group: close(lists of a group) gives edges (u, v)."""
+
+    def run(batches):
+        name, held, out = None, [[] for _ in range(columns)], []
 
         def rows():
-            found = sorted(out)
-            out.clear()
+            found, out[:] = sorted(set(out)), []
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["u", "v"])
 
         for b in batches:
-            for group, side, rep, n, root, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for group, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group != name:
-                    close()
+                    if len(held[0]) > 1:
+                        out.extend(close(*held))
+                    for h in held:
+                        h.clear()
                     name = group
                     if len(out) > 100_000:
                         yield rows()
-                sides[side][rep] = (n, rep, root, 8 * len(bits), int.from_bytes(bits, "little"))
-        close()
+                for h, x in zip(held, row, strict=True):
+                    h.append(x)
+        if len(held[0]) > 1:
+            out.extend(close(*held))
         yield rows()
 
     return run
 
 
+def place_join(percent: int):
+    """Of a place's classes (side, rep, n, root, bits): a spanning forest of the pairs that bitmaps leave open."""
+
+    def close(side, rep, n, root, bits):
+        members = [(n[i], i, root[i], 8 * len(bits[i]), int.from_bytes(bits[i], "little")) for i in range(len(rep))]
+        forest = Forest(range(len(rep)))
+        for top, other in trees(side, lambda own: tree([members[i] for i in own])):
+            for x, y in dual_traversal(top, other, percent):
+                i, j = x.members[0][1], y.members[0][1]
+                if root[i] != root[j] and forest.root(i) != forest.root(j) and allowed(x.members[0], y.members[0], percent):
+                    forest.join(i, j)
+                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+
+    return close
+
+
+def family_join(percent: int):
+    """Of a family's classes (side, rep, root, shingles): links, of exact sets, that join components."""
+
+    def close(side, rep, root, shingles):
+        sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        size = np.array([len(x) for x in sets])
+        forest = Forest(root)
+
+        def member(i):
+            bits = bitmap(sets[i], 4)
+            return len(sets[i]), i, root[i], 8 * len(bits), int.from_bytes(bits, "little")
+
+        for top, other in trees(side, lambda own: tree([member(i) for i in own], SET_LEAF)):
+            for x, y in dual_traversal(top, other, percent):
+                a, b = ([m[1] for m in z.members] for z in (x, y))
+                ra, rb = (np.array([forest.root(i) for i in z]) for z in (a, b))
+                na, nb = size[a][:, None], size[b][None, :]
+                still = (ra[:, None] != rb[None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                if x is y:
+                    still &= np.triu(np.ones(still.shape, bool), 1)
+                if still.sum() <= SET_LEAF // 2:
+                    linked = [(i, j) for i, j in np.argwhere(still).tolist() if allowed(x.members[i], y.members[j], percent) and similar(sets[a[i]], sets[b[j]], percent)]
+                else:
+                    both = overlaps([sets[i] for i in a], [sets[i] for i in b])
+                    linked = np.argwhere(still & (100 * both >= percent * (na + nb - both))).tolist()
+                for i, j in linked:
+                    if forest.join(a[i], b[j]):
+                        yield min(rep[a[i]], rep[b[j]]), max(rep[a[i]], rep[b[j]])
+
+    return close
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of shingles link."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def star_join(percent: int):
+    """Links of a class to its leader: rows (group, side, rep, shingles), sorted so that a group's leader (side 0) is first."""
+
+    def run(batches):
+        name, leaders = None, []
+        for b in batches:
+            found = []
+            for group, side, rep, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = np.frombuffer(shingles, np.uint64)
+                if group != name:
+                    name, leaders = group, []
+                if side == 0:
+                    leaders.append((rep, own))  # several only where rows repeat a doc_id
+                else:
+                    found += [(min(lead, rep), max(lead, rep)) for lead, theirs in leaders if similar(theirs, own, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    return run
+
+
 def _sets(width: int, shared):
     def run(batches):
         own, wanted = kept_by_worker(("shingles", width), lambda: Shingler(width)), np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
-        for b in batches:
+        for b in portions(batches, 1):
             rows = np.flatnonzero(wanted[np.asarray(b.column(2))])
             texts = b.column(1).take(pa.array(rows)).to_pylist()
             own.make_room()
             sets = [np.unique(own.all_shingles(own.words(t))).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
 
-def _similar(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
-
-    return run
+def sets_of(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """(rep, shingles) of at least the texts whose doc_id is in ids.rep: sets are made again only where they are needed."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    places = ids.select((slot("rep") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    wanted = bytearray(FILTER_BITS // 8)  # a fixed size; where it fills up, more sets are made, and none is lost
+    for row in places.collect():
+        wanted[(row.k - 1) * 4096 : row.k * 4096] = row.bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(wanted))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"), slot("doc_id").alias("slot"))
+    return scratch.save(texts.mapInArrow(_sets(width, shared), "rep long, shingles binary"), name)
 
 
 def _bitmaps_allow(percent: int):
@@ -393,39 +520,49 @@ def _bitmaps_allow(percent: int):
             ok = []
             for n, x, m, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
                 ok.append(bitmaps_allow(n, int.from_bytes(x, "little"), 8 * len(x), m, int.from_bytes(y, "little"), 8 * len(y), percent))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["lead", "rep"])
 
     return run
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes that their bitmaps don't rule out."""
+    """The pairs (lead, rep) of classes that their bitmaps don't rule out."""
     side = lambda c, n, bits: classes.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("bits").alias(bits))
-    joined = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v")
-    return joined.select("u", "v", "n", "x", "m", "y").mapInArrow(_bitmaps_allow(percent), "u long, v long")
+    joined = pairs.join(side("rep", "m", "y"), "rep").join(side("lead", "n", "x"), "lead")
+    return joined.select("lead", "rep", "n", "x", "m", "y").mapInArrow(_bitmaps_allow(percent), "lead long, rep long")
+
+
+def star_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (lead, rep) whose whole sets are similar enough; a leader of many is copied to several groups."""
+    many = checked_broadcast(pairs.groupBy("lead").count().where(F.col("count") > BLOCK).select("lead", F.ceil(F.col("count") / BLOCK).alias("parts")))
+    salt = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
+    pairs = scratch.save(pairs.join(many, "lead", "left").select("lead", "rep", salt.alias("salt")), "stars")
+    leads = pairs.select("lead", "salt").distinct()
+    sets = sets_of(pairs.select("rep").unionByName(leads.select(F.col("lead").alias("rep"))), docs, width, scratch, "star-sets")
+    group = F.xxhash64("lead", "salt").alias("group")
+    members = pairs.select(group, F.lit(1).alias("side"), "rep").unionByName(leads.select(group, F.lit(0).alias("side"), F.col("lead").alias("rep")))
+    dealt = members.join(sets, "rep").select("group", "side", "rep", "shingles").repartition("group").sortWithinPartitions("group", "side")
+    links = scratch.save(dealt.mapInArrow(star_join(percent), "u long, v long").distinct(), "links")
+    scratch.drop("stars")
+    scratch.drop("star-sets")
+    return links
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough; sets are made again only for texts in a pair."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    places = ids.select((slot("id") + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    wanted = bytearray(FILTER_BITS // 8)  # a fixed size; where it fills up, more sets are made, and none is lost
-    for row in places.collect():
-        wanted[(row.k - 1) * 4096 : row.k * 4096] = row.bits
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(wanted))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"), slot("doc_id").alias("slot"))
-    sets = scratch.save(texts.mapInArrow(_sets(width, shared), "doc_id long, shingles binary"), f"{name}-sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-    links = scratch.save(joined.select("u", "v", "a", "b").mapInArrow(_similar(percent), "u long, v long").distinct(), name)
-    scratch.drop(f"{name}-sets")
-    return links
+def dealt_in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """(group, side, rep, columns) of members (place, blocks, rep, columns): a group for each pair of blocks of a place."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return own.select(group.alias("group"), side.alias("side"), "rep", *columns).repartition("group").sortWithinPartitions("group")
+
+
+def blocks_of(classes: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
@@ -435,11 +572,12 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     n_words = counts.where("kind = 'words'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_docs = texts.count()
     words = counts.where((F.col("kind") == "word") & (F.col("n") >= n_words * FREQUENT)).orderBy(F.desc("n"), "hash").limit(MOST_ENTRIES).toArrow()
-    common = counts.where((F.col("kind") == "shingle") & (F.col("n") >= n_docs * COMMON)).orderBy(F.desc("n"), "hash").limit(MOST_ENTRIES).select("hash", F.col("n").alias("often"))
+    common = counts.where((F.col("kind") == "shingle") & (F.col("n") >= n_docs * COMMON)).orderBy(F.desc("n"), "hash").limit(MOST_ENTRIES).select("hash").toArrow()
     scores = np.ceil(4 * np.log2(np.asarray(words["n"], float) / max(1.0, n_words * FREQUENT))).astype(int) + 1
     frequent = dict(zip(np.asarray(words["hash"]).astype(np.int64).view(np.uint64).tolist(), np.minimum(scores, 120).tolist(), strict=True))
-    last = np.sort(np.asarray(common.toArrow()["hash"]).astype(np.int64).view(np.uint64))
+    last = np.sort(np.asarray(common["hash"]).astype(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast((frequent, last))
+    scratch.drop("counts")
 
     sketch = texts.mapInArrow(_sketches(width, percent, shared), "doc_id long, n long, digest binary, prefix array<long>, bits binary")
     sketch = scratch.save(sketch, "sketch")
@@ -449,32 +587,44 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     classes = scratch.save(classes, "classes")
     scratch.drop("sketch")
 
-    # round 1: each class and the smallest of its place
-    placed = classes.select("rep", "n", F.explode("prefix").alias("key")).join(F.broadcast(common), F.col("key") == F.col("hash"), "left")
-    salt = F.when(F.col("often") > BLOCK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("often") / BLOCK))).otherwise(F.lit(-1)).cast("long")
+    # round 1: each class and the smallest of its place; a place of many classes is dealt out by exact counts
+    keyed = classes.select("rep", "n", F.explode("prefix").alias("key"))
+    often = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > BLOCK), "often")
+    placed = keyed.join(checked_broadcast(often), "key", "left")
+    salt = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("rep"), F.ceil(F.col("often") / BLOCK))).otherwise(F.lit(-1)).cast("long")
     placed = placed.select("key", salt.alias("salt"), "n", "rep").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "rep")
     places = scratch.save(placed.mapInArrow(_leaders(percent), "key long, n long, rep long, lead long, lead_n long"), "places")
     leaders = places.select("key", "lead", "lead_n").where("rep = lead").distinct()
     first = leaders.groupBy("key").agg(F.min(F.struct("lead_n", "lead")).alias("least"), F.count("*").alias("many")).where("many > 1")
     across = leaders.join(first, "key").where((F.col("lead") != F.col("least.lead")) & (100 * F.col("least.lead_n") >= percent * F.col("lead_n")))
-    pairs = places.where("rep != lead").select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"))
-    pairs = pairs.unionByName(across.select(F.least("lead", "least.lead").alias("u"), F.greatest("lead", "least.lead").alias("v"))).distinct()
-    pairs = scratch.save(plausible(pairs, classes, percent), "pairs")
-    links = verified(pairs, docs, width, percent, scratch, "links")
+    pairs = places.where("rep != lead").select("lead", "rep").unionByName(across.select(F.col("least.lead").alias("lead"), F.col("lead").alias("rep"))).distinct()
+    links = star_links(scratch.save(plausible(pairs, classes, percent), "pairs"), docs, width, percent, scratch)
+    scratch.drop("pairs")
     roots = scratch.save(connected_components(links, scratch, "first"), "roots")
 
-    # round 2: the tree join of places where components still meet
+    # round 2: the tree join of places where components still meet; places of the same classes are one
     rooted = places.select("key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     rooted = scratch.save(rooted, "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many")).where("a != b").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    met = rooted.join(mixed, "key").join(classes.select("rep", "bits"), "rep")
-    met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")
-    dealt = met.select(group, (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "root", "bits").repartition("group").sortWithinPartitions("group")
-    more = dealt.mapInArrow(_tree_join(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    more = scratch.save(plausible(more, classes, percent), "more")
-    links = links.unionByName(verified(more, docs, width, percent, scratch, "more-links"))
-    roots = connected_components(links, scratch, "second")
+    scratch.drop("places")
+    met = rooted.groupBy("key").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("many"), F.sum("n").alias("total"),
+        F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
+    ).where("a != b")
+    met = met.groupBy("many", "total", "x", "y").agg(F.min("key").alias("key")).select("key", blocks_of(F.col("many"), F.col("total")).alias("blocks"))
+    members = rooted.join(met, "key").withColumnRenamed("key", "place").join(classes.select("rep", "bits"), "rep")
+    near = dealt_in_blocks(members, "n", "root", "bits").mapInArrow(_grouped(5, place_join(percent)), "u long, v long").distinct()
+    near = scratch.save(near, "near")
+    scratch.drop("rooted")
+    families = scratch.save(connected_components(near, scratch, "families").select(F.col("node").alias("rep"), F.col("root").alias("place")), "families")
+    families = families.unionByName(families.select(F.col("place").alias("rep"), "place").distinct())  # a root is of its own family
+    families = families.join(classes.select("rep", "n"), "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    families = scratch.save(families.select("rep", "place", "n", F.coalesce("root", "rep").alias("root")), "rooted-families")
+    large = families.groupBy("place").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
+    members = families.join(checked_broadcast(large), "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    members = members.join(sets_of(families, docs, width, scratch, "sets"), "rep")
+    more = scratch.save(dealt_in_blocks(members, "root", "shingles").mapInArrow(_grouped(4, family_join(percent)), "u long, v long").distinct(), "more")
+    scratch.drop("sets")
+    roots = connected_components(links.unionByName(more), scratch, "second")
 
     answers = classes.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.col("copies").alias("rows"), F.coalesce("root", "rep").alias("component_id"))
     full = light.where("n > 0 and doc_id is not null")

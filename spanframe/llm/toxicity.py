@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanframe.llm.common import held_out, small_batches, text_or_empty, training_row
+from spanframe.llm.common import held_out, portions, text_or_empty, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").select("draw", "doc_id", "toxic", "text")
 
     def features(batches):
-        for b in batches:
+        for b in portions(batches, 3):
             words = pa.array([sorted(words_of(t)) for t in b.column(3).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], words], names=["draw", "doc_id", "toxic", "words"])
 
@@ -146,13 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row with score and predicted."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, text_or_empty().alias("text_to_score"))
 
     def run(batches):
         own = shared.value
-        for b in batches:
+        for b in portions(batches, len(keep)):
             scores = pa.array([own.score(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[*b.schema.names[:-1], "score"])
 
