@@ -2,11 +2,13 @@
 
 The rank file becomes a tokenizer of the tokenizers library: bytes are written as the 256 printable characters of
 the byte table, and every split of an entry into two entries becomes a merge of the entry's rank, so that the
-library merges the pairs that the ranks order. Decoding goes from ids through the byte table back to bytes; a
-character whose bytes lie in several tokens comes back whole, as tokens are joined before they are read as UTF-8.
+library merges the pairs that the ranks order. Decoding reverses the byte table: the characters of each entry of that
+tokenizer's vocabulary become bytes again, and a character whose bytes lie in several tokens comes back whole, as the
+bytes of all tokens are joined before anyone reads them as UTF-8. Offsets map tokens to code points through the lengths
+of these bytes; a character that several tokens share is in the offsets of each.
 
 Defined cases: a null text counts as empty (no ids, no bytes); a null doc_id is kept; repeated rows give repeated
-rows; other columns of the input are ignored; an empty table gives an empty result.
+rows; other columns of the input are ignored; an empty table gives an empty result; an unknown id is an error.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import small_batches, text_or_empty
-from spanframe.llm.pretokens import byte_characters, frequent_pretokens, worker_table
+from spanframe.llm.common import portions, text_or_empty
+from spanframe.llm.pretokens import TABLE_ROWS, byte_characters, frequent_pretokens, sample_texts, vocabulary, worker_table
 
-ENTRIES, TABLE_ROWS = 32_768, 1_024
+ENTRIES = 32_768
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,65 +61,54 @@ def id_bytes(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def vocabulary(definition: str) -> list[bytes]:
-    """The bytes of each id."""
-    back = {c: b for b, c in enumerate(byte_characters())}
-    spec = json.loads(definition)
-    out: dict[int, bytes] = {i: bytes(back[c] for c in token) for token, i in spec["model"]["vocab"].items()}
-    out |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
-    return [out.get(i, b"") for i in range(max(out) + 1)]
+def character_offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first code point, end exclusive) of each token of so many bytes; a token that holds part of a character covers it."""
+    char_of_byte = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1
+    ends = np.cumsum(lengths)
+    return char_of_byte[ends - lengths], char_of_byte[ends - 1] + 1
 
 
-def character_offsets(text: str, ids: list[int], table: list[bytes]) -> list[tuple[int, int]]:
-    """Code points that each token covers, end exclusive; a token that holds part of a character covers it."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    char_of_byte = np.cumsum((data & 0xC0) != 0x80) - 1
-    ends = np.cumsum([len(table[i]) for i in ids])
-    starts = ends - [len(table[i]) for i in ids]
-    return [(int(char_of_byte[a]), int(char_of_byte[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+def split_characters(starts: np.ndarray, ends: np.ndarray) -> int:
+    """How many code points lie in several tokens."""
+    return len(np.unique(starts[1:][starts[1:] < ends[:-1]]))
 
 
-def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, entries: int = ENTRIES, table_rows: int = TABLE_ROWS, end_id: int | None = None, decode: list[bytes] | None = None) -> DataFrame:
-    """(id, n_tokens, ids_le): ids_le are the ids as little-endian unsigned 32-bit integers; end_id follows each text.
+def decoded(ids_le: bytes, table: list[bytes]) -> bytes:
+    """The bytes that ids stand for; tokens are joined before anyone reads them as characters. An unknown id is an error."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))
 
-    With offsets=True also offsets, array<struct<start:int,end:int>> in code points; with decode, the bytes of each id,
-    also decoded: the bytes that the ids of the row stand for, read back from them in the same pass.
+
+def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decode: bool = False, entries: int = ENTRIES, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """(id, n_tokens, ids_le): ids_le are the ids as little-endian unsigned 32-bit integers.
+
+    With offsets=True also offsets, array<struct<start:int,end:int>> in code points; with decode=True also decoded, the
+    bytes that the ids stand for, read back from them in the same pass, and n_split, how many characters several tokens
+    share by the offsets of what was decoded.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kept = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    texts = [r[0] for r in docs.select(text_or_empty(text_col)).limit(table_rows).collect()]
-    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(texts, definition, id_bytes, entries), decode))
-    tail = b"" if end_id is None else id_bytes([end_id])
+    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample_texts(kept, table_rows), definition, id_bytes, entries)))
     schema = f"{id_col} {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_le binary"
-    if offsets:
-        schema += ", offsets array<struct<start:int,end:int>>"
-    if decode is not None:
-        schema += ", decoded binary"
+    schema += ", offsets array<struct<start:int,end:int>>" * offsets + ", decoded binary, n_split long" * decode
 
     def run(batches):
-        definition, frequent, back = shared.value
+        definition, frequent = shared.value
         found = worker_table("ids-" + hashlib.sha256(definition.encode()).hexdigest(), frequent, id_bytes, definition)
-        table = vocabulary(definition) if offsets else []
-        for b in batches:
+        table, lengths = found.bytes_of_ids() if offsets or decode else ([], None)
+        for b in portions(batches, 1, 256, 2 << 20):
             texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                ids = list(found.lookup(texts[i : i + 256], b"".join))
-                columns = [
-                    b.column(0).slice(i, len(ids)),
-                    pa.array([(len(x) + len(tail)) // 4 for x in ids], pa.int64()),
-                    pa.array([x + tail for x in ids], pa.binary()),
-                ]
-                names = [b.schema.names[0], "n_tokens", "ids_le"]
-                if offsets:
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                    spans = [character_offsets(t, np.frombuffer(x, "<u4").tolist(), table) for t, x in zip(texts[i : i + 256], ids, strict=True)]
-                    columns.append(pa.array([[{"start": a, "end": e} for a, e in s] for s in spans], kind))
-                    names.append("offsets")
-                if back is not None:
-                    columns.append(pa.array([decoded(x + tail, back) for x in ids], pa.binary()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            ids = list(found.lookup(texts, b"".join))
+            columns = {b.schema.names[0]: b.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_le": pa.array(ids, pa.binary())}
+            if offsets:
+                spans = [character_offsets(t.encode(), lengths[np.frombuffer(x, "<u4")]) for t, x in zip(texts, ids, strict=True)]
+                flat = [pa.array(np.concatenate([np.zeros(0, np.int32), *[x[k] for x in spans]]), pa.int32()) for k in range(2)]
+                ends = np.cumsum([0, *[len(x[0]) for x in spans]])
+                columns["offsets"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=["start", "end"]))
+            if decode:
+                back = [decoded(x, table) for x in ids]
+                columns["decoded"] = pa.array(back, pa.binary())
+                columns["n_split"] = pa.array([split_characters(*character_offsets(t, lengths[np.frombuffer(x, "<u4")])) for t, x in zip(back, ids, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return kept.mapInArrow(run, schema)
 
@@ -127,28 +118,14 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFram
     return encode_by_definition(docs, tokenizer_definition(read_ranks(ranks), pattern), **options)
 
 
-def rank_bytes(ranks: str) -> list[bytes]:
-    """The bytes of each rank of a file."""
-    by_rank = read_ranks(ranks)
-    table = [b""] * (max(by_rank.values(), default=-1) + 1)
-    for token, rank in by_rank.items():
-        table[rank] = token
-    return table
-
-
-def decoded(ids_le: bytes, table: list[bytes]) -> bytes:
-    """The bytes that ids stand for; tokens are joined before anyone reads them as characters. An unknown id is an error."""
-    return b"".join(map(table.__getitem__, np.frombuffer(ids_le, "<u4").tolist()))
-
-
 def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
     """encoded with decoded in place of ids_le: the bytes that its ids stand for. An id outside the file is an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast(rank_bytes(ranks))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_definition(read_ranks(ranks), "")))
     at = encoded.columns.index("ids_le")
     schema = encoded.drop("ids_le").schema.add("decoded", "binary")
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches, at):
             texts = [decoded(x, shared.value) for x in b.column(at).to_pylist()]
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
             names = [n for i, n in enumerate(b.schema.names) if i != at]
@@ -158,6 +135,6 @@ def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Digests of the ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = encode_bpe(docs, ranks, pattern, decode=rank_bytes(ranks))
-    return both.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of the ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256; and n_split."""
+    both = encode_bpe(docs, ranks, pattern, decode=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")

@@ -16,16 +16,15 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.byte_bpe import ENTRIES, TABLE_ROWS, id_bytes
-from spanframe.llm.common import checked_broadcast, small_batches, text_or_empty
+from spanframe.llm.byte_bpe import ENTRIES, id_bytes
+from spanframe.llm.common import checked_broadcast, portions, text_or_empty
 from spanframe.llm.id_coder import register
-from spanframe.llm.pretokens import frequent_pretokens, worker_table
+from spanframe.llm.pretokens import frequent_pretokens, sample_texts, worker_table
 
 BLOCK_IDS = 1 << 17
 SCHEMA = "shard int, block long, start long, doc_ids array<long>, ends array<long>, ids binary"
@@ -35,11 +34,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block
     """Encode the texts by a .json tokenizer, close each with end_id, and write the file set to path."""
     spark, definition = docs.sparkSession, Path(tokenizer).read_text(encoding="utf-8")
     encode, _ = register(spark)
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # read before the rows are dealt out, so that only these are
-    sample = [r[0] for r in rows.select("text").limit(TABLE_ROWS).collect()]
-    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample, definition, id_bytes, ENTRIES)))
+    shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample_texts(rows), definition, id_bytes, ENTRIES)))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     blocks = ranged.mapInArrow(_packer(shared, block_ids, id_bytes([end_id])), SCHEMA)
     blocks.select("shard", "block", "start", "doc_ids", "ends", F.expr(f"{encode}(ids)").alias("data")).write.mode("overwrite").parquet(path)
@@ -58,7 +55,7 @@ def _packer(shared, block_ids: int, tail: bytes):
             columns += [pa.array([docs], pa.list_(pa.int64())), pa.array([ends[1:]], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "start", "doc_ids", "ends", "ids"])
 
-        for b in batches:
+        for b in portions(batches, 1, 256, 2 << 20):
             for doc_id, ids in zip(b.column(0).to_pylist(), found.lookup(b.column(1).to_pylist(), b"".join), strict=True):
                 held.append(ids)
                 held.append(tail)
@@ -76,22 +73,16 @@ def _packer(shared, block_ids: int, tail: bytes):
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_le) of each document of a file set; start counts all ids before it."""
     _, decode = register(spark)
-    small_batches(spark, 8)
     blocks = spark.read.schema("shard int, block long, start long, doc_ids array<long>, ends array<long>, data binary").parquet(path)
     sizes = blocks.groupBy("shard").agg(F.max(F.col("start") + F.element_at("ends", -1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.select(F.col("shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     placed = blocks.join(checked_broadcast(shards), "shard").select((F.col("first") + F.col("start")).alias("at"), "doc_ids", "ends", F.expr(f"{decode}(data)").alias("ids"))
-    return placed.mapInArrow(_unpack, "doc_id long, start long, n_tokens long, ids_le binary")
-
-
-def _unpack(batches):
-    for b in batches:
-        for i in range(b.num_rows):
-            at, docs, ends, ids = (b.column(k)[i] for k in range(4))
-            ends = np.asarray(ends.values)
-            starts = np.concatenate([[0], ends[:-1]])
-            ids = memoryview(ids.as_buffer())
-            parts = [bytes(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = [docs.values, pa.array(starts + at.as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_le"])
+
+    def document(doc_id: Column, i: Column) -> Column:
+        first = F.when(i == 0, F.lit(0)).otherwise(F.col("ends")[i - 1])
+        n = F.col("ends")[i] - first
+        ids = F.substring(F.col("ids"), (4 * first + 1).cast("int"), (4 * n).cast("int"))
+        return F.struct(doc_id.alias("doc_id"), (F.col("at") + first).alias("start"), n.alias("n_tokens"), ids.alias("ids_le"))
+
+    return placed.select(F.inline(F.transform("doc_ids", document)))

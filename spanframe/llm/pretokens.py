@@ -1,7 +1,9 @@
-"""Encoding through pre-tokens: each distinct pre-token is encoded once by the library and then found in a table.
+"""Encoding through pre-tokens: each distinct pre-token is encoded once by the library's model and then found in a table.
 
-A text whose characters all lie in Latin-1 and that holds no special string is split here and its pre-tokens
-are looked up; any other text goes to the library whole. Both ways give the library's own result.
+A text is cut at the special strings that the definition adds, and each part is split into pre-tokens: here, by the
+definition's own pattern, where all of its characters lie in Latin-1, else by the library's normalizer and
+pre-tokenizer. Either way the pre-tokens are looked up. Only a definition that isn't byte-level, or whose special
+strings have options, goes to the library text by text. All ways give the library's own result.
 """
 
 from __future__ import annotations
@@ -12,12 +14,18 @@ import re
 from collections import Counter
 from itertools import chain
 
+import numpy as np
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanframe.llm.common import kept_by_worker
 
-#: Entries of a worker's cache before it falls back to the frequent ones.
-CACHE_ENTRIES = 350_000
+#: Entries of a worker's cache before it falls back to the frequent ones, and the longest pre-token that is kept, in code
+#: points: together they bound its bytes.
+CACHE_ENTRIES, LONGEST_KEPT = 200_000, 48
+#: Texts that the frequent entries are taken from, and the longest of them.
+TABLE_ROWS, TABLE_LONGEST = 1_024, 8_192
 #: The fixed split of byte-level BPE without a pattern of its own.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,42 +44,75 @@ def byte_characters() -> list[str]:
 BYTE_CHARACTERS = dict(enumerate(byte_characters()))
 
 
+def vocabulary(definition: str) -> list[bytes]:
+    """The bytes of each id: the characters of its entry, through the byte table in reverse."""
+    back = {c: b for b, c in enumerate(byte_characters())}
+    spec = json.loads(definition)
+    out: dict[int, bytes] = {i: bytes(back[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    out |= {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+    return [out.get(i, b"") for i in range(max(out, default=-1) + 1)]
+
+
 class Splitter:
-    """The split of one tokenizer definition, if it is one that can be done here."""
+    """The split of one tokenizer definition."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, tokenizer):
         spec = json.loads(definition)
         steps = _flat(spec.get("pre_tokenizer"), "pretokenizers")
         norms = _flat(spec.get("normalizer"), "normalizers")
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        added = spec.get("added_tokens", [])
+        self.special = [x["content"] for x in added]
+        self.at_special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")").split
+        plain = not any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        #: Whether the pre-tokens of the library are what its model takes, written in the characters of the byte table.
+        self.byte_level = plain and [x["type"] for x in steps].count("ByteLevel") == 1 and steps[-1]["type"] == "ByteLevel" and not steps[-1]["add_prefix_space"]
+        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.lower = any(x["type"] == "Lowercase" for x in norms)
-        known = all(
-            x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ")
-            for x in norms
-        )
-        split = [x for x in steps if x["type"] == "Split"]
-        level = [x for x in steps if x["type"] == "ByteLevel"]
-        pattern = None
-        if known and len(level) == 1 and not level[0]["add_prefix_space"]:
-            if len(split) == 1 and len(steps) == 2 and not level[0]["use_regex"]:
-                whole = split[0]["behavior"] == "Isolated" or (split[0]["behavior"] == "Removed" and split[0]["invert"])
-                pattern = split[0]["pattern"].get("Regex") if whole else None
-            elif len(steps) == 1 and level[0]["use_regex"] and not norms:
-                pattern = BYTE_LEVEL
-        if any(x["type"] == "Replace" for x in norms) and pattern and r"|\s" in pattern:
-            pattern = None  # white space would be part of pre-tokens and must be replaced first
+        pattern = _pattern(steps, norms) if self.byte_level else None
         self.find = re.compile(latin1_pattern(pattern)).findall if pattern else None
 
-    def split(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None where only the library may split."""
-        if self.find is None or any(s in text for s in self.special):
+    def split(self, text: str) -> list | None:
+        """The pre-tokens, special strings among them as 1-tuples; None where only the library may encode."""
+        if not self.byte_level:
             return None
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return None
-        return self.find(text.lower() if self.lower else text)
+        if not any(s in text for s in self.special):
+            return self._pretokens(text)
+        out: list = []
+        for i, part in enumerate(self.at_special(text)):
+            out += [(part,)] if i % 2 else self._pretokens(part)
+        return out
+
+    def _pretokens(self, text: str) -> list[str]:
+        if self.find is not None and _in_latin1(text):
+            return self.find(text.lower() if self.lower else text)
+        if self.normalizer is not None:
+            text = self.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def _in_latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _pattern(steps: list[dict], norms: list[dict]) -> str | None:
+    """The pattern whose matches are the pre-tokens of a text in Latin-1, of a definition of a known form."""
+    spaces = [x for x in norms if x["type"] == "Replace"]
+    if any(x["type"] not in ("NFC", "Lowercase", "Replace") for x in norms) or any(x["pattern"] != {"Regex": r"\s+"} or x["content"] != " " for x in spaces):
+        return None
+    if len(steps) == 1:
+        return BYTE_LEVEL if steps[0]["use_regex"] and not norms else None
+    if len(steps) != 2 or steps[0]["type"] != "Split" or steps[1]["use_regex"]:
+        return None
+    whole = steps[0]["behavior"] == "Isolated" or (steps[0]["behavior"] == "Removed" and steps[0]["invert"])
+    pattern = steps[0]["pattern"].get("Regex") if whole else None
+    # white space that is part of pre-tokens would have to be replaced first
+    return None if spaces and pattern and r"|\s" in pattern else pattern
 
 
 def latin1_pattern(pattern: str) -> str:
@@ -107,32 +148,50 @@ class PretokenTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.table = dict(frequent)
-        self.frequent, self.value = frequent, value
+        self.frequent, self.value, self.definition = frequent, value, definition
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model  # its pre-tokens are written in the characters of the byte table
-        self.splitter = Splitter(definition)
-
-    def learn(self, lists: list[list[str]]) -> None:
+        self.splitter = Splitter(definition, self.tokenizer)
+        self.special = {(x["content"],): value([x["id"]]) for x in json.loads(definition).get("added_tokens", [])}
+        self.table = frequent | self.special
+        self.back: tuple[list[bytes], np.ndarray] | None = None
+
+    def bytes_of_ids(self) -> tuple[list[bytes], np.ndarray]:
+        """(bytes of each id, their lengths), made when they are first asked for."""
+        if self.back is None:
+            table = vocabulary(self.definition)
+            self.back = table, np.array([len(x) for x in table], np.int64)
+        return self.back
+
+    def learn(self, lists: list[list]) -> list[str]:
+        """Have all pre-tokens of the lists in the table; gives the long ones, which the caller drops after use."""
         missing = list(set().union(*lists).difference(self.table))
         if len(self.table) + len(missing) > CACHE_ENTRIES + len(self.frequent):
-            self.table = dict(self.frequent)
+            self.table = self.frequent | self.special
             missing = list(set().union(*lists).difference(self.table))
         tokenize, value = self.model.tokenize, self.value
         for token in missing:
             self.table[token] = value([t.id for t in tokenize(token.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
+        return [t for t in missing if len(t) > LONGEST_KEPT]
 
     def lookup(self, texts: list[str], combine, group: int = 64):
-        """combine(values of the pre-tokens) of each text; whole is the library's answer where the table can't serve."""
+        """combine(values of the pre-tokens) of each text."""
         for i in range(0, len(texts), group):
             part = [self.splitter.split(t) for t in texts[i : i + group]]
-            self.learn([p for p in part if p is not None])
+            long = self.learn([p for p in part if p is not None])
             get = self.table.__getitem__
             for text, p in zip(texts[i : i + group], part, strict=True):
                 if p is None:
                     yield self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 else:
                     yield combine(map(get, p))
+            for t in long:
+                del self.table[t]
+
+
+def sample_texts(rows: DataFrame, n: int = TABLE_ROWS, longest: int = TABLE_LONGEST) -> list[str]:
+    """At most n texts of at most `longest` code points each: what the driver fills the frequent entries from."""
+    return [r[0] for r in rows.where(F.length("text") <= longest).select("text").limit(n).collect()]
 
 
 def frequent_pretokens(texts: list[str], definition: str, value, entries: int) -> dict:
@@ -140,7 +199,7 @@ def frequent_pretokens(texts: list[str], definition: str, value, entries: int) -
     table = PretokenTable({}, value, definition)
     counts: Counter[str] = Counter()
     for t in texts:
-        counts.update(table.splitter.split(t) or [])
+        counts.update(p for p in table.splitter.split(t) or () if isinstance(p, str) and len(p) <= LONGEST_KEPT)
     top = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]]
     table.learn([top])
     return {t: table.table[t] for t in top}
