@@ -1,15 +1,19 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 Within a source, documents are drawn by Efraimidis-Spirakis sampling: a uniform draw u of the document's id gives the
-key u ** (1 / weight), and larger keys come first, so a document of twice the weight is twice as likely to be ahead.
-A source's target is first filled with complete epochs of the source; the rest is a fraction of an epoch, filled in
-key order up to the budget. The order of a source is never sorted as a whole: sizes are summed in BINS bins of keys,
-bins below the budget are taken and bins above it are not, and only the bin in which the budget ends is sorted. The
-prefix sums over bins are a window over (source, bin), at most BINS rows a source.
+exponential key -ln(u) / weight, and smaller keys come first, so a document of twice the weight is twice as likely to be
+ahead. A source's target is first filled with complete epochs of the source; the rest is a fraction of an epoch, filled
+in key order up to the budget. The order of a source is never sorted as a whole: sizes are summed in bins of keys, bins
+below the budget are taken and bins above it are not, and the bin in which the budget ends is cut into bins once more;
+only the small bin in which it ends then is sorted. Bins are equal on the scale of the key's logarithm, on which no
+mixture of weights puts more than 0.37 of a source's documents into a unit: of the BINS bins, that is 0.4 % in the fullest
+of the first cut and a BINS-th of that in the second, whatever the weights are.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; a null quality weight
 counts as 1 and weights are held within 1/16 to 16; of rows with one id and equal keys the order is by id and size;
-a source without words has target 0; a text without words is taken only with complete epochs; other columns are ignored by mix(); an empty table gives an empty result.
+a source without words has target 0; a text without words is taken only with complete epochs; other columns are ignored
+by mix(); draw_mix() gives rows that are alike in source, key, id and size as often as each other; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.common import Scratch, checked_broadcast, text_or_empty
 
+#: Bins of a cut, and the range of the keys' binary logarithms: u is a multiple of 2 ** -49, weights are 2 ** -4 to 2 ** 4.
 BINS = 4096
+LOWEST, HIGHEST = -54.0, 10.0
 #: A source weighs WEIGHTS[its place modulo 3], places by code point.
 WEIGHTS = (3, 1, 2)
 
@@ -59,44 +65,92 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return capped.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bins: int = BINS) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of each row: the words that the mix takes of it, repeats counted.
+def keyed(quality: Column | None, bins: int) -> dict[str, Column]:
+    """The columns size, key, bin and part (the bin within the bin) of a document."""
+    weight = F.least(F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)).cast("double"), F.lit(1 / 16)), F.lit(16.0))
+    key = -F.log(draw(F.col("doc_id"))) / weight
+    place = F.floor((F.log2(key) - LOWEST) / (HIGHEST - LOWEST) * float(bins * bins))
+    place = F.least(F.greatest(place, F.lit(0)), F.lit(bins * bins - 1))
+    return {
+        "size": word_count(text_or_empty()).cast("long"), "key": key,
+        "bin": F.floor(place / bins).cast("int"), "part": F.pmod(place, F.lit(bins)).cast("int"),
+    }
 
-    The document over which a budget ends is taken in part; copies are whole passes, that part rounded to one or none.
+
+def _ending(sums: DataFrame, plan: DataFrame, by: str, bins: int) -> DataFrame:
+    """plan (source s, budget left, ...) with the first bin whose sum passes what is left, and left less the words before it.
+
+    sums: (source, by, words). Where no bin passes, the bin is `bins`: all are below it.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    weight = F.least(F.greatest(F.coalesce(quality if quality is not None else F.lit(1.0), F.lit(1.0)).cast("double"), F.lit(1 / 16)), F.lit(16.0))
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(text_or_empty()).cast("long").alias("size"), (1 - F.pow(draw(F.col("doc_id")), 1 / weight)).alias("key"))
-    rows = scratch.save(rows.withColumn("bin", F.least(F.floor(F.col("key") * bins), F.lit(bins - 1)).cast("int")), "sizes")
+    upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    summed = sums.withColumn("upto", F.sum("words").over(upto)).join(plan.select(F.col("s").alias("of"), F.col("left").alias("most")), F.col("source").eqNullSafe(F.col("of")))
+    first = summed.where(F.col("upto") > F.col("most")).groupBy("of").agg(F.min(F.struct(F.col(by).alias("at"), (F.col("upto") - F.col("words")).alias("before"))).alias("first"))
+    joined = plan.join(first, F.col("s").eqNullSafe(F.col("of")), "left").drop("of")
+    return joined.withColumn(f"last_{by}", F.coalesce("first.at", F.lit(bins))).withColumn("left", F.col("left") - F.coalesce("first.before", F.lit(0))).drop("first")
+
+
+def mix_plan(rows: DataFrame, scratch: Scratch, share: float, most: float, weights: tuple[int, ...], bins: int) -> DataFrame:
+    """One row a source: s, source_size, target, epochs, and last_bin, last_part and left, in which the budget ends.
 
+    rows: source, size, bin and part of each document.
+    """
     binned = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    sizes = binned.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sizes, share, most, weights)
+    targets = source_targets(binned.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
-    plan = targets.withColumn("epochs", epochs.cast("int")).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumnRenamed("source", "s")
-    running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    summed = binned.withColumn("upto", F.sum("words").over(running))
-    last = summed.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").where(F.col("upto") > F.col("budget"))
-    # the first bin that passes the budget, and the words before it
-    last = last.groupBy("s").agg(F.min(F.struct(F.col("bin"), (F.col("upto") - F.col("words")).alias("before"))).alias("last"))
-    plan = plan.join(last.withColumnRenamed("s", "ls"), F.col("s").eqNullSafe(F.col("ls")), "left")
-    plan = scratch.save(plan.select("s", "source_size", "target", "epochs", "budget", F.coalesce("last.bin", F.lit(bins)).alias("last_bin"), F.coalesce("last.before", F.lit(0)).alias("before")), "plan")
+    plan = targets.withColumn("epochs", epochs.cast("int")).withColumnRenamed("source", "s")
+    plan = plan.withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = scratch.save(_ending(binned, plan, "bin", bins), "bins")
+    last = rows.join(checked_broadcast(plan.select(F.col("s").alias("of"), "last_bin")), F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("last_bin")))
+    return scratch.save(_ending(last.groupBy("source", "part").agg(F.sum("size").alias("words")), plan, "part", bins), "plan")
+
+
+#: Whether a document comes before the bin in which its source's budget ends, or lies in it.
+AHEAD = "bin < last_bin or (bin = last_bin and part < last_part)"
+WITHIN = "bin = last_bin and part = last_part"
 
+
+def _at_the_end(joined: DataFrame) -> DataFrame:
+    """The documents of the bins in which budgets end, with the words of each that are within its source's budget (more)."""
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    return joined.where(WITHIN).withColumn("rest", rest).withColumn("more", F.greatest(F.least(F.col("rest"), F.col("size")), F.lit(0)))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bins: int = BINS) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of each row: the words that the mix takes of it, repeats counted.
+
+    The document over which a budget ends is taken in part; copies are whole passes, that part rounded to one or none.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.save(docs.select("doc_id", "source", *[c.alias(name) for name, c in keyed(quality, bins).items()]), "sizes")
+    plan = mix_plan(rows, scratch, share, most, weights, bins)
     joined = rows.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
-    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(F.col("bin") == F.col("last_bin")).withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("before"))
-    edge = edge.withColumn("more", F.greatest(F.least(F.round(F.col("budget")).cast("long") - F.col("ahead"), F.col("size")), F.lit(0))).drop("ahead")
-    below = F.when(F.col("bin") < F.col("last_bin"), F.col("size")).otherwise(0)
-    others = joined.where(F.col("bin") != F.col("last_bin")).withColumn("more", below)
-    out = others.unionByName(edge)
+    others = joined.where(f"not ({WITHIN})").withColumn("more", F.when(F.expr(AHEAD), F.col("size")).otherwise(0))
+    out = others.unionByName(_at_the_end(joined).drop("rest"))
     copies = F.col("epochs") + (2 * F.col("more") >= F.greatest(F.col("size"), F.lit(1))).cast("int")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("epochs") * F.col("size") + F.col("more")).alias("taken"))
 
 
-def draw_mix(docs: DataFrame, quality: Column | None = None, **options) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it as a whole; rows of one doc_id alike."""
-    copies = mix(docs, quality, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    drawn = keyed.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
-    return drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+def draw_mix(docs: DataFrame, quality: Column | None = None, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bins: int = BINS) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it as a whole; no text is shuffled.
+
+    Where a source's budget ends is one place in its order, (key, doc_id, size), so each row tells its copies by itself.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    columns = keyed(quality, bins)
+    rows = scratch.save(docs.select("doc_id", "source", *[c.alias(name) for name, c in columns.items()]), "sizes")
+    plan = mix_plan(rows, scratch, share, most, weights, bins)
+    joined = rows.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    place = F.struct("key", F.col("doc_id").isNotNull().alias("named"), "doc_id", "size").alias("place")
+    # the first place that is not taken whole: taken as a whole if half of its words are
+    ends = _at_the_end(joined).groupBy("s", place).agg(F.sum("more").alias("more"), F.sum("size").alias("words"))
+    ends = ends.where("more < words").groupBy("s").agg(F.min(F.struct("place", (2 * F.col("more") >= F.col("words")).alias("whole"))).alias("end"))
+    plan = plan.join(ends.withColumnRenamed("s", "of"), F.col("s").eqNullSafe(F.col("of")), "left").drop("of")
+    plan = scratch.save(plan.select("s", "epochs", "last_bin", "last_part", "end"), "ends")
+
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", "source", *[c.alias(name) for name, c in columns.items()])
+    whole = whole.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    taken = F.col("end").isNull() | (place < F.col("end.place")) | ((place == F.col("end.place")) & F.col("end.whole"))
+    more = F.expr(AHEAD) | (F.expr(WITHIN) & taken)
+    copies = F.col("epochs") + (more & (F.col("size") > 0)).cast("int")
+    return whole.select("row", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
