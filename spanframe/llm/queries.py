@@ -16,7 +16,7 @@ from spanframe.llm.id_files import read_ids, write_ids
 from spanframe.llm.language_id import language_report
 from spanframe.llm.mixing import mix
 from spanframe.llm.ngram_join import jaccard_groups
-from spanframe.llm.secret_scan import secret_report
+from spanframe.llm.secret_scan import ACCESS, ASSIGN, HEX, SCOPE, URL, WEAK_KEY, secret_report
 from spanframe.llm.token_counts import count_tokens
 from spanframe.llm.toxicity import toxicity_report
 
@@ -82,6 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: The patterns of op9 for DuckDB, whose engine has no lookbehind and needs none, as it reads a text once.
+_ASSIGN = ASSIGN.replace("'", "''")
+_PATTERNS = (_ASSIGN, ACCESS, HEX, WEAK_KEY, f"{URL}|[A-Za-z0-9.-]+:[0-9]+[A-Za-z0-9.:-]*")
+_MATCHES = " UNION ALL ".join(f"SELECT r, {k} AS rank, regexp_extract_all(t, '{x}', 0) AS found, regexp_split_to_array(t, '{x}') AS gaps FROM d" for k, x in enumerate(_PATTERNS))
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH d AS (
@@ -125,7 +130,7 @@ ORACLE_SQL = {
                       ELSE length(translate(text, '{NOISE}', '')) / length(text)::DOUBLE END AS share,
                  (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents
         ), k AS (
-          SELECT doc_id, source, size, pow(u, 1 / least(greatest(share * share, 0.0625::DOUBLE), 16.0::DOUBLE)) AS key FROM d
+          SELECT doc_id, source, size, -ln(u) / least(greatest(share * share, 0.0625::DOUBLE), 16.0::DOUBLE) AS key FROM d
         ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source
         ), w AS (
           SELECT *, 2.0::DOUBLE * source_size AS cap,
@@ -140,9 +145,35 @@ ORACLE_SQL = {
           SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 0 END AS epochs FROM t
         ), o AS (
           SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, target - epochs * source_size AS budget,
-                 coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key DESC, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+                 coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
           FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
         )
         SELECT doc_id, size::BIGINT AS size, source_size, target,
                (epochs * size + greatest(least(round(budget)::BIGINT - ahead, size), 0))::BIGINT AS taken FROM o""",
+    "op9_secret_scan": rf"""
+        WITH kinds(rank, kind) AS (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'weak_key'), (4, 'weak_endpoint')
+        ), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+        ), m AS (
+          {_MATCHES}
+        ), i AS (SELECT r, rank, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM m
+        ), e AS (
+          SELECT r, rank, found[i] AS s, sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY r, rank ORDER BY i)::BIGINT AS ending FROM i
+        ), p AS (
+          SELECT r, rank, ending - length(s) AS start, ending FROM e WHERE CASE rank
+            WHEN 0 THEN length(regexp_extract(s, '{_ASSIGN}', 1)) >= 6 WHEN 1 THEN length(s) >= 20 WHEN 2 THEN true
+            WHEN 3 THEN length(s) <= 64 AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')
+            ELSE (regexp_matches(s, '^https?://') OR regexp_matches(s, '^[A-Za-z0-9.-]+:[0-9]{{2,5}}$')) AND regexp_matches(s, '[A-Za-z0-9-]\.[A-Za-z0-9-]') AND NOT contains(s, '..') END
+        ), l AS (
+          SELECT * FROM p WHERE rank <= 2
+             OR (rank = 3 AND EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND q.rank IN (1, 4) AND greatest(p.start - q.ending, q.start - p.ending) <= {SCOPE})
+                 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND q.rank <= 2 AND q.start < p.ending AND p.start < q.ending))
+             OR (rank = 4 AND EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND q.rank <= 1 AND greatest(p.start - q.ending, q.start - p.ending) <= {SCOPE}))
+        ), g AS (
+          SELECT l.r, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+                 string_agg(kind || ':' || start || ':' || ending, ',' ORDER BY start, rank) AS spans,
+                 string_agg(kind || ':' || start || ':' || ending, ',' ORDER BY start, rank) FILTER (rank <= 2) AS base
+          FROM l JOIN kinds USING (rank) GROUP BY l.r
+        )
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)""",
 }
