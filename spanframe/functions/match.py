@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanframe.functions.arrays import let
+
 
 def exact_match(gold: Column, pred: Column) -> Column:
     return (gold["start"] == pred["start"]) & (gold["end"] == pred["end"])
@@ -20,6 +22,10 @@ MATCHERS = {"exact": exact_match, "overlap": overlap_match}
 
 def greedy_match(gold: Column, preds: Column, rule: str) -> Column:
     """struct<tp,fp,fn>: each gold span in turn claims the first predicted span left that matches it."""
+    return let(F.struct(gold.alias("gold"), preds.alias("preds")), lambda x: _claimed(x["gold"], x["preds"], rule))
+
+
+def _claimed(gold: Column, preds: Column, rule: str) -> Column:
     matches = MATCHERS[rule]
     zero = F.struct(preds.alias("left"), F.lit(0).alias("tp"), F.lit(0).alias("fn"))
 
@@ -29,7 +35,9 @@ def greedy_match(gold: Column, preds: Column, rule: str) -> Column:
         rest = F.concat(F.slice(acc["left"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(acc["left"], at + 1, F.size(acc["left"])))
         return F.struct(F.when(hit, rest).otherwise(acc["left"]).alias("left"), (acc["tp"] + hit.cast("int")).alias("tp"), (acc["fn"] + (~hit).cast("int")).alias("fn"))
 
-    return F.aggregate(gold, zero, claim, lambda acc: F.struct(acc["tp"].alias("tp"), F.size(acc["left"]).alias("fp"), acc["fn"].alias("fn")))
+    counts = F.aggregate(gold, zero, claim, lambda acc: F.struct(acc["tp"].alias("tp"), F.size(acc["left"]).alias("fp"), acc["fn"].alias("fn")))
+    nothing = F.struct(F.lit(0).alias("tp"), F.size(preds).alias("fp"), F.size(gold).alias("fn"))
+    return F.when((F.size(gold) == 0) | (F.size(preds) == 0), nothing).otherwise(counts)
 
 
 def of_label(spans: Column, label: Column | str) -> Column:

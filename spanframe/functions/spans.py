@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe import lexicon
+from spanframe.functions.arrays import let, running_sums
 from spanframe.functions.text import SPACE
 from spanframe.model import SPANS
 
 OPEN, CLOSE = "⟦", "⟧"
+MARK = "\x01"
 
 
 def alternation(words) -> str:
@@ -36,21 +38,35 @@ def span_struct(start: Column, end: Column, label: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), label.alias("label"))
 
 
-def find_spans(text: Column, pattern: str, label: str) -> Column:
-    """All leftmost non-overlapping matches of a pattern that matches no empty string.
+def find_matches(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,text>>: all leftmost non-overlapping matches of a pattern that matches no empty string.
 
-    The text is cut at its matches; lengths of pieces and matches add up to offsets.
+    One pass of the pattern puts a mark on either side of each match, and the marks cut the text into what is between the
+    matches and the matches in turn; the running sums of their lengths are the offsets. The mark is U+0001, in whose place
+    a text's own U+0001 counts as U+0002.
     """
-    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(matches))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+    found = lambda pieces, ends: F.transform(
+        F.sequence(F.lit(1), F.floor(F.size(pieces) / 2).cast("int")),
+        lambda i: F.struct(ends[2 * i - 2].alias("start"), ends[2 * i - 1].alias("end"), pieces[2 * i - 1].alias("text")),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    cut = let(F.split(marked, MARK, -1), lambda x: F.when(F.size(x) > 1, let(running_sums(F.transform(x, F.length)), lambda ends: found(x, ends))).otherwise(none))
+    return F.coalesce(cut, none)
+
+
+def find_spans(text: Column, pattern: str, label: str) -> Column:
+    """find_matches() as spans of a label."""
+    return F.transform(find_matches(text, pattern), lambda m: span_struct(m["start"], m["end"], F.lit(label)))
+
 
-    def take(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span_struct(acc["at"] + x["gap"], end, F.lit(label)))).alias("found"))
+def each_span(rows: DataFrame, column: str) -> DataFrame:
+    """A row (column s) for each span of an array column, in place of it.
 
-    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("n")))
-    return F.coalesce(F.aggregate(steps, zero, take, lambda acc: acc["found"]), F.array().cast(SPANS))
+    An outer generator: from a plain one Spark infers that the array isn't empty, and would push that with all that the array
+    is computed from below, to be computed once more there.
+    """
+    return rows.select("*", F.explode_outer(column).alias("s")).drop(column).where(F.col("s").isNotNull())
 
 
 def pattern_spans(text: Column) -> Column:
@@ -149,6 +165,17 @@ def span_form(label: Column, surface: Column) -> Column:
     )
 
 
+def overlapping(spans: Column) -> Column:
+    """The spans that begin before the end of an earlier one of the row, in order; there is nothing to shuffle."""
+    zero = F.struct(F.lit(0).alias("reach"), F.array().cast(SPANS).alias("found"))
+
+    def step(acc: Column, s: Column) -> Column:
+        found = F.when(s["start"] < acc["reach"], F.concat(acc["found"], F.array(s))).otherwise(acc["found"])
+        return F.struct(F.greatest(acc["reach"], s["end"]).alias("reach"), found.alias("found"))
+
+    return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["found"])
+
+
 def surface_of(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 

@@ -37,13 +37,11 @@ def tagged_union(tables: dict[str, DataFrame], tag: str = "source") -> DataFrame
     return out
 
 
-def cell_population(rows: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """(cell, n, in_sample): rows of each coverage cell in the table and in a sample of it, fewest first."""
-    whole = rows.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    if sample is None:
-        return whole.orderBy("n", "cell")
-    drawn = sample.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("in_sample"))
-    return whole.join(drawn, "cell", "left").fillna(0, ["in_sample"]).orderBy("n", "cell")
+def cell_population(rows: DataFrame, in_sample: Column | None = None) -> DataFrame:
+    """(cell, n, in_sample): rows of each coverage cell, and of those that a sample holds, fewest first; one pass."""
+    drawn = in_sample if in_sample is not None else F.lit(False)
+    cells = rows.select(drawn.alias("drawn"), F.explode("cells").alias("cell")).groupBy("cell")
+    return cells.agg(F.count("*").alias("n"), F.count_if("drawn").alias("in_sample")).orderBy("n", "cell")
 
 
 def positional_differences(left: DataFrame, right: DataFrame, order: str = "number", value: str = "text") -> DataFrame:
@@ -58,12 +56,6 @@ def sections(lines: DataFrame, heading: Column, by: str, order: str = "number")
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(upto))
 
 
-def overlapping_spans(spans: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Spans (by, start, end) that begin before the end of an earlier span of the row."""
-    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("reach", F.max("end").over(before)).where(F.col("start") < F.col("reach")).drop("reach")
-
-
 def first_known(results: DataFrame, field: str, rank: str = "rank") -> DataFrame:
     """One row: the field of the first result that has it, else 'unknown'."""
     known = F.min_by(F.when(F.col(field).isNotNull(), F.col(field).cast("string")), F.when(F.col(field).isNotNull(), F.col(rank)))

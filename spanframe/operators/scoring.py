@@ -14,22 +14,30 @@ from spanframe.functions.text import half_even
 from spanframe.model import LABELS, RULES, SCORED_TIERS, no_spans
 
 
+#: Systems that one plan compares; each needs the gold rows once.
+MOST_SYSTEMS = 1000
+
+
 def join_predictions(gold: DataFrame, predictions: DataFrame, systems: DataFrame | None = None) -> DataFrame:
-    """(system, id, text, tier, gold, pred): every gold row for every system, a missing prediction as no spans."""
-    systems = systems if systems is not None else predictions.select("system").distinct()
-    wanted = gold.select("id", "text", "tier", F.col("spans").alias("gold")).join(F.broadcast(systems.limit(1000)))
+    """(system, id, text, tier, gold, pred): every gold row for every system, a missing prediction as no spans.
+
+    The systems are a dimension whose size is checked: more than MOST_SYSTEMS are an error.
+    """
+    systems = (systems if systems is not None else predictions).select("system").distinct()
+    names = [r.system for r in systems.limit(MOST_SYSTEMS + 1).collect()]
+    if len(names) > MOST_SYSTEMS:
+        raise ValueError(f"over {MOST_SYSTEMS} systems; score them in parts")
+    each = F.explode(F.array(*[F.lit(x) for x in sorted(names)]).cast("array<string>"))
+    wanted = gold.select(each.alias("system"), "id", "text", "tier", F.col("spans").alias("gold"))
     found = predictions.select("system", "id", F.col("spans").alias("pred"))
     return wanted.join(found, ["system", "id"], "left").withColumn("pred", F.coalesce("pred", no_spans()))
 
 
 def row_counts(joined: DataFrame) -> DataFrame:
     """(system, id, tier, rule, label, tp, fp, fn) for each of the labels; spans of other labels don't count."""
-    cells = [
-        F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("label"), greedy_match(of_label(F.col("gold"), label), of_label(F.col("pred"), label), rule).alias("c"))
-        for rule in RULES
-        for label in LABELS
-    ]
-    return joined.select("system", "id", "tier", F.explode(F.array(*cells)).alias("x")).select("system", "id", "tier", "x.rule", "x.label", "x.c.tp", "x.c.fp", "x.c.fn")
+    sides = F.array(*[F.struct(F.lit(x).alias("label"), of_label(F.col("gold"), x).alias("gold"), of_label(F.col("pred"), x).alias("pred")) for x in LABELS])
+    cells = F.transform(sides, lambda s: F.array(*[F.struct(F.lit(rule).alias("rule"), s["label"].alias("label"), greedy_match(s["gold"], s["pred"], rule).alias("c")) for rule in RULES]))
+    return joined.select("system", "id", "tier", F.explode(F.flatten(cells)).alias("x")).select("system", "id", "tier", "x.rule", "x.label", "x.c.tp", "x.c.fp", "x.c.fn")
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe import lexicon
+from spanframe.functions.arrays import let
 from spanframe.functions.text import ASCII, FULLWIDTH, strip_punctuation
 from spanframe.model import EXAMPLE, LABELS, SPANS, TIERS
 
@@ -176,28 +177,71 @@ def template_rows() -> list[tuple[str, int, str, list[tuple[str, str | None]]]]:
     return [(tier, i, t[0], pieces(t[2])) for tier, pool in pools().items() for i, t in enumerate(pool)]
 
 
+def _list(values) -> Column:
+    """A fixed list as one literal, which costs a plan no branch a value."""
+    kind = "array<string>" if isinstance(values[0], str) else "array<array<string>>"
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), kind)
+
+
+def _turn(values, turn: Column) -> Column:
+    return F.get(_list(values), (turn % len(values)).cast("int"))
+
+
+def slot_values(k: Column, tier: Column) -> dict[str, Column]:
+    """slot_sql() as columns over fixed lists: the same values, in far less code a row."""
+    number = lambda n: n.cast("string")
+    hard, medium = tier == "hard", tier == "medium"
+    name = F.substring(F.lit(lexicon.SURNAMES), (k * 11 % 39 + 1).cast("int"), F.lit(1))
+    given = F.substring(F.lit(lexicon.GIVEN_CHARACTERS), (k * 7 % 40 + 1).cast("int"), (1 + k % 2).cast("int"))
+    polite = (medium & (k % 5 < 2)) | (hard & (k % 10 < 7))
+    person = F.concat(name, F.when(polite & (k % 3 < 2), "").otherwise(given), F.when(polite, _turn(lexicon.HONORIFICS, k)).otherwise(""))
+    cities = list(lexicon.DISTRICTS)
+    districts = F.get(_list([list(lexicon.DISTRICTS[c]) for c in cities]), (k % len(cities)).cast("int"))
+    place = F.concat(_turn(cities, k), F.get(districts, (k * 3 % F.size(districts)).cast("int")))
+    street = F.concat(_turn(lexicon.ROADS, k * 3), _turn(lexicon.ROAD_SUFFIXES, k), number(k % 3 + 1), F.lit("段"), number(k % 300 + 1), F.lit("號"))
+    letter = F.substring(F.lit("ABCDEFGH"), (k % 8 + 1).cast("int"), F.lit(1))
+    narrow = "".join(c for c in ASCII if c not in "'\\")
+    full = lambda c: F.when(F.expr(wide_sql()), F.translate(c, narrow, narrow.translate(_WIDE))).otherwise(c)
+    return {
+        "PERSON": person,
+        "ADDRESS": full(F.concat(place, F.when(hard & (k % 5 < 3), "").otherwise(street))),
+        "ORG": F.concat(_turn(lexicon.ORG_WORDS, k), _turn(lexicon.ORG_SUFFIXES, k)),
+        "DATE": full(F.concat(number(2024 + k % 3), F.lit("年"), F.lpad(number(k % 12 + 1), 2, "0"), F.lit("月"), F.lpad(number(k % 28 + 1), 2, "0"), F.lit("日"))),
+        "AMOUNT": full(F.concat(F.lit("NT$"), number(100 + k * 37 % 99900))),
+        "ORDER_NO": full(F.concat(letter, number(100000000 + k % 900000000))),
+        "PRODUCT_CODE": full(F.concat(F.lit("P"), number(1000 + k % 9000), F.lit("-"), letter)),
+        "NUMBER": full(number(k % 500 + 1)),
+    }
+
+
 def synthesize(keys: DataFrame, key: str) -> DataFrame:
-    """Example rows (k, id, text, entities, tier, template_id) of non-negative integer keys, one each."""
-    spark = keys.sparkSession
-    table = spark.createDataFrame(template_rows(), "tier string, place int, template_id string, parts array<struct<literal:string,slot:string>>")
-    sizes = {tier: len(pool) for tier, pool in pools().items()}
-    rows = keys.select(F.col(key).cast("long").alias("k")).withColumn("tier", F.element_at(F.array(*map(F.lit, TIERS)), (F.col("k") % 4 + 1).cast("int")))
-    size = F.coalesce(*[F.when(F.col("tier") == t, n) for t, n in sizes.items()])
-    rows = rows.withColumn("place", (F.floor(F.col("k") / 4) % size).cast("int")).join(F.broadcast(table), ["tier", "place"])
-
-    values = F.create_map(*[x for slot, sql in slot_sql().items() for x in (F.lit(slot), F.expr(sql))])
-    rows = rows.withColumn("values", values).withColumn("bare", F.expr(strip_sql()))
-    literal = lambda p: F.when(F.col("bare"), strip_punctuation(p["literal"])).otherwise(p["literal"])
-    filled = F.transform("parts", lambda p: F.struct(literal(p).alias("literal"), p["slot"].alias("slot"), F.coalesce(F.try_element_at("values", p["slot"]), F.lit("")).alias("value")))
-    rows = rows.withColumn("filled", filled)
+    """Example rows (k, id, text, entities, tier, template_id) of non-negative integer keys, one each.
+
+    The templates are one literal, so that there is nothing to join and a row is made where its key is read.
+    """
+    slots = list(slot_values(F.col("k"), F.col("tier")))
+    table = [{"id": name, "parts": [{"literal": lit, "slot": slot, "value": slots.index(slot) if slot else -1} for lit, slot in parts]} for _, _, name, parts in template_rows()]
+    templates = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<struct<id:string,parts:array<struct<literal:string,slot:string,value:int>>>>")
+    sizes = [len(pool) for pool in pools().values()]
+    turn = (F.col("k") % 4).cast("int")
+    of = lambda numbers: F.get(F.array(*map(F.lit, numbers)), turn)
+    rows = keys.select(F.col(key).cast("long").alias("k")).withColumn("tier", F.get(F.array(*map(F.lit, TIERS)), turn))
+    at = of([sum(sizes[:i]) for i in range(len(sizes))]) + (F.floor(F.col("k") / 4) % of(sizes)).cast("int")
+    rows = rows.withColumns({"template": F.get(templates, at), "values": F.array(*slot_values(F.col("k"), F.col("tier")).values()), "bare": F.expr(strip_sql())})
 
     def put(acc: Column, p: Column) -> Column:
-        start = F.length(acc["text"]) + F.length(p["literal"])
-        span = F.struct(start.alias("start"), (start + F.length(p["value"])).alias("end"), p["slot"].alias("label"))
-        return F.struct(F.concat(acc["text"], p["literal"], p["value"]).alias("text"), F.when(p["slot"].isin(*LABELS), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        literal = F.when(F.col("bare"), strip_punctuation(p["literal"])).otherwise(p["literal"])
+        value = F.coalesce(F.get("values", p["value"]), F.lit(""))
+        return let(F.struct(literal.alias("literal"), value.alias("value")), lambda x: _appended(acc, p, x))
 
-    made = F.aggregate("filled", F.struct(F.lit("").alias("text"), F.array().cast(SPANS).alias("spans")), put)
+    made = F.aggregate("template.parts", F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), put)
     rows = rows.withColumn("made", made)
-    return rows.select("k", F.concat("tier", F.lit("_"), F.col("k").cast("string")).alias("id"), F.col("made.text").alias("text"), F.col("made.spans").alias("entities"), "tier", "template_id")
+    return rows.select("k", F.concat("tier", F.lit("_"), F.col("k").cast("string")).alias("id"), F.col("made.text").alias("text"), F.col("made.spans").alias("entities"), "tier", F.col("template.id").alias("template_id"))
 
 
+def _appended(acc: Column, part: Column, filled: Column) -> Column:
+    start = acc["at"] + F.length(filled["literal"])
+    end = start + F.length(filled["value"])
+    span = F.struct(start.alias("start"), end.alias("end"), part["slot"].alias("label"))
+    spans = F.when(part["slot"].isin(*LABELS), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+    return F.struct(F.concat(acc["text"], filled["literal"], filled["value"]).alias("text"), end.alias("at"), spans.alias("spans"))

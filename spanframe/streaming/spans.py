@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.functions.spans import pattern_spans
+from spanframe.functions.spans import each_span, pattern_spans
 
 
 def stream_spans(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, start, end, label) of a stream of texts: stateless, so any output mode and any restart will do."""
-    found = texts.select(F.col(id_col).alias("id"), F.explode(pattern_spans(F.col(text_col))).alias("s"))
+    found = each_span(texts.select(F.col(id_col).alias("id"), pattern_spans(F.col(text_col)).alias("spans")), "spans")
     return found.select("id", "s.start", "s.end", "s.label")
 
 
