@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 
 from spanframe.config import Settings
 from spanframe.plans import audit, benchmark, generate, report
-from spanframe.plans.adapters import default_registry
-from spanframe.sources.files import gold_rows, validated_rows
+from spanframe.plans.adapters import default_registry, stored_registry
+from spanframe.sources.files import blocked_names, gold_rows, validated_rows
 from spanframe.sources.sinks import write_text
 
 
@@ -37,33 +37,42 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--audit", type=Path, default=settings.data_dir / "testset" / "AUDIT.md")
     parser.add_argument("--out", type=Path, default=Path("results"))
     parser.add_argument("--systems", nargs="+", default=["all"])
+    parser.add_argument("--stored", type=Path, help="a folder of stored predictions and result documents to replay")
+    parser.add_argument("--blocklist", type=Path)
+    parser.add_argument("--readme", type=Path)
     parser.add_argument("--limit", type=int)
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--frozen", action="store_true")
     parser.add_argument("--check", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "generate":
-        write_text(args.testset, generate.to_lines(generate.exact_examples(args.seed, args.tier_counts)))
+        blocked = blocked_names(session(), str(args.blocklist) if args.blocklist else None)
+        write_text(args.testset, generate.to_lines(generate.exact_examples(args.seed, args.tier_counts, blocked)))
         return 0
     if args.command == "report":
-        order = tuple(sorted(p.stem for p in args.out.glob("*.json")))
-        text = report.benchmark_document(report.load_results(args.out, order), {})
+        others = sorted(p.stem for p in args.out.glob("*.json") if p.stem not in report.NAMES)
+        results, target = report.load_results(args.out, (*report.NAMES, *others)), args.out / "REPORT.md"
+        texts = {target: report.benchmark_document(results, report.NAMES)}
+        if args.readme:
+            texts[args.readme] = report.replace_section(args.readme.read_text(encoding="utf-8"), report.readme_section(results, report.NAMES, str(target)))
         if args.check:
-            found = report.drift(args.out / "REPORT.md", text)
+            found = [line for path, text in texts.items() for line in report.drift(path, text)]
             print("\n".join(found), file=sys.stderr)
             return int(bool(found))
-        write_text(args.out / "REPORT.md", text)
+        for path, text in texts.items():
+            write_text(path, text)
         return 0
     sha256 = hashlib.sha256(args.testset.read_bytes()).hexdigest()
     spark, path = session(), str(args.testset)
     if args.command == "benchmark":
-        return benchmark.run_all(default_registry(), args.systems, gold_rows(spark, path), args.out, path, sha256, args.limit)
+        registry = stored_registry(spark, str(args.stored)) if args.stored else default_registry()
+        return benchmark.run_all(registry, args.systems, gold_rows(spark, path), args.out, path, sha256, args.limit)
     blank = audit.render_form(validated_rows(spark, path), sha256)
     if args.command == "audit-sample":
         write_text(args.audit, blank, args.force)
         return 0
     text = args.audit.read_text(encoding="utf-8") if args.audit.exists() else None
-    check = audit.check_form(text, blank, sha256, args.frozen)
+    check = audit.check_form(spark, text, blank, sha256, args.frozen)
     print(f"{check.state}: {check.total - len(check.incomplete)} of {check.total} questions complete")
     print("\n".join(check.problems), file=sys.stderr)
     return int(not check.ok)

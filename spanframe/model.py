@@ -33,6 +33,7 @@ TOKEN_DUMP = f"""
   offsets array<array<int>>, special_tokens_mask array<int>, content_tokens array<string>, num_ids int,
   unk_char_spans array<struct<start:int,end:int,text:string>>
 """
+CALLS = "system string, ord long, ms double"
 TIMED_RUN = "model string, condition string, cold_load_ms double, first_inference_ms double, latencies_ms array<double>, error string, timed_out boolean"
 
 

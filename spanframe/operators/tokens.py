@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.functions.arrays import let
 from spanframe.functions.text import half_even
-from spanframe.functions.tokens import covering_tokens
+from spanframe.functions.tokens import normalised_or_plain, rebuild_offsets
 
 
 def parity(left: DataFrame, right: DataFrame, ids: str = "input_ids") -> DataFrame:
@@ -51,22 +52,59 @@ def top_unknown(dump: DataFrame, n: int = 30, order: str = "ord") -> DataFrame:
     return counted.orderBy(F.desc("n"), "first").limit(n).select("text", "n")
 
 
+def over_cap(dump: DataFrame, cap: int = 512, by: str = "source", order: str = "ord") -> DataFrame:
+    """(by, order, id, num_ids) of the rows that exceed the cap, in order."""
+    return dump.where(F.col("num_ids") > cap).select(by, order, "id", "num_ids").orderBy(by, order)
+
+
+def with_rebuilt(rows: DataFrame, tokens: str = "tokens", fold: bool = False) -> DataFrame:
+    """rows (text, tokens) with rebuilt, the offsets of the tokens' texts; with fold=True matched in the NFKC text.
+
+    Fullwidth forms that a tokenizer folds are then found, as long as NFKC keeps the length of the row's text; else the text
+    is taken as it is.
+    """
+    matched = rows.withColumn("matched_text", normalised_or_plain(F.col("text")) if fold else F.col("text"))
+    return matched.withColumn("rebuilt", rebuild_offsets(F.col("matched_text"), F.col(tokens))).drop("matched_text")
+
+
+def _entities_rebuilt() -> Column:
+    """array<struct<covered,right>> of the entities: whether true tokens cover one, and whether what was rebuilt for the first
+    and the last of these gives its very start and end."""
+    places = F.sequence(F.lit(1), F.size("truth"))
+    covering = lambda e: F.filter(places, lambda i: (F.element_at("truth", i)["start"] < e["end"]) & (F.element_at("truth", i)["end"] > e["start"]))
+    edge = lambda hits, at: F.try_element_at("rebuilt", F.element_at(hits, at))
+    right = lambda e, hits: (edge(hits, 1)["start"] == e["start"]) & (edge(hits, -1)["end"] == e["end"])
+    each = lambda e: let(covering(e), lambda hits: F.struct((F.size(hits) > 0).alias("covered"), F.when(F.size(hits) > 0, F.coalesce(right(e, hits), F.lit(False))).otherwise(False).alias("right")))
+    return F.when(F.size("truth") > 0, F.transform("entities", each)).otherwise(F.array().cast("array<struct<covered:boolean,right:boolean>>"))
+
+
 def rebuilt_accuracy(rows: DataFrame, by: str = "tokenizer") -> DataFrame:
-    """Accuracy of rebuilt offsets (column rebuilt) against true ones (column truth), by token and by covered entity.
+    """Accuracy of rebuilt offsets (column rebuilt) against true ones (column truth), by token and by entity.
 
-    Rows whose lists differ in length are left out and counted.
+    Rows whose lists differ in length are left out and counted; so are entities that no true token covers.
     """
     even = F.size("rebuilt") == F.size("truth")
     right = F.aggregate(F.zip_with("rebuilt", "truth", lambda a, b: a.eqNullSafe(b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    entity_right = F.size(F.filter("entities", lambda e: covering_tokens(F.col("rebuilt"), e["start"], e["end"]).eqNullSafe(covering_tokens(F.col("truth"), e["start"], e["end"]))))
-    out = rows.groupBy(by).agg(
-        F.count("*").alias("rows"), F.count_if(~even).alias("uneven"),
-        F.sum(F.when(even, F.size("truth"))).alias("tokens"), F.sum(F.when(even, right)).alias("tokens_right"),
-        F.sum(F.when(even, F.size("entities"))).alias("entities"), F.sum(F.when(even, entity_right)).alias("entities_right"),
+    found = rows.withColumn("even", even).withColumn("edges", F.when(F.col("even"), _entities_rebuilt()))
+    out = found.groupBy(by).agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("even")).alias("uneven"),
+        F.sum(F.when(F.col("even"), F.size("truth"))).alias("tokens"), F.sum(F.when(F.col("even"), right)).alias("tokens_right"),
+        F.sum(F.size(F.filter("edges", lambda e: e["covered"]))).alias("entities"), F.sum(F.size(F.filter("edges", lambda e: e["right"]))).alias("entities_right"),
     )
     return out.withColumns({"token_accuracy": half_even(F.try_divide("tokens_right", "tokens"), 6), "entity_accuracy": half_even(F.try_divide("entities_right", "entities"), 6)})
 
 
+def rebuilt_mismatches(rows: DataFrame, n: int = 20, by: str = "tokenizer", order: str = "ord") -> DataFrame:
+    """(by, place, id, token, rebuilt, truth): the first n tokens of each tokenizer that were rebuilt wrongly."""
+    pairs = F.zip_with("rebuilt", "truth", lambda a, b: F.struct(a.alias("rebuilt"), b.alias("truth")))
+    even = F.when(F.size("rebuilt") == F.size("truth"), pairs)
+    # an outer generator, and no filter before it: what the lists are computed from would be pushed below, to be computed again
+    each = rows.select(by, order, "id", F.posexplode_outer(even).alias("token", "p"))
+    wrong = each.where(F.col("p").isNotNull() & ~F.col("p.rebuilt").eqNullSafe(F.col("p.truth")))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order, "token"))
+    return wrong.withColumn("place", place).where(F.col("place") <= n).select(by, "place", "id", "token", "p.rebuilt", "p.truth")
+
+
 def probe_report(probes: DataFrame, by: str = "tokenizer") -> DataFrame:
     """(by, probes, mismatches, all_match) of paired encodings a and b."""
     same = F.col("a").eqNullSafe(F.col("b"))

@@ -44,8 +44,15 @@ def metrics(gold: DataFrame, predictions: DataFrame) -> dict[str, dict]:
     return out
 
 
-def evaluate(system: System, gold: DataFrame, base: dict, out: Path | None = None, calls: DataFrame | None = None, warmup: int = WARMUP) -> dict:
-    """One system's result document; calls (system, ord, ms) are latencies measured elsewhere, as a plan has none a row."""
+def latency(system: System, gold: DataFrame, n: int, warmup: int = WARMUP) -> dict | None:
+    """Percentiles of the system's calls after the warm-up; None for a system that can't be timed a sentence at a time."""
+    calls = system.calls(gold)
+    row = None if calls is None else latency_summary(calls, min(warmup, n)).first()
+    return {k: row[k] for k in ("p50", "p95", "mean", "n", "warmup")} if row else None
+
+
+def evaluate(system: System, gold: DataFrame, base: dict, out: Path | None = None) -> dict:
+    """One system's result document: scores, its own counters, and latencies of single sentences."""
     try:
         metadata: Metadata = system.load()
     except Unavailable as e:
@@ -55,14 +62,11 @@ def evaluate(system: System, gold: DataFrame, base: dict, out: Path | None = Non
         scores = metrics(gold, found)[system.name]
         if out is not None:
             write_predictions(gold, found, out / "predictions" / f"{system.name}.jsonl")
-        latency = None
-        if calls is not None:
-            row = latency_summary(calls.where(calls.system == system.name), min(warmup, base["n_examples"])).first()
-            latency = {k: row[k] for k in ("p50", "p95", "mean", "n", "warmup")} if row else None
         found.unpersist()
+        counted, timed = system.counters(gold), latency(system, gold, base["n_examples"])
     except Exception as e:  # one system's failure must not stop the others
         return unevaluated(f"{type(e).__name__}: {e}", base)
-    document = {"status": "evaluated", "reason": None, "metadata": vars(metadata) | base, "metrics": scores, "latency_ms": latency}
+    document = {"status": "evaluated", "reason": None, "metadata": vars(metadata) | base | counted, "metrics": scores, "latency_ms": timed}
     return document | {"config": {"label_mapping": dict(system.label_mapping), "params": dict(system.params)}}
 
 

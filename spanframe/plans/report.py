@@ -9,12 +9,14 @@ from pathlib import Path
 
 from spanframe.model import LABELS, SCORED_TIERS
 
+#: Names of the published systems, in the order of the report.
+NAMES = {"regex": "Patterns and lexicon", "presidio": "Presidio", "gliner2_en": "GLiNER2 (English labels)", "gliner2_zh": "GLiNER2 (Chinese labels)", "llm": "Language model (few-shot)"}
 BEGIN, END = "<!-- benchmark:begin -->", "<!-- benchmark:end -->"
 COLUMNS = ("System", *[f"{x} F1" for x in LABELS], "Micro F1 (exact)", "Micro F1 (overlap)", "FPR (negatives)", "Latency p50/p95 (ms)", "Size", "Data leaves device?")
 DIFF_LINES = 60
 
 
-def load_results(folder: Path, order: tuple[str, ...]) -> dict[str, dict]:
+def load_results(folder: Path, order: tuple[str, ...] = tuple(NAMES)) -> dict[str, dict]:
     """Result documents that exist, in the order of the names."""
     return {k: json.loads((folder / f"{k}.json").read_text(encoding="utf-8")) for k in order if (folder / f"{k}.json").exists()}
 
@@ -103,6 +105,11 @@ def benchmark_document(results: dict[str, dict], names: dict[str, str]) -> str:
     return "\n\n".join(parts) + "\n"
 
 
+def readme_section(results: dict[str, dict], names: dict[str, str], document: str) -> str:
+    """What lies between the markers of a README: the main table and where the rest is."""
+    return f"<!-- Made from the result documents; do not edit. -->\n\n{main_table(results, names)}\n\nMethod, reasons and scores by tier are in [{document}]({document})."
+
+
 def replace_section(text: str, body: str) -> str:
     """text with what lies between the two markers replaced; ValueError where they are missing."""
     if BEGIN not in text or END not in text.split(BEGIN, 1)[1]:

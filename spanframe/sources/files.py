@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanframe.config import Settings
 from spanframe.functions.spans import display_problem
 from spanframe.model import EXAMPLE, RESULT, TIMED_RUN, TOKEN_DUMP, dimension
 from spanframe.operators.relational import tagged_union
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, line) of each line, by "\\n" alone and from 0; a file is one row, so it must be of modest size."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("ord", "line"))
+    """(path, ord, line) of each line, by "\n" alone and from 0 in each file.
+
+    A large file is read in splits: a line's place in its split is counted among the lines of that split alone, and the
+    lines of the splits before it come from one small row a split.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path, lineSep="\n").select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), "value")
+    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("path", "block").orderBy("turn")) - 1
+    placed = lines.withColumn("turn", F.monotonically_increasing_id()).select("path", "block", "value", within.alias("within"))
+    return placed.join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("within")).cast("int").alias("ord"), F.col("value").alias("line"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = EXAMPLE) -> DataFrame:
@@ -49,6 +60,12 @@ def word_table(spark: SparkSession, path: str, column: str = "name") -> DataFram
     return spark.createDataFrame([(w,) for w in word_list(spark, path)], f"{column} string")
 
 
+def blocked_names(spark: SparkSession, path: str | None = None) -> frozenset[str]:
+    """Names that must not be generated: the list at the path, which must exist, or the default one, if it does."""
+    default = str(Settings().data_dir / "blocklist.txt")
+    return frozenset(word_list(spark, path or default)) if path or exists(spark, default) else frozenset()
+
+
 def predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(id, spans, ord, system) of prediction files by system."""
     schema = "id string, spans array<struct<start:int,end:int,label:string>>"
@@ -89,11 +106,14 @@ def source_union(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return tagged_union({name: json_lines(spark, path) for name, path in paths.items()})
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file under a schema; no rows where it does not exist."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).json(path, multiLine=True) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=True) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def token_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -102,3 +122,13 @@ def token_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def timed_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TIMED_RUN).json(path, multiLine=True)
+
+
+def unknown_token(spark: SparkSession, path: str) -> str:
+    """The unknown token of a tokenizer definition: its name, or the entry that its id has in the vocabulary."""
+    model = json.loads(spark.read.text(path, wholetext=True).first()[0])["model"]
+    if model.get("unk_token"):
+        return model["unk_token"]
+    if model.get("unk_id") is None:
+        raise ValueError(f"{path} has no unknown token")
+    return model["vocab"][model["unk_id"]][0]

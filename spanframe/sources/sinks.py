@@ -27,10 +27,14 @@ def completed_predictions(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def write_predictions(gold: DataFrame, predictions: DataFrame, path: str | Path) -> None:
-    """One system's predictions as JSON lines with sorted keys."""
-    rows = completed_predictions(gold, predictions).toLocalIterator()
-    lines = [json.dumps({"id": r.id, "spans": [s.asDict() for s in r.spans]}, ensure_ascii=False, sort_keys=True) for r in rows]
-    write_text(path, "".join(x + "\n" for x in lines))
+    """One system's predictions as JSON lines with sorted keys, written row by row and put in place when complete."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    unfinished = target.with_name(f".{target.name}.unfinished")
+    with unfinished.open("w", encoding="utf-8") as out:
+        for r in completed_predictions(gold, predictions).toLocalIterator():
+            out.write(json.dumps({"id": r.id, "spans": [s.asDict() for s in r.spans]}, ensure_ascii=False, sort_keys=True) + "\n")
+    unfinished.replace(target)
 
 
 def write_result(result: dict, path: str | Path) -> None:
