@@ -14,6 +14,7 @@ from spanframe.functions import tokens as K
 from spanframe.model import LABELS, SPANS, dimension
 from spanframe.operators import relational, responses, scoring
 from spanframe.operators import tokens as T
+from spanframe.plans import audit
 from spanframe.plans.generate import slot_sql, strip_sql, synthesize, template_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +114,7 @@ SHARES = """CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS p, C
 
 
 def flat_spans(df: DataFrame, column: str) -> DataFrame:
-    return df.select("id", F.explode(column).alias("s")).select("id", "s.start", "s.end", "s.label")
+    return S.each_span(df.select("id", column), column).select("id", "s.start", "s.end", "s.label")
 
 
 @query(f"WITH {corpus_sql()} SELECT id, text, tier, template_id, len(spans)::INT AS n_spans FROM zh")
@@ -175,6 +176,35 @@ def false_entities_per_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.false_per_1000(joined(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gold rows, and predictions of two systems: one lacks every third row, one has labels outside the domain and late starts."""
+    rows = corpus(spark, sf_dir)
+    late = F.transform("entities", lambda s: S.span_struct(s["start"] + 1, s["end"], s["label"]))
+    odd = F.transform("entities", lambda s: S.span_struct(s["start"], s["end"], F.lit("OTHER")))
+    echo = rows.where("k % 3 != 0").select(F.lit("echo").alias("system"), "id", F.col("entities").alias("spans"))
+    other = rows.select(F.lit("other").alias("system"), "id", F.when(F.col("k") % 2 == 0, odd).otherwise(late).alias("spans"))
+    return rows.select("id", "text", "tier", F.col("entities").alias("spans")), echo.unionByName(other)
+
+
+@query(f"""WITH RECURSIVE {corpus_sql()}, preds AS (
+    SELECT 'echo' AS system, id, tier, spans, CASE WHEN k % 3 <> 0 THEN spans ELSE [] END AS preds FROM zh UNION ALL
+    SELECT 'other', id, tier, spans, list_transform(spans, lambda s: {{'start': CASE WHEN k % 2 = 0 THEN s.start ELSE s.start + 1 END, 'end': s."end", 'label': CASE WHEN k % 2 = 0 THEN 'OTHER' ELSE s.label END}}) FROM zh),
+  seed AS (SELECT system, rule, label, list_filter(spans, lambda s: s.label = label) AS gold, list_filter(preds, lambda s: s.label = label) AS rest
+    FROM preds, (VALUES ('exact'), ('overlap')) r(rule), (VALUES ('PERSON'), ('ADDRESS'), ('ORG')) l(label)),
+  walk AS (SELECT system, rule, label, gold, rest, 0 AS tp, 0 AS fn FROM seed UNION ALL
+    SELECT system, rule, label, gold[2:], CASE WHEN pos IS NULL THEN rest ELSE list_concat(rest[1:pos - 1], rest[pos + 1:]) END, tp + (pos IS NOT NULL)::INT, fn + (pos IS NULL)::INT FROM (
+      SELECT *, list_position(list_transform(rest, lambda p: CASE WHEN rule = 'exact' THEN p.start = gold[1].start AND p."end" = gold[1]."end" ELSE gold[1].start < p."end" AND p.start < gold[1]."end" END), true) AS pos FROM walk WHERE len(gold) > 0)),
+  s AS (SELECT system, rule, coalesce(label, 'micro') AS label, sum(tp)::BIGINT AS tp, sum(len(rest))::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM walk WHERE len(gold) = 0 GROUP BY GROUPING SETS ((system, rule, label), (system, rule)))
+  SELECT system, rule, label, tp, fp, fn, {RATES} FROM (SELECT *, {SHARES} FROM s)""")
+def system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_by_label(scoring.row_counts(scoring.join_predictions(*_stored(spark, sf_dir))))
+
+
+@query(f"""WITH {corpus_sql()} SELECT system, count(*) FILTER (tier = 'negative') AS n, 0::BIGINT AS fired, 0.0::DOUBLE AS fpr FROM zh, (VALUES ('echo'), ('other')) s(system) GROUP BY system""")
+def system_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.negatives(scoring.join_predictions(*_stored(spark, sf_dir)))
+
+
 @query("""WITH c AS (SELECT event_type AS system, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events)
   SELECT system, coalesce(round_even(quantile_cont(value, 0.5) FILTER (place > 10), 4), 0) AS p50, coalesce(round_even(quantile_cont(value, 0.95) FILTER (place > 10), 4), 0) AS p95,
     coalesce(round_even(avg(value) FILTER (place > 10), 4), 0) AS mean, count(value) FILTER (place > 10) AS n, least(count(*), 10)::BIGINT AS warmup FROM c GROUP BY system""")
@@ -272,7 +302,7 @@ _CELLS = f"""{_FORMS}, cells AS (SELECT id, concat('tier: ', tier) AS cell FROM
 
 @query(f"WITH {corpus_sql()}, {_FORMS} SELECT form, count(*) AS n FROM forms GROUP BY form")
 def span_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).select("text", F.explode("entities").alias("s"))
+    rows = S.each_span(corpus(spark, sf_dir).select("text", "entities"), "entities")
     return rows.select(S.span_form(F.col("s.label"), S.surface_of(F.col("text"), F.col("s"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
 
 
@@ -287,8 +317,7 @@ def coverage_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {corpus_sql()}, {_CELLS} SELECT cell, count(*) AS n, count(*) FILTER (k % 10 = 0) AS in_sample FROM cells JOIN zh USING (id) GROUP BY cell""")
 def cell_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = celled(spark, sf_dir)
-    return relational.cell_population(rows, rows.where("k % 10 = 0"))
+    return relational.cell_population(celled(spark, sf_dir), F.col("k") % 10 == 0)
 
 
 @query(f"""WITH {corpus_sql()} SELECT id, CASE WHEN k % 6 = 0 THEN 'markup' WHEN k % 6 = 1 AND len(spans) > 0 THEN 'span' END AS problem FROM zh""")
@@ -303,8 +332,7 @@ def display_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of other than ASCII characters in documents, as unknown tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("source"))
-    found = S.find_spans(F.col("text"), r"[^\x00-\x7f]+", "UNK")
-    return docs.withColumn("unk_char_spans", F.transform(found, lambda s: F.struct(s["start"], s["end"], S.surface_of(F.col("text"), s).alias("text"))))
+    return docs.withColumn("unk_char_spans", S.find_matches(F.col("text"), r"[^\x00-\x7f]+"))
 
 
 @query(r"""SELECT lang AS source, sum(length(array_to_string(regexp_extract_all(coalesce(text, ''), '[^\x00-\x7f]+'), '')))::BIGINT AS unk_chars, sum(length(coalesce(text, '')))::BIGINT AS chars,
@@ -328,6 +356,13 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.token_stats(table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), text.alias("text"), words.alias("num_ids")))
 
 
+@query(r"""SELECT lang AS source, doc_id AS id, len(regexp_extract_all(coalesce(text, ''), '[^ \n]+'))::INT AS num_ids FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^ \n]+')) > 512""")
+def over_cap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n]+"), F.lit(0)))
+    dump = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), words.alias("num_ids"))
+    return T.over_cap(dump, 512).select("source", "id", "num_ids")
+
+
 def _encodings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Word lengths of each document, and those of the second engine, which lacks some rows and merges dashes in others."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("ord"))
@@ -355,29 +390,79 @@ def parity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(3))
     windows = F.transform(starts, lambda a: F.struct(a.alias("start"), F.least(a + 3, F.length("text")).alias("end")))
-    rows = corpus(spark, sf_dir).where(F.length("text") > 0).withColumn("windows", windows).select("id", "windows", F.explode("entities").alias("s"))
+    rows = corpus(spark, sf_dir).where(F.length("text") > 0).withColumn("windows", windows)
+    rows = S.each_span(rows.select("id", "windows", "entities"), "entities")
     covered = rows.withColumn("c", K.covering_tokens(F.col("windows"), F.col("s.start"), F.col("s.end")))
     return covered.select("id", "s.start", "s.end", F.col("c.start").alias("first"), F.col("c.end").alias("last"))
 
 
-def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each character a token, every seventh of them unknown, and offsets rebuilt from the tokens alone."""
-    chars = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(i % 7 == 0, F.lit("[UNK]")).otherwise(F.substring("text", i, F.lit(1))))
-    truth = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.struct((i - 1).alias("start"), i.alias("end")))
-    rows = corpus(spark, sf_dir).where(F.length("text") > 0).withColumns({"tokens": chars, "truth": truth})
-    return rows.withColumn("rebuilt", K.rebuild_offsets(F.col("text"), F.col("tokens")))
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences cut into tokens of 1, 3, 2 and 4 characters in turn: some unknown, also side by side, some marked, some of no
+    text or of one that isn't there, and every seventeenth row without its last token."""
+    k, size = F.col("k"), F.length("text")
+    starts = lambda i: 10 * F.floor(i / 4).cast("int") + F.get(F.array(*map(F.lit, (0, 1, 4, 6))), i % 4)
+    n = 4 * F.floor(size / 10).cast("int") + F.when(size % 10 > 6, 4).when(size % 10 > 4, 3).when(size % 10 > 1, 2).when(size % 10 > 0, 1).otherwise(0)
 
+    def token(i):
+        piece = F.substring("text", starts(i) + 1, starts(i + 1) - starts(i))
+        unknown = (i % 7 == 3) | ((i % 7 == 4) & (k % 3 == 0))
+        return F.when(unknown, "[UNK]").when((i % 23 == 19) & (k % 2 == 0), "☃").when(i % 13 == 12, "▁").when(i % 5 == 1, F.concat(F.lit("##"), piece)).otherwise(piece)
 
-@query(f"""WITH {corpus_sql()} SELECT tier AS tokenizer, count(*) AS rows, 0 AS uneven, sum(length(text))::BIGINT AS tokens, sum(length(text))::BIGINT AS tokens_right,
-  sum(len(spans))::BIGINT AS entities, sum(len(spans))::BIGINT AS entities_right, 1.0::DOUBLE AS token_accuracy, CASE WHEN sum(len(spans)) > 0 THEN 1.0::DOUBLE END AS entity_accuracy FROM zh GROUP BY tier""")
+    places = F.sequence(F.lit(0), n - 1)
+    truth = F.transform(places, lambda i: F.struct(starts(i).alias("start"), F.least(starts(i + 1), size).alias("end")))
+    rows = corpus(spark, sf_dir).where(size > 0).withColumns({"tokens": F.transform(places, token), "truth": truth})
+    return rows.withColumn("tokens", F.when(k % 17 == 0, F.slice("tokens", F.lit(1), F.size("tokens") - 1)).otherwise(F.col("tokens")))
+
+
+_WALK = f"""WITH RECURSIVE {corpus_sql()},
+  cut AS (SELECT *, length(text) AS size, 4 * (length(text) // 10) + CASE WHEN length(text) % 10 > 6 THEN 4 WHEN length(text) % 10 > 4 THEN 3 WHEN length(text) % 10 > 1 THEN 2 WHEN length(text) % 10 > 0 THEN 1 ELSE 0 END AS n FROM zh WHERE length(text) > 0),
+  borders AS (SELECT *, list_transform(range(n + 1), lambda i: 10 * (i // 4) + [0, 1, 4, 6][i % 4 + 1]) AS cuts FROM cut),
+  truths AS (SELECT *, list_transform(range(n), lambda i: {{'start': cuts[i + 1]::INT, 'end': least(cuts[i + 2], size)::INT}}) AS truth, list_transform(range(n), lambda i: CASE WHEN i % 7 = 3 OR (i % 7 = 4 AND k % 3 = 0) THEN '[UNK]'
+    WHEN i % 23 = 19 AND k % 2 = 0 THEN '☃' WHEN i % 13 = 12 THEN '▁' WHEN i % 5 = 1 THEN '##' || substr(text, cuts[i + 1] + 1, cuts[i + 2] - cuts[i + 1]) ELSE substr(text, cuts[i + 1] + 1, cuts[i + 2] - cuts[i + 1]) END) AS tokens FROM borders),
+  walk AS (
+    SELECT id, k, tier, text, size, spans, truth, CASE WHEN k % 17 = 0 THEN tokens[:-2] ELSE tokens END AS tokens, 0 AS i, 0 AS cur, [] :: STRUCT("start" INT, "end" INT)[] AS rebuilt FROM truths
+    UNION ALL
+    SELECT id, k, tier, text, size, spans, truth, tokens, i + 1, CASE WHEN missing THEN size ELSE found_end END, list_append(rebuilt, CASE WHEN NOT missing THEN {{'start': found_start, 'end': found_end}} END) FROM (
+      SELECT *, NOT unknown AND piece <> '' AND ahead = 0 AS missing, (CASE WHEN unknown OR piece = '' THEN cur ELSE cur + ahead - 1 END)::INT AS found_start,
+        (CASE WHEN unknown THEN CASE WHEN bound_ahead > 1 THEN cur + bound_ahead - 1 ELSE least(cur + 1, size) END WHEN piece = '' THEN cur ELSE cur + ahead - 1 + length(piece) END)::INT AS found_end FROM (
+        SELECT *, CASE WHEN piece = '' THEN 0 ELSE strpos(substr(text, cur + 1), piece) END AS ahead, CASE WHEN bound IS NULL THEN 0 ELSE strpos(substr(text, cur + 1), bound) END AS bound_ahead FROM (
+          SELECT *, tokens[i + 1] = '[UNK]' AS unknown, regexp_replace(tokens[i + 1], '^(##|▁)', '') AS piece,
+            CASE WHEN i + 1 >= len(tokens) OR tokens[i + 2] = '[UNK]' THEN NULL WHEN regexp_replace(tokens[i + 2], '^(##|▁)', '') <> '' THEN regexp_replace(tokens[i + 2], '^(##|▁)', '')
+              WHEN i + 2 >= len(tokens) OR tokens[i + 3] = '[UNK]' THEN NULL WHEN regexp_replace(tokens[i + 3], '^(##|▁)', '') <> '' THEN regexp_replace(tokens[i + 3], '^(##|▁)', '') END AS bound
+          FROM walk WHERE i < len(tokens))))),
+  done AS (SELECT *, len(rebuilt) = len(truth) AS even FROM walk WHERE i = len(tokens))"""
+
+
+@query(f"""{_WALK}, per_token AS (SELECT tier, count(*) AS rows, count(*) FILTER (NOT even) AS uneven, sum(len(truth)) FILTER (even)::BIGINT AS tokens,
+    sum(len(list_filter(range(1, len(truth) + 1), lambda j: rebuilt[j] IS NOT DISTINCT FROM truth[j]))) FILTER (even)::BIGINT AS tokens_right FROM done GROUP BY tier),
+  each_span AS (SELECT tier, truth, rebuilt, s, list_filter(range(1, len(truth) + 1), lambda j: truth[j].start < s."end" AND truth[j]."end" > s.start) AS hits FROM (SELECT tier, truth, rebuilt, unnest(spans) AS s FROM done WHERE even)),
+  per_entity AS (SELECT tier, count(*) FILTER (len(hits) > 0) AS entities, count(*) FILTER (len(hits) > 0 AND rebuilt[hits[1]].start = s.start AND rebuilt[hits[-1]]."end" = s."end") AS entities_right FROM each_span GROUP BY tier)
+  SELECT tier AS tokenizer, rows, uneven, tokens, tokens_right, coalesce(entities, 0) AS entities, coalesce(entities_right, 0) AS entities_right, round_even(tokens_right / tokens::DOUBLE, 6) AS token_accuracy,
+    CASE WHEN entities > 0 THEN round_even(entities_right / entities::DOUBLE, 6) END AS entity_accuracy FROM per_token LEFT JOIN per_entity USING (tier)""")
 def rebuilt_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.rebuilt_accuracy(_rebuilt(spark, sf_dir).withColumn("tokenizer", F.col("tier"))).withColumn("uneven", F.col("uneven").cast("int"))
+    return T.rebuilt_accuracy(T.with_rebuilt(_pieces(spark, sf_dir)).withColumn("tokenizer", F.col("tier")))
+
+
+@query(f"""{_WALK}, wrong AS (SELECT tier, k, id, j - 1 AS token, rebuilt[j] AS r, truth[j] AS t FROM (SELECT *, unnest(range(1, len(truth) + 1)) AS j FROM done WHERE even))
+  SELECT tier AS tokenizer, place, id, token::INT AS token, r.start AS rebuilt_start, t.start AS true_start FROM (
+    SELECT *, row_number() OVER (PARTITION BY tier ORDER BY k, token)::INT AS place FROM wrong WHERE r IS DISTINCT FROM t) WHERE place <= 20""")
+def rebuilt_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.rebuilt_mismatches(T.with_rebuilt(_pieces(spark, sf_dir)).withColumns({"tokenizer": F.col("tier"), "ord": F.col("k")}))
+    return found.select("tokenizer", "place", "id", "token", F.col("rebuilt.start").alias("rebuilt_start"), F.col("truth.start").alias("true_start"))
+
+
+def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each character a token, every seventh of them unknown."""
+    places = F.sequence(F.lit(1), F.length("text"))
+    chars = F.transform(places, lambda i: F.when(i % 7 == 0, F.lit("[UNK]")).otherwise(F.substring("text", i, F.lit(1))))
+    truth = F.transform(places, lambda i: F.struct((i - 1).alias("start"), i.alias("end")))
+    return corpus(spark, sf_dir).where(F.length("text") > 0).withColumns({"tokens": chars, "truth": truth})
 
 
 @query(f"""WITH {corpus_sql()}, p AS (SELECT id, unnest(range(1, length(text) + 1)) AS i, text FROM zh)
   SELECT id, count(*) FILTER (i % 7 = 0)::INT AS n_unknown, count(*) FILTER (i % 5 <> 0)::INT AS n_content FROM p GROUP BY id""")
 def token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rebuilt(spark, sf_dir)
+    rows = _characters(spark, sf_dir)
     offsets = F.transform("truth", lambda o: F.array(o["start"], o["end"]))
     mask = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: (i % 5 == 0).cast("int"))
     unknown = K.unknown_spans(F.col("text"), F.col("tokens"), offsets, "[UNK]")
@@ -423,8 +508,8 @@ def append_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {corpus_sql()}, {predicted_sql()}, r AS (SELECT id, s, e, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM flat)
   SELECT id, s AS start, e AS "end" FROM r WHERE s < reach""")
 def overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = flat_spans(pattern_predictions(corpus(spark, sf_dir)), "spans").select("id", "start", "end")
-    return relational.overlapping_spans(found)
+    found = pattern_predictions(corpus(spark, sf_dir)).withColumn("late", S.overlapping(F.col("spans")))
+    return flat_spans(found, "late").select("id", "start", "end")
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations""")
@@ -510,6 +595,37 @@ def audit_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_suppkey > 0").select("s_suppkey", X.upper_bound_percent(F.col("s_suppkey")).alias("bound"))
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form a customer, filled in after the key's remainders, with its blank."""
+    k, sha = F.col("c_custkey"), "a" * 64
+    either = lambda c, a, b: F.when(c, F.lit(a)).otherwise(F.lit(b))
+    mark = F.when(k % 7 == 0, " ").otherwise(F.get(F.array(*map(F.lit, ("x", " ", "X", "v", "Ｘ"))), (k % 5).cast("int")))
+    filled = [
+        F.concat(F.lit("# Label audit\n\n- Test set SHA-256: `"), either(k % 12 == 7, "b" * 64, sha), F.lit("`\n\n---\n\n## Row 1 of 1: c_"), k.cast("string"), F.lit("\n\n`")),
+        F.concat(either(k % 11 == 4, "texts", "text"), F.lit("`\n\n### Span 1 of 1: ORG, start=0, end=4\n\n")),
+        F.when(k % 2 == 1, F.concat(F.lit("* [ "), mark, F.lit("]  agree"))).otherwise(F.concat(F.lit("- ["), mark, F.lit("] agree"))),
+        F.concat(F.lit("\n- ["), either(k % 7 == 0, "x", " "), F.lit("] disagree\n\nNote:"), either(k % 3 == 0, " wrong", ""), F.lit("\n\n### Unlabeled entities\n\n- [")),
+        F.concat(either((k % 4).isin(1, 3), "x", " "), F.lit("] no\n- ["), either(k % 4 == 2, "x", " "), F.lit("] yes\n\nNote:\n"), either(k % 5 == 2, "seen\n", ""), F.lit("\n---\n\n## Verdict\n\n- [")),
+        F.concat(either((k % 6).isin(1, 3, 4, 5), "x", " "), F.lit("] PASS\n- ["), either((k % 6).isin(2, 3), "X", " "), F.lit("] FAIL\n\nReviewer:"), either(k % 10 == 3, "", " R")),
+        F.concat(F.lit(f"\n\n{audit.DATE}: "), either(k % 8 == 2, "2024-02-30", "2024-05-01"), F.lit("\n\nSummary:\n"), either(k % 9 == 5, "", "fine\n"), F.lit("\n---\n\n## Cells\n\n| Cell | n |\n"), either(k % 2 == 0, "|---|---|", "| :--- | -: |")),
+    ]
+    text = F.concat(*filled)
+    text = F.when(k % 13 == 0, F.replace(text, F.lit("\n"), F.lit(" \r\n"))).when(k % 13 == 1, F.concat(F.lit("\ufeff"), text)).otherwise(text)
+    fixed = f"# Label audit\n\n- Test set SHA-256: `{sha}`\n\n---\n\n## Row 1 of 1: c_%d\n\n`text`\n\n### Span 1 of 1: ORG, start=0, end=4\n\n- [ ] agree\n- [ ] disagree\n\nNote:\n\n### Unlabeled entities\n\n- [ ] no\n- [ ] yes\n\nNote:\n\n---\n\n"
+    fixed += f"## Verdict\n\n- [ ] PASS\n- [ ] FAIL\n\nReviewer:\n\n{audit.DATE}:\n\nSummary:\n\n---\n\n## Cells\n\n| Cell | n |\n|---|---|"
+    return table(spark, sf_dir, "customer").select(k.alias("form"), F.when(k % 19 != 18, text).alias("text"), F.format_string(fixed, k).alias("blank"), F.lit(sha).alias("sha256"))
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, c_custkey % 19 <> 18 AS there, CASE WHEN c_custkey % 7 = 0 THEN (c_custkey % 3 <> 0)::INT ELSE (c_custkey % 5 IN (1, 3))::INT END AS g1,
+    CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 2 THEN (c_custkey % 5 <> 2)::INT ELSE 0 END AS g2, (c_custkey % 7 <> 0 AND c_custkey % 5 = 3)::INT AS unreadable, (c_custkey % 12 = 7 OR c_custkey % 11 = 4)::INT AS changed,
+    CASE WHEN c_custkey % 6 = 3 THEN 1 WHEN c_custkey % 6 = 0 THEN 0 ELSE (c_custkey % 10 = 3)::INT + (c_custkey % 9 = 5)::INT + (c_custkey % 8 = 2)::INT END AS verdict FROM customer)
+  SELECT k AS c_custkey, CASE WHEN NOT there THEN 'not started' WHEN k % 6 IN (1, 4, 5) THEN 'PASS' WHEN k % 6 = 2 THEN 'FAIL' ELSE 'in progress' END AS state, CASE WHEN there THEN 2 ELSE 0 END::BIGINT AS total,
+    CASE WHEN there THEN g1 + g2 ELSE 0 END::INT AS n_incomplete, CASE WHEN there THEN unreadable + changed + verdict + CASE WHEN k % 6 IN (1, 4, 5) THEN g1 + g2 ELSE 0 END ELSE 0 END::INT AS n_problems FROM d""")
+def audit_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = audit.check_forms(_forms(spark, sf_dir))
+    return checked.select(F.col("form").alias("c_custkey"), "state", F.col("total").cast("long").alias("total"), F.size("incomplete").alias("n_incomplete"), F.size("problems").alias("n_problems"))
+
+
 @query("SELECT o_orderkey, (o_orderkey % 90 + 1)::INT AS easy, (o_orderkey % 7 + 1)::INT AS hard FROM orders")
 def tier_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.concat(F.lit("easy="), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(", hard ="), (F.col("o_orderkey") % 7 + 1).cast("string"))

@@ -1,11 +1,15 @@
 import hashlib
 import json
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanframe import lexicon
+from spanframe import cli, lexicon
+from spanframe.config import Settings
+from spanframe.operators import scoring
 from spanframe.plans import adapters, audit, benchmark, generate, report
 from spanframe.sources import files, sinks
 from spanframe.streaming.spans import stream_spans
@@ -78,7 +82,7 @@ def answered(blank):
 
 def test_forms(spark, examples):
     blank = audit.render_form(examples, SHA256)
-    check = lambda text, **k: audit.check_form(text, blank, SHA256, **k)
+    check = lambda text, **k: audit.check_form(spark, text, blank, SHA256, **k)
     assert (check(blank).state, check(blank).ok, check(blank).total) == ("in progress", True, check(answered(blank)).total)
     assert (check(answered(blank)).state, check(answered(blank)).problems) == ("PASS", ())
     assert check(None).ok and not check(None, frozen=True).ok and not check(blank, frozen=True).ok
@@ -136,7 +140,7 @@ def test_benchmark_and_report(spark, examples, tmp_path):
     registry = adapters.default_registry()
     registry.add("failing", Failing, "broken")
     registry.add("missing", Missing, "broken")
-    assert registry.resolve(["broken", "regex", "all"]) == ["failing", "missing", "regex"]
+    assert registry.resolve(["broken", "regex", "gliner2", "all"]) == ["failing", "missing", "regex", "gliner2_en", "gliner2_zh", "presidio", "llm"]
     with pytest.raises(KeyError):
         registry.resolve(["nobody"])
     gold = examples.select("id", "text", F.col("entities").alias("spans"), "tier", "ord")
@@ -151,6 +155,14 @@ def test_benchmark_and_report(spark, examples, tmp_path):
     assert results["regex"]["metrics"]["by_tier"]["hard"] == {"exact_micro_f1": 0.6868, "overlap_micro_f1": 0.9585}
     assert results["missing"]["reason"] == "no model here" and "boom" in results["failing"]["reason"]
     assert len((tmp_path / "predictions" / "regex.jsonl").read_text().splitlines()) == 300
+    assert (results["regex"]["latency_ms"]["n"], results["regex"]["latency_ms"]["warmup"]) == (290, 10) and 0 < results["regex"]["latency_ms"]["p50"] <= results["regex"]["latency_ms"]["p95"]
+    # the same predictions from what was stored
+    again = adapters.stored_registry(spark, str(tmp_path))
+    assert benchmark.run_all(again, ["regex"], gold, tmp_path / "again", "set.jsonl", SHA256) == 0
+    assert benchmark.run_all(again, ["gliner2"], gold, tmp_path / "again", "set.jsonl", SHA256) == 1
+    replayed = report.load_results(tmp_path / "again")
+    assert replayed["regex"]["metrics"] == results["regex"]["metrics"] and replayed["regex"]["metadata"]["model_id"] == "lexicon-patterns"
+    assert (replayed["regex"]["latency_ms"], replayed["gliner2_en"]["reason"]) == (None, "no stored predictions of gliner2_en")
     read = files.result_documents(spark, str(tmp_path), order).select("key", "metrics.exact.micro.f1").collect()
     assert [tuple(r) for r in read] == [("regex", 0.7106), ("failing", None), ("missing", None)]
     text = report.benchmark_document(results, {"regex": "Patterns"})
@@ -163,6 +175,108 @@ def test_benchmark_and_report(spark, examples, tmp_path):
         report.replace_section("nothing", "x")
 
 
+@pytest.mark.skipif("SPANFRAME_STORED" not in os.environ, reason="needs the published predictions")
+def test_published_scores(spark, examples, tmp_path):
+    folder = Path(os.environ["SPANFRAME_STORED"])
+    gold = examples.select("id", "text", F.col("entities").alias("spans"), "tier", "ord")
+    assert benchmark.run_all(adapters.stored_registry(spark, str(folder)), ["all"], gold, tmp_path, "set.jsonl", SHA256) == 0
+    for key, found in report.load_results(tmp_path).items():
+        want = json.loads((folder / f"{key}.json").read_text())["metrics"]
+        assert json.loads(json.dumps(found["metrics"])) == want, key
+
+
+def test_one_sentence_at_a_time(examples):
+    answer = adapters.PatternSystem().one()()
+    rows = adapters.PatternSystem().predict(examples).join(examples.select("id", "text"), "id").collect()
+    assert all([tuple(s) for s in r.spans] == answer(r.text) for r in rows)
+
+
+def test_language_model_responses(spark):
+    rows = spark.createDataFrame([("a", "王小明在台北", 0), ("b", "x王小明y王小明", 1), ("c", "無", 2), ("d", "無", 3)], "id string, text string, ord int")
+    stored = [("a", '{"spans":[{"text":"台北","label":"ADDRESS"},{"text":"王小明","label":"PERSON"}]}'), ("b", '{"spans":[{"text":"王小明","label":"PERSON"},{"text":"王小明","label":"PERSON"},{"text":"李四","label":"PERSON"},{"text":"","label":"ORG"}]}'), ("c", "not json")]
+    system = adapters.ResponseSystem("llm", spark.createDataFrame(stored, "id string, response string"), adapters.Metadata("m", "1", data_leaves_machine=True), [("甲", "{}")], "find")
+    found = {r.id: [tuple(s) for s in r.spans] for r in system.predict(rows).collect()}
+    assert found == {"a": [(0, 3, "PERSON"), (4, 6, "ADDRESS")], "b": [(1, 4, "PERSON"), (5, 8, "PERSON")], "c": [], "d": []}
+    texts = sum(len(t.encode()) for t in ("王小明在台北", "x王小明y王小明", "無", "無"))
+    assert system.counters(rows) == {"parse_failures": 2, "unlocated_spans": 1, "relocated_spans": 1, "ignored_spans": 1, "span_location": "surface-text", "bytes_sent": texts + 4 * (4 + 3 + 2)}
+    gold = rows.withColumn("spans", F.array().cast("array<struct<start:int,end:int,label:string>>")).withColumn("tier", F.lit("negative"))
+    document = benchmark.evaluate(system, gold, benchmark.base_metadata("p", "s", 4))
+    assert (document["status"], document["metadata"]["relocated_spans"], document["metrics"]["negatives"]["fpr"], document["latency_ms"]) == ("evaluated", 1, 0.5, None)
+
+
+def test_labels_outside_the_domain_and_many_systems(spark):
+    gold = spark.createDataFrame([("a", "xy", "easy", [(0, 1, "ORG")])], "id string, text string, tier string, spans array<struct<start:int,end:int,label:string>>")
+    predictions = spark.createDataFrame([("p", "a", [(0, 1, "OTHER")]), ("q", "a", [(0, 1, "ORG"), (1, 2, "OTHER")])], "system string, id string, spans array<struct<start:int,end:int,label:string>>")
+    counts = scoring.row_counts(scoring.join_predictions(gold, predictions)).where("rule = 'exact' and label = 'ORG'")
+    assert {r.system: (r.tp, r.fp, r.fn) for r in counts.collect()} == {"p": (0, 0, 1), "q": (1, 0, 0)}
+    many = spark.range(scoring.MOST_SYSTEMS + 1).select(F.col("id").cast("string").alias("system"))
+    with pytest.raises(ValueError, match="systems"):
+        scoring.join_predictions(gold, predictions, many)
+
+
+def test_splits_of_a_file_are_numbered_through(spark, tmp_path):
+    lines = [json.dumps({"id": f"r{i}", "text": "字" * (i % 40), "entities": []}, ensure_ascii=False) + ("\r" if i % 3 else "") for i in range(500)]
+    lines[100] = ""
+    (tmp_path / "set.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8", newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.json_lines(spark, str(tmp_path / "set.jsonl"))
+        assert rows.rdd.getNumPartitions() >= 1 and files.numbered_lines(spark, str(tmp_path / "set.jsonl")).count() == 500
+        assert {r.ord: r.id for r in rows.collect()} == {i: f"r{i}" for i in range(500) if i != 100}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_small_sources(spark, tmp_path):
+    sinks.write_text(tmp_path / "blocklist.txt", "王小明\n")
+    assert files.blocked_names(spark, str(tmp_path / "blocklist.txt")) == {"王小明"} and files.blocked_names(spark) == frozenset()
+    assert [r.name for r in files.word_table(spark, str(tmp_path / "blocklist.txt")).collect()] == ["王小明"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        files.blocked_names(spark, str(tmp_path / "nothing.txt"))
+    sinks.write_text(tmp_path / "wordpiece.json", '{"model": {"unk_token": "[UNK]"}}')
+    sinks.write_text(tmp_path / "unigram.json", '{"model": {"unk_id": 1, "vocab": [["<s>", 0.0], ["<unk>", 0.0]]}}')
+    sinks.write_text(tmp_path / "none.json", '{"model": {"vocab": []}}')
+    assert [files.unknown_token(spark, str(tmp_path / f"{n}.json")) for n in ("wordpiece", "unigram")] == ["[UNK]", "<unk>"]
+    with pytest.raises(ValueError, match="no unknown token"):
+        files.unknown_token(spark, str(tmp_path / "none.json"))
+    for name, text in (("a", '{"id":"1","text":"x","entities":[]}'), ("b", '{"id":"2","text":"y","entities":[],"tier":"hard"}')):
+        sinks.write_text(tmp_path / f"{name}.jsonl", text + "\n")
+    both = files.source_union(spark, {n: str(tmp_path / f"{n}.jsonl") for n in ("a", "b")}).collect()
+    assert {(r.source, r.id, r.tier) for r in both} == {("a", "1", None), ("b", "2", "hard")}
+    sinks.write_text(tmp_path / "dump.json", '[{"id":"1","tokens":["a"],"num_ids":3},{"id":"2","tokens":[],"num_ids":2}]')
+    dump = files.token_dump(spark, str(tmp_path / "dump.json"))
+    assert [(r.id, r.num_ids) for r in dump.orderBy("id").collect()] == [("1", 3), ("2", 2)]
+    sinks.write_dump(dump.select("id", F.col("num_ids").alias("tokenizer")), str(tmp_path / "dumps"), "tokenizer")
+    assert spark.read.parquet(str(tmp_path / "dumps")).where("tokenizer = 3").first().id == "1"
+    sinks.write_text(tmp_path / "runs.json", '{"model":"m","condition":"c","cold_load_ms":2.5,"first_inference_ms":1,"latencies_ms":[1,2],"error":null,"timed_out":false}')
+    assert files.timed_runs(spark, str(tmp_path / "runs.json")).first().latencies_ms == [1.0, 2.0]
+    assert files.file_hashes(spark, str(tmp_path / "blocklist.txt")).first().sha256 == hashlib.sha256("王小明\n".encode()).hexdigest()
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("SPANFRAME_SEED", "7")
+    monkeypatch.setenv("SPANFRAME_API_KEY", "hidden")
+    assert Settings().seed == 7 and "hidden" not in repr(Settings())
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    testset, audit_file, out, readme = (tmp_path / n for n in ("set.jsonl", "AUDIT.md", "results", "README.md"))
+    same = ["--testset", str(testset), "--audit", str(audit_file), "--out", str(out)]
+    assert cli.main(["generate", *same]) == 0 and hashlib.sha256(testset.read_bytes()).hexdigest() == SHA256
+    assert cli.main(["audit-sample", *same]) == 0 and cli.main(["audit-check", *same]) == 0
+    assert "in progress: 0 of" in capsys.readouterr().out
+    with pytest.raises(FileExistsError):
+        cli.main(["audit-sample", *same])
+    audit_file.write_text(answered(audit_file.read_text()))
+    assert cli.main(["audit-check", "--frozen", *same]) == 0 and "PASS" in capsys.readouterr().out
+    assert cli.main(["benchmark", "--systems", "regex", "llm", *same]) == 1
+    readme.write_text(f"# R\n{report.BEGIN}\n{report.END}\n")
+    assert cli.main(["report", "--check", "--readme", str(readme), *same]) == 1
+    assert cli.main(["report", "--readme", str(readme), *same]) == 0 and cli.main(["report", "--check", "--readme", str(readme), *same]) == 0
+    text = readme.read_text()
+    assert text.index("Patterns and lexicon") < text.index("Language model (few-shot)") and "0.7106" in text
+
+
 def test_limit_takes_the_first_rows(spark, examples, tmp_path):
     gold = examples.select("id", "text", F.col("entities").alias("spans"), "tier", "ord")
     assert benchmark.run_all(adapters.default_registry(), ["regex"], gold, tmp_path, "p", SHA256, limit=5) == 0
