@@ -82,26 +82,34 @@ def answered(blank):
 
 def test_forms(spark, examples):
     blank = audit.render_form(examples, SHA256)
-    check = lambda text, **k: audit.check_form(spark, text, blank, SHA256, **k)
-    assert (check(blank).state, check(blank).ok, check(blank).total) == ("in progress", True, check(answered(blank)).total)
-    assert (check(answered(blank)).state, check(answered(blank)).problems) == ("PASS", ())
-    assert check(None).ok and not check(None, frozen=True).ok and not check(blank, frozen=True).ok
-    lenient = "﻿" + answered(blank).replace("- [x] agree", "*  [ Ｘ ]  agree").replace("|---|---|---|", "| :---: |---|--- |").replace("\n", "  \r\n")
-    assert check(lenient).problems == ()
-    tampered = {
-        "row text": answered(blank).replace("Tier `", "Tier  `", 1),
-        "row gone": answered(blank).replace("### Unlabeled entities\n", "", 1),
-        "two boxes": answered(blank).replace("- [ ] disagree", "- [x] disagree", 1),
-        "no box": answered(blank).replace("- [x] agree", "- [ ] agree", 1),
-        "odd mark": answered(blank).replace("- [x] agree", "- [v] agree", 1),
-        "note on the box": answered(blank).replace("- [x] agree", "- [x] agree but", 1),
-        "no note": answered(blank).replace("- [x] agree\n- [ ] disagree", "- [ ] agree\n- [x] disagree", 1),
-        "no reviewer": answered(blank).replace("Reviewer: R", "Reviewer:"),
-        "no date": answered(blank).replace("2024-05-01", "2024-02-30"),
-        "other set": answered(blank).replace(SHA256, "0" * 64),
+    done = answered(blank)
+    lenient = "﻿" + done.replace("- [x] agree", "*  [ Ｘ ]  agree").replace("|---|---|---|", "| :---: |---|--- |").replace("\n", "  \r\n")
+    forms = {"blank": blank, "answered": done, "none": None, "lenient": lenient} | {
+        "row text": done.replace("Tier `", "Tier  `", 1),
+        "row gone": done.replace("### Unlabeled entities\n", "", 1),
+        "two boxes": done.replace("- [ ] disagree", "- [x] disagree", 1),
+        "no box": done.replace("- [x] agree", "- [ ] agree", 1),
+        "odd mark": done.replace("- [x] agree", "- [v] agree", 1),
+        "note on the box": done.replace("- [x] agree", "- [x] agree but", 1),
+        "no note": done.replace("- [x] agree\n- [ ] disagree", "- [ ] agree\n- [x] disagree", 1),
+        "no reviewer": done.replace("Reviewer: R", "Reviewer:"),
+        "no date": done.replace("2024-05-01", "2024-02-30"),
+        "other set": done.replace(SHA256, "0" * 64),
+        "FAIL": done.replace("- [x] PASS", "- [ ] PASS").replace("- [ ] FAIL", "- [x] FAIL"),
     }
-    for what, text in tampered.items():
-        assert not check(text).ok, what
+    table = spark.createDataFrame([(k, t, blank, SHA256) for k, t in forms.items()], "form string, text string, blank string, sha256 string").cache()
+    found = {r.form: r for r in audit.check_forms(table).collect()}
+    assert (found["blank"].state, found["blank"].problems, len(found["blank"].incomplete)) == ("in progress", [], found["answered"].total)
+    assert (found["answered"].state, found["answered"].problems, found["answered"].incomplete) == ("PASS", [], [])
+    assert (found["none"].state, found["none"].problems, found["none"].total) == ("not started", [], 0)
+    assert found["lenient"].problems == [] and (found["FAIL"].state, found["FAIL"].problems) == ("FAIL", [])
+    for what in set(forms) - {"blank", "answered", "none", "lenient", "FAIL"}:
+        assert found[what].problems, what
+    assert "holds 'v'" in found["odd mark"].problems[0] and "line " in found["odd mark"].problems[0]
+    frozen = {r.form: r.problems for r in audit.check_forms(table, frozen=True).collect()}
+    assert frozen["answered"] == [] and all(any("frozen" in x for x in frozen[k]) for k in ("none", "blank", "FAIL"))
+    check = audit.check_form(spark, done, blank, SHA256, frozen=True)
+    assert check.ok and (check.state, check.total) == ("PASS", found["answered"].total)
 
 
 def test_files(spark, examples, tmp_path):
