@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import portions, text_or_empty
+from spanframe.llm.common import bounded_batches, portions, text_or_empty
 from spanframe.llm.pretokens import TABLE_ROWS, byte_characters, frequent_pretokens, sample_texts, vocabulary, worker_table
 
 ENTRIES = 32_768
@@ -86,6 +86,7 @@ def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id
     share by the offsets of what was decoded.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kept = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample_texts(kept, table_rows), definition, id_bytes, entries)))
     schema = f"{id_col} {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_le binary"
@@ -120,6 +121,7 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, **options) -> DataFram
 
 def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
     """encoded with decoded in place of ids_le: the bytes that its ids stand for. An id outside the file is an error."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_definition(read_ranks(ranks), "")))
     at = encoded.columns.index("ids_le")
     schema = encoded.drop("ids_le").schema.add("decoded", "binary")

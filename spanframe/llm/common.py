@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -60,19 +63,44 @@ class Scratch:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Give memory that nothing uses any more back to the system: an idle worker keeps its process, not its garbage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such function, and needs none
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept_by_worker(key: object, make):
     """What make() gives, kept by this worker process for tasks of the same key; another key's is let go first."""
     if key not in _HELD:
         _HELD.clear()
-        pa.default_memory_pool().release_unused()
+        release()
         _HELD[key] = make()
+        release()
     return _HELD[key]
 
 
+#: Rows and bytes of the Arrow batches that corpus operators send to Python.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches within BATCH_ROWS and BATCH_BYTES, which a JVM and a Python worker both need memory for.
+
+    Frames are planned when they run, so this is a setting of the session. It is the same for all operators and is only ever
+    lowered, so neither the order in which frames are made nor a lower limit of the user's own is affected.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def portions(batches: Iterable[pa.RecordBatch], text: int, rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows, and bytes of the column `text`, so that few texts are objects at once.
 
-    Spark bounds an Arrow batch by bytes; what Python makes of it is bounded here. A single longer text is a slice alone.
+    bounded_batches() bounds an Arrow batch; what Python makes of it is bounded here. A single longer text is a slice alone.
     """
     for b in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(text)), 0), np.int64))
@@ -81,6 +109,7 @@ def portions(batches: Iterable[pa.RecordBatch], text: int, rows: int = 1000, siz
             stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
             yield b.slice(start, stop - start)
             start, before = stop, int(ends[stop - 1])
+    release()
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:

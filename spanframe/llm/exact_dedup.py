@@ -37,10 +37,10 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     rows = rows.withColumn("digest", digest(F.col("norm")))
 
     salt = (F.spark_partition_id() % salts).alias("salt")
-    best = F.max(F.struct(F.col("size"), (-F.col("doc_id")).alias("minus_id"))).alias("best")
+    best = F.min(F.struct((-F.col("size")).alias("minus_size"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("best")
     salted = rows.groupBy("digest", salt, "norm").agg(best, F.count("*").alias("n"))
-    winners = salted.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    winners = winners.select("digest", "norm", (-F.col("best.minus_id")).alias("keep_id"), F.col("n").alias("group_size"), F.sha2("norm", 256).alias("text_sha256"))
+    winners = salted.groupBy("digest", "norm").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    winners = winners.select("digest", "norm", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("norm", 256).alias("text_sha256"))
     # text goes on only where a digest has several
     by_digest = winners.groupBy("digest").agg(
         F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.first("text_sha256").alias("text_sha256"), F.sum("group_size").alias("rows")

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import checked_broadcast, held_out, kept_by_worker, portions, training_row
+from spanframe.llm.common import bounded_batches, checked_broadcast, held_out, kept_by_worker, portions, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
 ORDER, DIMS, SAMPLE, EPOCHS, SCALE = 3, 1 << 17, 6_000, 2, 100.0
-WORDS_KEPT, LONGEST_KEPT = 200_000, 48
+WORDS_KEPT, LONGEST_KEPT = 120_000, 48
 UNKNOWN = "und"
 #: Calibrated probability below which a text counts as of no language. It is low, as short texts in a language stay.
 REJECT_BELOW = 0.3
@@ -127,8 +127,10 @@ def labelled_sample(docs: DataFrame, sample: int) -> list[tuple]:
             lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in range(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], names=["lang", "draw", "doc_id", "places", "counts"])
 
-    found = picked.select("lang", "draw", F.col("doc_id").cast("long").alias("doc_id"), "text").limit(2 * sample)
-    found = found.mapInArrow(features, "lang string, draw double, doc_id long, places array<int>, counts array<int>").toArrow()
+    # features are made where the texts are; rows that repeat an id are drawn together, so their number is bounded here
+    found = picked.select("lang", "draw", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = found.mapInArrow(features, "lang string, draw double, doc_id long, places array<int>, counts array<int>")
+    found = found.orderBy("draw", "doc_id").limit(2 * sample).toArrow()
     columns = [found.column(k).combine_chunks() for k in range(5)]
     order = sorted(range(found.num_rows), key=lambda i: (columns[1][i].as_py(), columns[2][i].as_py()))
     return [(columns[0][i].as_py(), np.asarray(columns[3][i].values), np.asarray(columns[4][i].values)) for i in order]
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, l1: float = 0.02, l2: float = 0.1
 def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("doc_id",), model: LanguageModel | None = None) -> DataFrame:
     """The columns `keep` of each row with lang_pred and score; docs need text, and lang and doc_id if no model is given."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = model or fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     rows = docs.select(*keep, F.col("text").alias("text_to_identify"))
@@ -181,6 +184,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
 def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with all their columns, whose text has a letter and a language of at least this score."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
     at = docs.columns.index("text")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import Scratch, by_hot_key, checked_broadcast, kept_by_worker, portions, text_or_empty
+from spanframe.llm.common import Scratch, bounded_batches, by_hot_key, checked_broadcast, kept_by_worker, portions, text_or_empty
 from spanframe.llm.components import connected_components
 
 #: Classes and shingles of a block, children of a node, and classes of a leaf over exact sets.
@@ -47,7 +47,7 @@ BLOCK, BLOCK_SHINGLES, LEAF, SET_LEAF = 2048, 2_000_000, 8, 32
 FREQUENT, COMMON, MOST_ENTRIES = 1e-5, 1 / 512, 1 << 18
 FILTER_BITS = 1 << 25
 #: Words that a worker keeps the hashes of, and whose counts it holds.
-CACHE, COUNTED = 200_000, 400_000
+CACHE, COUNTED = 150_000, 300_000
 
 
 class Shingler:
@@ -563,6 +563,7 @@ def blocks_of(classes: Column, shingles: Column) -> Column:
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("doc_id", text_or_empty().alias("text"))

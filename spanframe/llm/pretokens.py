@@ -23,7 +23,7 @@ from spanframe.llm.common import kept_by_worker
 
 #: Entries of a worker's cache before it falls back to the frequent ones, and the longest pre-token that is kept, in code
 #: points: together they bound its bytes.
-CACHE_ENTRIES, LONGEST_KEPT = 200_000, 48
+CACHE_ENTRIES, LONGEST_KEPT = 150_000, 48
 #: Texts that the frequent entries are taken from, and the longest of them.
 TABLE_ROWS, TABLE_LONGEST = 1_024, 8_192
 #: The fixed split of byte-level BPE without a pattern of its own.
@@ -56,8 +56,7 @@ def vocabulary(definition: str) -> list[bytes]:
 class Splitter:
     """The split of one tokenizer definition."""
 
-    def __init__(self, definition: str, tokenizer):
-        spec = json.loads(definition)
+    def __init__(self, spec: dict, tokenizer):
         steps = _flat(spec.get("pre_tokenizer"), "pretokenizers")
         norms = _flat(spec.get("normalizer"), "normalizers")
         added = spec.get("added_tokens", [])
@@ -141,6 +140,13 @@ def _flat(step: dict | None, key: str) -> list[dict]:
     return list(chain.from_iterable(_flat(x, key) for x in step[key])) if step["type"] == "Sequence" else [step]
 
 
+def head(definition: str) -> dict:
+    """A definition without its model, which is nearly all of it and which the library reads."""
+    spec = json.loads(definition)
+    del spec["model"]
+    return spec
+
+
 class PretokenTable:
     """Pre-token to value: frequent entries that stay, and a worker's own that are dropped together when they are many."""
 
@@ -148,11 +154,12 @@ class PretokenTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = head(definition)
         self.frequent, self.value, self.definition = frequent, value, definition
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model  # its pre-tokens are written in the characters of the byte table
-        self.splitter = Splitter(definition, self.tokenizer)
-        self.special = {(x["content"],): value([x["id"]]) for x in json.loads(definition).get("added_tokens", [])}
+        self.splitter = Splitter(spec, self.tokenizer)
+        self.special = {(x["content"],): value([x["id"]]) for x in spec.get("added_tokens", [])}
         self.table = frequent | self.special
         self.back: tuple[list[bytes], np.ndarray] | None = None
 
@@ -163,30 +170,31 @@ class PretokenTable:
             self.back = table, np.array([len(x) for x in table], np.int64)
         return self.back
 
-    def learn(self, lists: list[list]) -> list[str]:
-        """Have all pre-tokens of the lists in the table; gives the long ones, which the caller drops after use."""
-        missing = list(set().union(*lists).difference(self.table))
+    def learn(self, pretokens: list) -> list[str]:
+        """Have all of the pre-tokens in the table; gives the new long ones, which the caller drops after use."""
+        missing = list(set(pretokens).difference(self.table))
         if len(self.table) + len(missing) > CACHE_ENTRIES + len(self.frequent):
             self.table = self.frequent | self.special
-            missing = list(set().union(*lists).difference(self.table))
+            missing = list(set(pretokens).difference(self.table))
         tokenize, value = self.model.tokenize, self.value
         for token in missing:
             self.table[token] = value([t.id for t in tokenize(token.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
         return [t for t in missing if len(t) > LONGEST_KEPT]
 
-    def lookup(self, texts: list[str], combine, group: int = 64):
+    def lookup(self, texts: list[str], combine):
         """combine(values of the pre-tokens) of each text."""
-        for i in range(0, len(texts), group):
-            part = [self.splitter.split(t) for t in texts[i : i + group]]
-            long = self.learn([p for p in part if p is not None])
-            get = self.table.__getitem__
-            for text, p in zip(texts[i : i + group], part, strict=True):
-                if p is None:
-                    yield self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
-                else:
-                    yield combine(map(get, p))
-            for t in long:
-                del self.table[t]
+        for text in texts:
+            found = self.splitter.split(text)
+            if found is None:
+                yield self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                continue
+            try:
+                yield combine(map(self.table.__getitem__, found))
+            except KeyError:
+                long = self.learn(found)
+                yield combine(map(self.table.__getitem__, found))
+                for t in long:
+                    del self.table[t]
 
 
 def sample_texts(rows: DataFrame, n: int = TABLE_ROWS, longest: int = TABLE_LONGEST) -> list[str]:
@@ -201,7 +209,7 @@ def frequent_pretokens(texts: list[str], definition: str, value, entries: int) -
     for t in texts:
         counts.update(p for p in table.splitter.split(t) or () if isinstance(p, str) and len(p) <= LONGEST_KEPT)
     top = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]]
-    table.learn([top])
+    table.learn(top)
     return {t: table.table[t] for t in top}
 
 

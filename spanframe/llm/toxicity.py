@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanframe.llm.common import held_out, portions, text_or_empty, training_row
+from spanframe.llm.common import bounded_batches, held_out, portions, text_or_empty, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
@@ -121,6 +121,7 @@ def fit_flat(flat: pa.Array, lengths: np.ndarray, labels: np.ndarray, terms=IDEN
 
 def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative: int = NEGATIVE, **options) -> ToxicityModel:
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.where(training_row() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = dict(known.groupBy((F.col("toxic") == 1).alias("y")).count().collect())
     drawn = draw(F.concat(F.lit("toxicity"), F.col("doc_id").cast("string")))
@@ -135,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], words], names=["draw", "doc_id", "toxic", "words"])
 
     schema = picked.select("draw", "doc_id", F.col("toxic").cast("int").alias("toxic")).schema.add("words", T.ArrayType(T.StringType()))
-    rows = texts.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(features, schema).toArrow()
+    # rows that repeat an id are drawn together, so their number is bounded here
+    rows = texts.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(features, schema).orderBy("draw", "doc_id").limit(4 * (positive + negative)).toArrow()
     rows = rows.take(pc.sort_indices(rows, [("draw", "ascending"), ("doc_id", "ascending")])).combine_chunks()
     if not rows.num_rows:
         return ToxicityModel({}, 0.0, 1.0, learned=False)
@@ -146,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of each row with score and predicted."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, text_or_empty().alias("text_to_score"))
 

@@ -9,6 +9,7 @@ import corpus_pipeline
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from spanframe.llm import byte_bpe
 from spanframe.llm.queries import ORACLE_SQL, QUERIES
@@ -62,3 +63,43 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, near copies, and columns of clashing names."""
+    near = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, f"the water and the stone number {i} of the house by the river light", "en", "a", 5) for i in range(60)]
+    rows += [(100 + i, f"das wasser und der stein nummer {i} des hauses am fluss und licht", "de", None, None) for i in range(60)]
+    rows += [(200, near, "en", "b", None), (201, near + " more", "en", "b", None), (202, "long " * 60_000, "en", "b", None), (203, "x" * 200_000, None, "b", None)]
+    rows += [(None, "the water and the river", None, None, None), (None, None, None, None, None), (300, None, "en", "a", None), (301, "", "en", "a", None), (302, "12 34 !?", "en", "a", None)]
+    rows += [rows[0], rows[0], (1, "the light of another text by the same number and the river", "en", "a", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("row", "id", "sha", "key", "digest", "size", "copies", "score", "bin", "place", "component_id"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    docs = odd_documents(spark)
+    columns, rows = docs.columns, Counter(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == columns
+        kept = out.collect()
+        assert kept and all(repr(r) in rows for r in kept)
+        texts = [r.text for r in kept]
+        if name == "language_id":
+            assert len(kept) == sum(rows.values()) - 4 and None not in texts and "" not in texts and Counter(r.doc_id for r in kept)[None] == 1
+        elif name == "exact_dedup":
+            assert len(texts) == len(set(texts)) and Counter(r.doc_id for r in kept)[0] == 1 and Counter(r.doc_id for r in kept)[1] == 2
+        elif name == "ngram_dedup":
+            assert 200 in [r.doc_id for r in kept] and 201 not in [r.doc_id for r in kept] and Counter(r.doc_id for r in kept)[None] == 1
+        docs = spark.createDataFrame(kept, docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    odd_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    odd_documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
