@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -119,6 +120,13 @@ def test_exact_groups(spark, digest):
     assert exact_dedup.exact_groups(empty(spark)).collect() == [] and exact_dedup.drop_copies(empty(spark)).collect() == []
 
 
+def test_the_smallest_ids(spark):
+    least = -(2**63)
+    df = spark.createDataFrame([(least, "a b"), (least + 1, "ab"), (None, "a\tb"), (3, "c"), (least, "c")], "doc_id long, text string")
+    found = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+    assert found == Counter({(least, least, 3, True): 1, (least + 1, least, 3, False): 1, (None, least, 3, False): 1, (3, least, 2, False): 1, (least, least, 2, True): 1})
+
+
 def test_a_hot_group_is_one_group(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     found = exact_dedup.exact_groups(df)
@@ -180,6 +188,27 @@ def test_jaccard_groups_of_odd_tables(spark):
     assert kept.columns == docs(spark).columns and kept.where("doc_id is null").count() == 1
 
 
+def test_families_are_whole_when_leaders_are_not_alike(spark):
+    rng = random.Random(21)
+    values = []
+    for f in range(6):
+        base = [f"f{f}w{rng.randrange(500)}" for _ in range(110)]
+        for _ in range(50):
+            copy = list(base[: rng.randint(100, 110)])
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+            values.append(" ".join(copy))
+    rng.shuffle(values)
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    sets = {i: shingles(t, 3) for i, t in enumerate(values)}
+    want = brute_components(sets, 90)
+    assert 6 < len(set(want.values())) < 300
+    sizes = ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES
+    for ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES in (sizes, (7, 400)):
+        assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(rows, 3, 90).collect()} == want
+    ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES = sizes
+
+
 def test_signature_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(5)]
@@ -291,6 +320,30 @@ def test_near_duplicate_vectors(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()} == found
     embedding_dedup.BLOCK = blocks
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+    crowd, embedding_dedup.CROWD = embedding_dedup.CROWD, 1 / 50  # several hashes a table
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()} == found
+    embedding_dedup.CROWD = crowd
+
+
+def test_null_and_repeated_vector_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, a, 1), (5, a, 1), (5, c, 1), (6, b, 1), (7, c, 1), (7, c, 1), (8, a, None)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter(map(tuple, found)) == Counter({(None, 0, None, True): 1, (5, 1, 5, True): 1, (5, 2, 5, True): 1, (6, 1, 5, False): 1, (7, 2, 5, False): 2, (8, 0, 8, True): 1})
+
+
+@pytest.mark.parametrize(("width", "classes"), [(24, 500), (64, 50_000), (64, 5_000_000), (768, 1_000_000)])
+def test_recall_at_the_threshold(width, classes):
+    hashes = embedding_dedup.hashes_for(width, classes)
+    tables = embedding_dedup.tables_for(width, hashes, 0.93)
+    rng = np.random.default_rng(11)
+    x, z = rng.normal(size=(2, 3000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (embedding_dedup.bucket_keys(v, tables, hashes) for v in (x, y))
+    met = np.any([embedding_dedup.meeting(a, b, t) for t in range(tables)], axis=0)
+    assert met.mean() >= 0.995 and all(len(set(k[2 * t : 2 * t + 2])) == 2 for k in a[:50].tolist() for t in range(tables))
 
 
 def test_rotations_keep_lengths():
@@ -394,6 +447,41 @@ def test_languages(spark):
     assert language_id.language_report(empty(spark)).collect() == []
 
 
+def test_scores_are_those_of_the_model_by_plain_code(spark):
+    df = corpus_of_languages(spark)
+    model = language_id.fit(df)
+    found = {r.doc_id: r for r in language_id.identify(df, model=model).collect()}
+    for r in df.where("doc_id < 60 or doc_id in (1002, 1003)").collect():
+        if not any(map(str.isalpha, r.text)):
+            continue
+        sums, n = [0.0] * len(model.labels), 0
+        for word in r.text.lower().split():
+            padded = f" {word} "
+            for size in (1, 2, 3):
+                for i in range(len(padded) - size + 1):
+                    gram = padded[i : i + size]
+                    if gram != " ":
+                        h = 0
+                        for k, c in enumerate(gram, 1):
+                            h = (h * 0x100000001B3 + ord(c) + k) % 2**64
+                        place = (h * 0x9E3779B97F4A7C15 % 2**64) >> 47
+                        sums = [s + float(w) for s, w in zip(sums, model.weights[place], strict=True)]
+                        n += 1
+        logits = [(s / n + b) / model.scale for s, b in zip(sums, model.bias, strict=True)]
+        shares = [math.exp(x - max(logits)) for x in logits]
+        best = max(range(len(shares)), key=shares.__getitem__)
+        assert found[r.doc_id].lang_pred == model.labels[best] and found[r.doc_id].score == pytest.approx(shares[best] / sum(shares), rel=1e-4)
+
+
+def test_rejection_is_by_score(spark):
+    df = corpus_of_languages(spark)
+    model = language_id.fit(df)
+    scores = sorted(r.score for r in language_id.identify(df, model=model).collect() if r.lang_pred != "und")
+    least = scores[len(scores) // 3]
+    want = Counter(r.doc_id for r in language_id.identify(df).collect() if r.lang_pred != "und" and r.score >= least)
+    assert 0 < sum(want.values()) < len(scores) and Counter(r.doc_id for r in language_id.drop_unidentified(df, least).collect()) == want
+
+
 def test_word_scores_add_up():
     words = ["été", "a", "longer", "x" * 200]
     together, owner = language_id.gram_features(words)
@@ -437,8 +525,9 @@ def test_blocks_round_trip_and_a_changed_block_fails(spark):
         raw = np.asarray(ids, "<u4").tobytes()
         df = spark.createDataFrame([(bytearray(raw),)], "b binary")
         block = bytes(df.select(F.expr(f"{encode}(b)").alias("c")).first().c)
-        back = lambda x: spark.createDataFrame([(bytearray(x),)], "c binary").select(F.expr(f"{decode}(c)").alias("b")).first().b
-        assert bytes(back(block)) == raw
+        ends = [len(ids) // 3, len(ids)]
+        back = lambda x: spark.createDataFrame([(bytearray(x), ends)], "c binary, ends array<long>").select(F.expr(f"{decode}(c, ends)").alias("b")).first().b
+        assert [bytes(x) for x in back(block)] == [raw[: 4 * ends[0]], raw[4 * ends[0] :]]
     assert len(block) < len(raw) / 20
     broken = bytearray(block)
     broken[40] ^= 1
@@ -534,6 +623,16 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(empty(spark), labels.limit(0)).collect() == []
 
 
+def test_toxicity_scores_are_those_of_the_model_by_plain_code(spark):
+    df, labels = toxic_corpus(spark)
+    model = toxicity.fit(df.unionByName(df.limit(50)), labels)
+    for r in toxicity.score_toxicity(df, model, keep=("doc_id", "text")).collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        parts = {"^" + w[:n] for w in words if len(w) > 4 and w not in toxicity.NAMED for n in (4, 5)}
+        total = math.fsum(model.weights.get(w, 0.0) for w in words | parts)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(total + model.bias) / model.scale)), rel=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
 def test_swapped_identity_terms_change_less_under_the_penalty():
     rng = random.Random(8)
     examples = []
