@@ -152,8 +152,11 @@ def mark_spans(text: Column, spans: Column) -> Column:
 
 def span_form(label: Column, surface: Column) -> Column:
     """The surface form of a labelled span, the unit of audit coverage."""
-    titled = surface.rlike(f"(?:{alternation(lexicon.HONORIFICS)})\\z")
-    street = surface.endswith("號")
+    return let(F.struct(label.alias("label"), surface.alias("surface")), lambda x: _form(x["label"], x["surface"]))
+
+
+def _form(label: Column, surface: Column) -> Column:
+    titled, street = surface.rlike(f"(?:{alternation(lexicon.HONORIFICS)})\\z"), surface.endswith("號")
     return (
         F.when((label == "PERSON") & ~titled, F.concat(F.lit("PERSON: "), F.length(surface).cast("string"), F.lit("-character name")))
         .when((label == "PERSON") & (F.length(surface) == 3), F.lit("PERSON: surname + honorific"))

@@ -40,7 +40,8 @@ def tagged_union(tables: dict[str, DataFrame], tag: str = "source") -> DataFrame
 def cell_population(rows: DataFrame, in_sample: Column | None = None) -> DataFrame:
     """(cell, n, in_sample): rows of each coverage cell, and of those that a sample holds, fewest first; one pass."""
     drawn = in_sample if in_sample is not None else F.lit(False)
-    cells = rows.select(drawn.alias("drawn"), F.explode("cells").alias("cell")).groupBy("cell")
+    # an outer generator: with a plain one Spark would compute the cells once more below, to see that there are some
+    cells = rows.select(drawn.alias("drawn"), F.explode_outer("cells").alias("cell")).where(F.col("cell").isNotNull()).groupBy("cell")
     return cells.agg(F.count("*").alias("n"), F.count_if("drawn").alias("in_sample")).orderBy("n", "cell")
 
 

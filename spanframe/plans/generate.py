@@ -227,15 +227,17 @@ def synthesize(keys: DataFrame, key: str) -> DataFrame:
     of = lambda numbers: F.get(F.array(*map(F.lit, numbers)), turn)
     rows = keys.select(F.col(key).cast("long").alias("k")).withColumn("tier", F.get(F.array(*map(F.lit, TIERS)), turn))
     at = of([sum(sizes[:i]) for i in range(len(sizes))]) + (F.floor(F.col("k") / 4) % of(sizes)).cast("int")
-    rows = rows.withColumns({"template": F.get(templates, at), "values": F.array(*slot_values(F.col("k"), F.col("tier")).values()), "bare": F.expr(strip_sql())})
+    # bound by let(), as columns of their own would be put into the fold and computed for each part
+    given = F.struct(F.array(*slot_values(F.col("k"), F.col("tier")).values()).alias("values"), F.expr(strip_sql()).alias("bare"))
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def put(acc: Column, p: Column) -> Column:
-        literal = F.when(F.col("bare"), strip_punctuation(p["literal"])).otherwise(p["literal"])
-        value = F.coalesce(F.get("values", p["value"]), F.lit(""))
+    def put(acc: Column, p: Column, row: Column) -> Column:
+        literal = F.when(row["bare"], strip_punctuation(p["literal"])).otherwise(p["literal"])
+        value = F.coalesce(F.get(row["values"], p["value"]), F.lit(""))
         return let(F.struct(literal.alias("literal"), value.alias("value")), lambda x: _appended(acc, p, x))
 
-    made = F.aggregate("template.parts", F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), put)
-    rows = rows.withColumn("made", made)
+    rows = rows.withColumn("template", F.get(templates, at))
+    rows = rows.withColumn("made", let(given, lambda row: F.aggregate(F.col("template.parts"), zero, lambda acc, p: put(acc, p, row))))
     return rows.select("k", F.concat("tier", F.lit("_"), F.col("k").cast("string")).alias("id"), F.col("made.text").alias("text"), F.col("made.spans").alias("entities"), "tier", F.col("template.id").alias("template_id"))
 
 

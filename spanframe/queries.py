@@ -38,9 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """keys over all cores: what is made of a key costs far more than to move it. A scan of as many splits stays as it is."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys if keys.rdd.getNumPartitions() >= cores else keys.repartition(cores)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled sentence an order."""
-    return synthesize(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return synthesize(spread(table(spark, sf_dir, "orders").select("o_orderkey")), "o_orderkey")
 
 
 def _templates_sql() -> str:
