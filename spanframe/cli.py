@@ -1,4 +1,4 @@
-"""Command line: python -m spanframe.cli generate | audit-sample | audit-check | benchmark | report [--check]."""
+"""Command line: python -m spanframe.cli generate | audit-sample | audit-check | benchmark | report | token-report | run-report."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from spanframe.config import Settings
-from spanframe.plans import audit, benchmark, generate, report
+from spanframe.plans import audit, benchmark, generate, report, token_report
 from spanframe.plans.adapters import default_registry, stored_registry
-from spanframe.sources.files import blocked_names, gold_rows, validated_rows
-from spanframe.sources.sinks import write_text
+from spanframe.sources.files import blocked_names, gold_rows, timed_runs, token_dump, validated_rows
+from spanframe.sources.sinks import write_result, write_text
 
 
 def session() -> SparkSession:
@@ -30,7 +30,7 @@ def tier_spec(text: str) -> dict[str, int]:
 def main(argv: list[str] | None = None) -> int:
     settings = Settings()
     parser = argparse.ArgumentParser(prog="spanframe")
-    parser.add_argument("command", choices=("generate", "audit-sample", "audit-check", "benchmark", "report"))
+    parser.add_argument("command", choices=("generate", "audit-sample", "audit-check", "benchmark", "report", "token-report", "run-report"))
     parser.add_argument("--seed", type=int, default=settings.seed)
     parser.add_argument("--tier-counts", type=tier_spec)
     parser.add_argument("--testset", type=Path, default=settings.data_dir / "testset" / "test.jsonl")
@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--stored", type=Path, help="a folder of stored predictions and result documents to replay")
     parser.add_argument("--blocklist", type=Path)
     parser.add_argument("--readme", type=Path)
+    parser.add_argument("--dumps", type=Path, help="a folder of left_<tokenizer>.json and right_<tokenizer>.json")
+    parser.add_argument("--runs", type=Path, nargs="+", help="files of timed runs, later ones appended to the first")
     parser.add_argument("--limit", type=int)
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--frozen", action="store_true")
@@ -62,6 +64,15 @@ def main(argv: list[str] | None = None) -> int:
         for path, text in texts.items():
             write_text(path, text)
         return 0
+    if args.command == "token-report":
+        spark, names = session(), sorted(p.stem.removeprefix("left_") for p in args.dumps.glob("left_*.json"))
+        pairs = {n: tuple(token_dump(spark, str(args.dumps / f"{side}_{n}.json")) for side in ("left", "right")) for n in names}
+        write_result(token_report.token_report(pairs), args.out / "tokens.json")
+        return 0
+    if args.command == "run-report":
+        spark = session()
+        write_result({"runs": token_report.run_report([timed_runs(spark, str(p)) for p in args.runs])}, args.out / "runs.json")
+        return 0
     sha256 = hashlib.sha256(args.testset.read_bytes()).hexdigest()
     spark, path = session(), str(args.testset)
     if args.command == "benchmark":

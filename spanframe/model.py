@@ -34,7 +34,7 @@ TOKEN_DUMP = f"""
   unk_char_spans array<struct<start:int,end:int,text:string>>
 """
 CALLS = "system string, ord long, ms double"
-TIMED_RUN = "model string, condition string, cold_load_ms double, first_inference_ms double, latencies_ms array<double>, error string, timed_out boolean"
+TIMED_RUN = "run_id string, model string, condition string, cold_load_ms double, first_inference_ms double, latencies_ms array<double>, error string, timed_out boolean"
 
 
 def no_spans() -> Column:

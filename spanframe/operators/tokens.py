@@ -45,11 +45,15 @@ def unknown_rate(dump: DataFrame, by: str = "source") -> DataFrame:
     return out.withColumn("rate", half_even(F.try_divide("unk_chars", "chars"), 6))
 
 
-def top_unknown(dump: DataFrame, n: int = 30, order: str = "ord") -> DataFrame:
-    """The n most frequent texts of unknown tokens; of equal counts the one that came first is first."""
-    spans = dump.select(order, F.posexplode("unk_char_spans").alias("place", "s")).select(F.struct(order, "place").alias("seen"), F.col("s.text").alias("text"))
-    counted = spans.groupBy("text").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
-    return counted.orderBy(F.desc("n"), "first").limit(n).select("text", "n")
+def top_unknown(dump: DataFrame, n: int = 30, order: str = "ord", by: str | None = None) -> DataFrame:
+    """The n most frequent texts of unknown tokens, of each `by` if given; of equal counts the one that came first is first."""
+    keys = [by] if by else []
+    spans = dump.select(*keys, order, F.posexplode_outer("unk_char_spans").alias("at", "s")).where(F.col("s").isNotNull())
+    counted = spans.select(*keys, F.struct(order, "at").alias("seen"), F.col("s.text").alias("text")).groupBy(*keys, "text").agg(F.count("*").alias("n"), F.min("seen").alias("first"))
+    if by is None:
+        return counted.orderBy(F.desc("n"), "first").limit(n).select("text", "n")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
+    return counted.withColumn("place", place).where(F.col("place") <= n).select(by, "place", "text", "n")
 
 
 def over_cap(dump: DataFrame, cap: int = 512, by: str = "source", order: str = "ord") -> DataFrame:

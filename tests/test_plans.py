@@ -285,6 +285,40 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert text.index("Patterns and lexicon") < text.index("Language model (few-shot)") and "0.7106" in text
 
 
+def dump_row(i, source, text, tokens, ids, unknown=()):
+    at, offsets = 0, []
+    for t in tokens:
+        width = 1 if t == "[UNK]" else len(t.removeprefix("##"))
+        offsets.append([at, at + width])
+        at += width
+    spans = [{"start": s, "end": s + 1, "text": text[s]} for s in unknown]
+    return {"id": i, "source": source, "tier": None, "text": text, "text_len_chars": len(text), "entities": [{"start": 0, "end": 2, "label": "ORG"}], "input_ids": [1, *ids, 2], "tokens": ["[CLS]", *tokens, "[SEP]"],
+            "offsets": [[0, 0], *offsets, [0, 0]], "special_tokens_mask": [1, *[0] * len(tokens), 1], "content_tokens": tokens, "num_ids": len(ids) + 2, "unk_char_spans": spans}
+
+
+def test_token_and_run_reports(spark, tmp_path):
+    left = [dump_row("a", "test", "台北市路", ["台北", "##市", "路"], [5, 6, 7]), dump_row("b", "test", "甲乙☃丙", ["甲乙", "[UNK]", "丙"], [5, 0, 8], [2]), dump_row("c", "hard", "：：", ["::"], [9] * 600, [0, 1])]
+    left[2]["tokens"], left[2]["content_tokens"], left[2]["offsets"] = ["[CLS]", "::", "[SEP]"], ["::"], [[0, 0], [0, 2], [0, 0]]
+    right = [left[0], left[1] | {"input_ids": [1, 5, 1, 8, 2], "content_tokens": ["甲乙", "丙"]}]
+    sinks.write_text(tmp_path / "left_m.json", json.dumps(left, ensure_ascii=False))
+    sinks.write_text(tmp_path / "right_m.json", json.dumps(right, ensure_ascii=False))
+    assert cli.main(["token-report", "--dumps", str(tmp_path), "--out", str(tmp_path / "out")]) == 0
+    r = json.loads((tmp_path / "out" / "tokens.json").read_text())["m"]
+    assert [(r["parity"][s]["total"], r["parity"][s]["matches"], r["parity"][s]["mismatch_ids"]) for s in ("test", "hard")] == [(2, 1, ["b"]), (1, 0, ["c"])]
+    assert (r["parity"]["all"]["match_rate"], r["token_counts"]["hard"]["over_cap_ids"], r["token_counts"]["test"]["over_cap_ids"]) == (0.333333, ["c"], [])
+    assert (r["unknown"]["test"], r["unknown"]["hard"]["texts"]) == ({"unk_chars": 1, "chars": 8, "rate": 0.125, "texts": ["☃"]}, ["：", "："][:1])
+    plain, folded, other = r["rebuilt"]["left"]["plain"], r["rebuilt"]["left"]["folded"], r["rebuilt"]["right"]["plain"]
+    assert (plain["tokens"], plain["tokens_right"], plain["entities"], plain["entities_right"], plain["uneven"]) == (7, 6, 3, 2, 0)
+    assert (folded["tokens_right"], folded["mismatch_examples"], [m["id"] for m in plain["mismatch_examples"]]) == (7, [], ["c"])
+    assert (other["rows"], other["uneven"], other["tokens_right"]) == (2, 1, 3)
+    run = {"model": "m", "condition": "c", "cold_load_ms": 2.0, "first_inference_ms": 1.0, "latencies_ms": [1.0, 3.0], "error": None, "timed_out": False}
+    sinks.write_text(tmp_path / "one.json", json.dumps([run | {"run_id": "1"}, run | {"run_id": "2", "error": "lost"}]))
+    sinks.write_text(tmp_path / "two.json", json.dumps([run | {"run_id": "2", "error": "lost"}, run | {"run_id": "3", "cold_load_ms": 4.0, "latencies_ms": [5.0]}]))
+    assert cli.main(["run-report", "--runs", str(tmp_path / "one.json"), str(tmp_path / "two.json"), "--out", str(tmp_path / "out")]) == 0
+    (found,) = json.loads((tmp_path / "out" / "runs.json").read_text())["runs"]
+    assert (found["ok_run_count"], found["cold_load_ms_median"], found["latency_p50"], found["latency_n"]) == (2, 3.0, 3.0, 3)
+
+
 def test_limit_takes_the_first_rows(spark, examples, tmp_path):
     gold = examples.select("id", "text", F.col("entities").alias("spans"), "tier", "ord")
     assert benchmark.run_all(adapters.default_registry(), ["regex"], gold, tmp_path, "p", SHA256, limit=5) == 0
