@@ -8,6 +8,7 @@ from spanframe.functions import match as M
 from spanframe.functions import spans as S
 from spanframe.functions import text as X
 from spanframe.functions import tokens as K
+from spanframe.functions.arrays import running_sums
 from spanframe.model import SPANS
 from spanframe.operators.responses import located_responses
 
@@ -156,3 +157,26 @@ def test_rebuilt_offsets_agree_with_plain_code(spark):
 def test_normalisation_keeps_length(spark):
     assert one(spark, "Ａ１", K.normalised_or_plain(F.col("text"))) == "A1"
     assert one(spark, "①㍿", K.normalised_or_plain(F.col("text"))) == "①㍿"
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 4096, 10_001])
+def test_running_sums(spark, n):
+    numbers = F.expr(f"transform(sequence(1, {max(n, 1)}), i -> cast(i % 7 as int))") if n else F.array().cast("array<int>")
+    found = spark.range(1).select(running_sums(numbers).alias("s")).first().s
+    want, total = [], 0
+    for i in range(1, n + 1):
+        total += i % 7
+        want.append(total)
+    assert found == want
+
+
+def test_many_matches_in_one_text(spark):
+    text = "é1\x01 " * 100_000
+    found = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(S.find_matches(F.col("text"), "[é1]+").alias("m")).collect()
+    assert len(found[0].m) == 100_000 and tuple(found[0].m[-1]) == (399_996, 399_998, "é1") and [r.m for r in found[1:]] == [[], []]
+
+
+def test_overlapping_spans_in_the_row(spark):
+    spans = [(5, 9, "a"), (0, 6, "b"), (9, 10, "c"), (1, 2, "d"), (8, 12, "e")]
+    df = spark.createDataFrame([(spans,), ([],)], f"spans {SPANS}")
+    assert [[tuple(s) for s in r.x] for r in df.select(S.overlapping(F.col("spans")).alias("x")).collect()] == [[(1, 2, "d"), (5, 9, "a"), (8, 12, "e"), (9, 10, "c")], []]

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from spanframe import cli, lexicon
 from spanframe.config import Settings
+from spanframe.functions.text import slot_count
 from spanframe.operators import scoring
 from spanframe.plans import adapters, audit, benchmark, generate, report
 from spanframe.sources import files, sinks
-from spanframe.streaming.spans import stream_spans
+from spanframe.streaming.spans import stream_spans, windowed_latency
 
 #: Digest of the published 300-row set of seed 42.
 SHA256 = "84025f8e7fd50c905258864c3a93349f565e17a75b208f98ad29f431656d69f6"
@@ -340,3 +341,20 @@ def test_stream(spark, tmp_path, examples):
     q.processAllAvailable()
     q.stop()
     assert spark.table("found").count() == 518
+
+
+def test_windowed_latency_of_a_stream(spark, tmp_path):
+    rows = [(f"2024-05-01 {h:02}:{m:02}:00", kind, float(10 * h + m)) for h in range(3) for m in range(0, 60, 5) for kind in ("a", "b")]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = windowed_latency(stream).writeStream.outputMode("complete").format("memory").queryName("latency").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    found = {(r.window_start.hour, r.event_type): (r.p50, r.n) for r in spark.table("latency").collect()}
+    assert found == {(h, kind): (10 * h + 25.0, 12) for h in range(3) for kind in ("a", "b")}
+
+
+def test_slots_of_a_template(spark):
+    df = spark.createDataFrame([("{PERSON}在{ADDRESS}，{DATE}，{PERSON}",), ("none",)], "t string")
+    assert [r.n for r in df.select(slot_count(F.col("t"), ("PERSON", "ADDRESS", "ORG")).alias("n")).collect()] == [3, 0]
