@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import sys
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -58,7 +60,8 @@ def tokenizer_definition(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
 
 
 def character_offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

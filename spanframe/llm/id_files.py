@@ -22,17 +22,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.byte_bpe import ENTRIES, id_bytes
-from spanframe.llm.common import checked_broadcast, portions, text_or_empty
+from spanframe.llm.common import bounded_batches, checked_broadcast, portions, text_or_empty
 from spanframe.llm.id_coder import register
 from spanframe.llm.pretokens import frequent_pretokens, sample_texts, worker_table
 
 BLOCK_IDS = 1 << 17
+#: Pre-tokens that a worker keeps.
+CACHE_ENTRIES = 350_000
 SCHEMA = "shard int, block long, start long, doc_ids array<long>, ends array<long>, ids binary"
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Encode the texts by a .json tokenizer, close each with end_id, and write the file set to path."""
     spark, definition = docs.sparkSession, Path(tokenizer).read_text(encoding="utf-8")
+    bounded_batches(spark)
     encode, _ = register(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # read before the rows are dealt out, so that only these are
@@ -47,7 +50,7 @@ def _packer(shared, block_ids: int, tail: bytes):
 
     def run(batches):
         definition, frequent = shared.value
-        found = worker_table("ids-" + hashlib.sha256(definition.encode()).hexdigest(), frequent, id_bytes, definition)
+        found = worker_table("ids-" + hashlib.sha256(definition.encode()).hexdigest(), frequent, id_bytes, definition, CACHE_ENTRIES)
         shard, block, start, held, docs, ends = TaskContext.get().partitionId(), 0, 0, [], [], [0]
 
         def close():
@@ -77,12 +80,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     sizes = blocks.groupBy("shard").agg(F.max(F.col("start") + F.element_at("ends", -1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.select(F.col("shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = blocks.join(checked_broadcast(shards), "shard").select((F.col("first") + F.col("start")).alias("at"), "doc_ids", "ends", F.expr(f"{decode}(data)").alias("ids"))
+    placed = blocks.join(checked_broadcast(shards), "shard").select((F.col("first") + F.col("start")).alias("at"), "doc_ids", "ends", F.expr(f"{decode}(data, ends)").alias("ids"))
 
     def document(doc_id: Column, i: Column) -> Column:
         first = F.when(i == 0, F.lit(0)).otherwise(F.col("ends")[i - 1])
-        n = F.col("ends")[i] - first
-        ids = F.substring(F.col("ids"), (4 * first + 1).cast("int"), (4 * n).cast("int"))
-        return F.struct(doc_id.alias("doc_id"), (F.col("at") + first).alias("start"), n.alias("n_tokens"), ids.alias("ids_le"))
+        return F.struct(doc_id.alias("doc_id"), (F.col("at") + first).alias("start"), (F.col("ends")[i] - first).alias("n_tokens"), F.col("ids")[i].alias("ids_le"))
 
     return placed.select(F.inline(F.transform("doc_ids", document)))

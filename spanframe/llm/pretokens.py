@@ -8,6 +8,7 @@ strings have options, goes to the library text by text. All ways give the librar
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -41,7 +42,7 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-BYTE_CHARACTERS = dict(enumerate(byte_characters()))
+BYTE_CHARACTERS = "".join(byte_characters())
 
 
 def vocabulary(definition: str) -> list[bytes]:
@@ -150,7 +151,7 @@ def head(definition: str) -> dict:
 class PretokenTable:
     """Pre-token to value: frequent entries that stay, and a worker's own that are dropped together when they are many."""
 
-    def __init__(self, frequent: dict, value, definition: str):
+    def __init__(self, frequent: dict, value, definition: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -161,6 +162,7 @@ class PretokenTable:
         self.splitter = Splitter(spec, self.tokenizer)
         self.special = {(x["content"],): value([x["id"]]) for x in spec.get("added_tokens", [])}
         self.table = frequent | self.special
+        self.most = entries + len(self.table)
         self.back: tuple[list[bytes], np.ndarray] | None = None
 
     def bytes_of_ids(self) -> tuple[list[bytes], np.ndarray]:
@@ -170,16 +172,15 @@ class PretokenTable:
             self.back = table, np.array([len(x) for x in table], np.int64)
         return self.back
 
-    def learn(self, pretokens: list) -> list[str]:
-        """Have all of the pre-tokens in the table; gives the new long ones, which the caller drops after use."""
-        missing = list(set(pretokens).difference(self.table))
-        if len(self.table) + len(missing) > CACHE_ENTRIES + len(self.frequent):
-            self.table = self.frequent | self.special
-            missing = list(set(pretokens).difference(self.table))
-        tokenize, value = self.model.tokenize, self.value
-        for token in missing:
-            self.table[token] = value([t.id for t in tokenize(token.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
-        return [t for t in missing if len(t) > LONGEST_KEPT]
+    def of(self, token: str):
+        """The value of a pre-token that the table does not hold: encoded by the model, and kept if it is short."""
+        written = codecs.charmap_decode(token.encode(), "strict", BYTE_CHARACTERS)[0]
+        made = self.value([t.id for t in self.model.tokenize(written)])
+        if len(token) <= LONGEST_KEPT:
+            if len(self.table) >= self.most:
+                self.table = self.frequent | self.special
+            self.table[token] = made
+        return made
 
     def lookup(self, texts: list[str], combine):
         """combine(values of the pre-tokens) of each text."""
@@ -188,13 +189,16 @@ class PretokenTable:
             if found is None:
                 yield self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 continue
-            try:
-                yield combine(map(self.table.__getitem__, found))
-            except KeyError:
-                long = self.learn(found)
-                yield combine(map(self.table.__getitem__, found))
-                for t in long:
-                    del self.table[t]
+            values = list(map(self.table.get, found))
+            if None in values:
+                new: dict = {}  # a pre-token of the text is encoded once, also where it is not kept
+                for i, v in enumerate(values):
+                    if v is None:
+                        token = found[i]
+                        if token not in new:
+                            new[token] = self.of(token)
+                        values[i] = new[token]
+            yield combine(values)
 
 
 def sample_texts(rows: DataFrame, n: int = TABLE_ROWS, longest: int = TABLE_LONGEST) -> list[str]:
@@ -208,11 +212,9 @@ def frequent_pretokens(texts: list[str], definition: str, value, entries: int) -
     counts: Counter[str] = Counter()
     for t in texts:
         counts.update(p for p in table.splitter.split(t) or () if isinstance(p, str) and len(p) <= LONGEST_KEPT)
-    top = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]]
-    table.learn(top)
-    return {t: table.table[t] for t in top}
+    return {t: table.of(t) for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]}
 
 
-def worker_table(key: str, frequent: dict, value, definition: str) -> PretokenTable:
+def worker_table(key: str, frequent: dict, value, definition: str, entries: int = CACHE_ENTRIES) -> PretokenTable:
     """This worker process's table for a key; it outlives tasks."""
-    return kept_by_worker(key, lambda: PretokenTable(frequent, value, definition))
+    return kept_by_worker(key, lambda: PretokenTable(frequent, value, definition, entries))
