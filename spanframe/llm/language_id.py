@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import bounded_batches, checked_broadcast, held_out, kept_by_worker, portions, training_row
+from spanframe.llm.common import bounded_batches, checked_broadcast, held_out, kept_by_worker, portions, release, training_row
 from spanframe.llm.linear import Ftrl, softmax, temperature
 from spanframe.llm.mixing import draw
 
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ("do
     bounded_batches(spark)
     model = model or fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
+    release()  # what the fit needed
     rows = docs.select(*keep, F.col("text").alias("text_to_identify"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
@@ -187,6 +188,7 @@ def drop_unidentified(docs: DataFrame, least: float = REJECT_BELOW, sample: int
     bounded_batches(spark)
     model = fit(docs, sample)
     shared, key = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.scale)), uuid.uuid4().hex
+    release()  # what the fit needed
     at = docs.columns.index("text")
 
     def run(batches):

@@ -14,9 +14,9 @@ the join proper, over the places where components still meet, each set of classe
   their size range, is traversed against itself; nodes of one component, of sizes too far apart or whose largest possible
   overlap is too small are pruned. Of the pairs left open a place gives the edges of a spanning forest alone, and the
   components of these edges over all places are families: every pair that is still open lies within one.
-- The classes of a family come with their whole sets to one task, where the same trees, now over exact sets, are
-  traversed: leaves of classes are compared by their shingles, a found link merges components at once so that pairs of
-  one component are skipped from then on, and only forest edges leave the task.
+- The classes of a family come with their whole sets to one task (or, where that is cheaper, place by place), where the
+  same trees, now over exact sets, are traversed: leaves of classes are compared by their shingles, a found link merges
+  components at once so that pairs of one component are skipped from then on, and only forest edges leave the task.
 
 A place or family of over BLOCK classes, or of many shingles, is dealt into blocks, and each pair of blocks is a tree
 join of its own; so a task holds two blocks at most, and no pair is lost.
@@ -43,6 +43,8 @@ from spanframe.llm.components import connected_components
 
 #: Classes and shingles of a block, children of a node, and classes of a leaf over exact sets.
 BLOCK, BLOCK_SHINGLES, LEAF, SET_LEAF = 2048, 2_000_000, 8, 32
+#: What a shingle of a family that meets as a whole counts against one that meets place by place.
+FAMILY_COST = 1.0
 #: Shares from which words count as frequent and shingles as common, and bounds of the two broadcast tables.
 FREQUENT, COMMON, MOST_ENTRIES = 1e-5, 1 / 512, 1 << 18
 FILTER_BITS = 1 << 25
@@ -560,6 +562,23 @@ def blocks_of(classes: Column, shingles: Column) -> Column:
     return F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
 
 
+def compared_together(families: DataFrame, members: DataFrame) -> DataFrame:
+    """(place, blocks, rep, root): the groups in which the classes of families (rep, family, n, root) meet with their sets.
+
+    A family meets as a whole, where each set goes once. One of several blocks may meet place by place (members) instead, if
+    that moves fewer shingles: a chain of many classes of which few are alike would be far more pairs as a whole than its
+    places have. Such families have over BLOCK classes or BLOCK_SHINGLES shingles each, so there are few to choose for.
+    """
+    large = families.groupBy("family").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"), F.sum("n").alias("total")).where(FAMILY_COST * F.col("blocks") > 1)
+    here = members.select("place", F.col("blocks").alias("pairs"), "rep").join(families.join(checked_broadcast(large), "family"), "rep")
+    apart = here.groupBy("family").agg(F.sum(F.col("n") * F.col("pairs")).alias("apart"), F.first("blocks").alias("as_whole"), F.first("total").alias("total"))
+    chosen = checked_broadcast(apart.select("family", "as_whole", (FAMILY_COST * F.col("total") * F.col("as_whole") > F.col("apart")).alias("by_place")))
+    marked = families.join(chosen, "family", "left")
+    together = marked.where(~F.coalesce("by_place", F.lit(False))).select(F.col("family").alias("place"), F.coalesce("as_whole", F.lit(1).cast("long")).alias("blocks"), "rep", "root")
+    split = here.join(chosen.where("by_place"), "family").select(F.xxhash64("family", "place").alias("place"), F.col("pairs").alias("blocks"), "rep", "root")
+    return together.unionByName(split)
+
+
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     spark = docs.sparkSession
@@ -612,19 +631,18 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
         F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"),
     ).where("a != b")
     met = met.groupBy("many", "total", "x", "y").agg(F.min("key").alias("key")).select("key", blocks_of(F.col("many"), F.col("total")).alias("blocks"))
-    members = rooted.join(met, "key").withColumnRenamed("key", "place").join(classes.select("rep", "bits"), "rep")
-    near = dealt_in_blocks(members, "n", "root", "bits").mapInArrow(_grouped(5, place_join(percent)), "u long, v long").distinct()
-    near = scratch.save(near, "near")
+    members = scratch.save(rooted.join(met, "key").withColumnRenamed("key", "place"), "members")
     scratch.drop("rooted")
-    families = scratch.save(connected_components(near, scratch, "families").select(F.col("node").alias("rep"), F.col("root").alias("place")), "families")
-    families = families.unionByName(families.select(F.col("place").alias("rep"), "place").distinct())  # a root is of its own family
+    near = dealt_in_blocks(members.join(classes.select("rep", "bits"), "rep"), "n", "root", "bits").mapInArrow(_grouped(5, place_join(percent)), "u long, v long").distinct()
+    near = scratch.save(near, "near")
+    families = connected_components(near, scratch, "families").select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    families = families.unionByName(families.select(F.col("family").alias("rep"), "family").distinct())  # a root is of its own family
     families = families.join(classes.select("rep", "n"), "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    families = scratch.save(families.select("rep", "place", "n", F.coalesce("root", "rep").alias("root")), "rooted-families")
-    large = families.groupBy("place").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")).where("blocks > 1")
-    members = families.join(checked_broadcast(large), "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    members = members.join(sets_of(families, docs, width, scratch, "sets"), "rep")
+    families = scratch.save(families.select("rep", "family", "n", F.coalesce("root", "rep").alias("root")), "families")
+    members = compared_together(families, members).join(sets_of(families, docs, width, scratch, "sets"), "rep")
     more = scratch.save(dealt_in_blocks(members, "root", "shingles").mapInArrow(_grouped(4, family_join(percent)), "u long, v long").distinct(), "more")
-    scratch.drop("sets")
+    for name in ("sets", "members", "near"):
+        scratch.drop(name)
     roots = connected_components(links.unionByName(more), scratch, "second")
 
     answers = classes.join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.col("copies").alias("rows"), F.coalesce("root", "rep").alias("component_id"))

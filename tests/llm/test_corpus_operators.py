@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanframe.llm import byte_bpe, embedding_dedup, exact_dedup, id_coder, id_files, language_id, mixing, ngram_join, pretokens, secret_scan, token_counts, toxicity
+from spanframe.llm import byte_bpe, components, embedding_dedup, exact_dedup, id_coder, id_files, language_id, mixing, ngram_join, pretokens, secret_scan, token_counts, toxicity
 from spanframe.llm.common import Scratch
 from spanframe.llm.components import connected_components
 
@@ -203,10 +203,10 @@ def test_families_are_whole_when_leaders_are_not_alike(spark):
     sets = {i: shingles(t, 3) for i, t in enumerate(values)}
     want = brute_components(sets, 90)
     assert 6 < len(set(want.values())) < 300
-    sizes = ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES
-    for ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES in (sizes, (7, 400)):
+    sizes = ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES, ngram_join.FAMILY_COST
+    for ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES, ngram_join.FAMILY_COST in (sizes, (7, 400, 1.0), (2048, 10**6, 10.0**9)):
         assert {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(rows, 3, 90).collect()} == want
-    ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES = sizes
+    ngram_join.BLOCK, ngram_join.BLOCK_SHINGLES, ngram_join.FAMILY_COST = sizes
 
 
 def test_signature_trees_lose_no_pair():
@@ -252,10 +252,12 @@ def test_a_family_gives_a_forest_of_its_links():
             assert len(edges) == 150 - len(set(want.values()))
 
 
-def test_components_of_paths_and_hubs(spark):
-    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
+@pytest.mark.parametrize("at_once", [0, 10_000])
+def test_components_of_paths_and_hubs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "IN_ONE_TASK", at_once)
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (5, 4)]
     found = connected_components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()
-    assert {r.node: r.root for r in found} == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
+    assert {r.node: r.root for r in found} == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} and len(found) == 99
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).collect() == []
 
 
