@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanframe.llm.byte_bpe import round_trip
-from spanframe.llm.common import Scratch, table
+from spanframe.llm.common import Scratch, release_driver, table
 from spanframe.llm.exact_dedup import drop_copies
 from spanframe.llm.language_id import drop_unidentified
 from spanframe.llm.mixing import draw_mix
@@ -24,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that are null, empty or without a letter go; rows that repeat stay or go alike; a null doc_id, lang or source does
     not matter. Where no row is labelled there is no language, and every row goes.
     """
+    release_driver(spark)
     return drop_unidentified(docs)
 
 
@@ -33,6 +34,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are equal to empty ones. Of rows that repeat an id and a text one stays; rows of one id and other texts are
     documents of their own.
     """
+    release_driver(spark)
     return drop_copies(docs)
 
 
@@ -42,6 +44,7 @@ def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words link with nothing and stay, and so does a null doc_id; rows of one id are one document, and stay or go
     together.
     """
+    release_driver(spark)
     return drop_near_copies(docs, width=5, percent=80)
 
 
@@ -51,11 +54,13 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own. Rows that are alike in source, id and size are taken as often as each other; a text
     without words comes with complete passes only.
     """
+    release_driver(spark)
     return draw_mix(docs, quality_weight())
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's ids and of what they decode to; a null text is an empty one."""
+    release_driver(spark)
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import bounded_batches, portions, text_or_empty
+from spanframe.llm.common import bounded_batches, portions, release, text_or_empty
 from spanframe.llm.pretokens import TABLE_ROWS, byte_characters, frequent_pretokens, sample_texts, vocabulary, worker_table
 
 ENTRIES = 32_768
@@ -92,6 +92,7 @@ def encode_by_definition(docs: DataFrame, definition: str, id_col: str = "doc_id
     bounded_batches(spark)
     kept = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     shared = spark.sparkContext.broadcast((definition, frequent_pretokens(sample_texts(kept, table_rows), definition, id_bytes, entries)))
+    release()  # what the table needed
     schema = f"{id_col} {kept.schema[0].dataType.simpleString()}, n_tokens long, ids_le binary"
     schema += ", offsets array<struct<start:int,end:int>>" * offsets + ", decoded binary, n_split long" * decode
 

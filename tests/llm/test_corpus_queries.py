@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 from collections import Counter
 
 import compare
@@ -12,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from spanframe.llm import byte_bpe
+from spanframe.llm.common import release_driver
 from spanframe.llm.queries import ORACLE_SQL, QUERIES
 
 SF = f"{compare.DATA}/sf0.001"
@@ -103,3 +105,16 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     odd_documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_stages_give_the_driver_s_memory_back(spark, monkeypatch):
+    jvm, client = spark.sparkContext._jvm, spark.sparkContext._gateway._gateway_client
+    for operator in ("drop_unidentified", "drop_copies", "drop_near_copies", "draw_mix", "round_trip"):
+        monkeypatch.setattr(corpus_pipeline, operator, lambda docs, *args, **options: docs)
+    for name, stage in corpus_pipeline.STAGES:
+        garbage = jvm.java.lang.Object()
+        left = jvm.java.lang.ref.WeakReference(garbage)
+        client.garbage_collect_object(garbage._target_id, False)  # Python's hold on it
+        stage(spark, spark.range(0), SF)
+        assert left.get() is None, name
+    assert release_driver(spark) or not sys.platform.startswith("linux")
