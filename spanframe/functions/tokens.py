@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanframe.functions.text import strip_marker
+from spanframe.functions.batches import lists_of, offset_lists, values_of
 
 OFFSETS = "array<struct<start:int,end:int>>"
 
@@ -34,29 +35,42 @@ def rebuild_offsets(text: Column, tokens: Column, unknown: tuple[str, ...] = ("[
     to the next token's text: of the next two tokens the first that has text and is not unknown is looked for, and if it
     is found beyond the cursor the gap is the unknown token's; else it takes one character. After a token that is not
     found the cursor is at the end of the text.
+
+    A row's walk is plain code over an Arrow batch, one step a token; a fold of column expressions would look up and strip
+    each token some ten times a step and copy what it has.
     """
-    size = F.length(text)
-    find = lambda piece, at: F.call_function("locate", piece, text, at + 1)
-    known = lambda t: t.isNotNull() & ~t.isin(*unknown)
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast(OFFSETS).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["cursor"]
-        token, one, two = F.element_at(tokens, i), F.try_element_at(tokens, i + 1), F.try_element_at(tokens, i + 2)
-        piece = strip_marker(token)
-        # what bounds an unknown token: the next token's text, or the one's after it where the next has none
-        bound = F.when(known(one) & (strip_marker(one) != ""), strip_marker(one)).when(known(one) & known(two) & (strip_marker(two) != ""), strip_marker(two))
-        found_bound = find(bound, at) - 1
-        unknown_end = F.when(bound.isNotNull() & (found_bound > at), found_bound).otherwise(F.least(at + 1, size))
-        found = find(piece, at) - 1
-        missing = ~token.isin(*unknown) & (piece != "") & (found < 0)
-        start = F.when(token.isin(*unknown) | (piece == ""), at).otherwise(found)
-        end = F.when(token.isin(*unknown), unknown_end).when(piece == "", at).otherwise(found + F.length(piece))
-        entry = F.when(~missing, F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-        return F.struct(F.when(missing, size).otherwise(end).cast("int").alias("cursor"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda acc: acc["out"])
+
+    @F.arrow_udf(OFFSETS)
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return offset_lists([_walked(t, own or [], unknown) for t, own in zip(values_of(texts), lists_of(lists), strict=True)])
+
+    return run(text, tokens)
+
+
+def _walked(text: str | None, tokens: list[str | None], unknown: tuple[str, ...]) -> list[tuple[int, int] | None]:
+    if text is None:
+        return [None] * len(tokens)
+    # None of an unknown token or none at all, else the text
+    bare = [None if t is None or t in unknown else t[2:] if t.startswith("##") else t[1:] if t.startswith("▁") else t for t in tokens]
+    size, at, out = len(text), 0, []
+    for i, (token, piece) in enumerate(zip(tokens, bare, strict=True)):
+        if piece is not None:
+            start = text.find(piece, at) if piece else at
+            out.append((start, start + len(piece)) if start >= 0 else None)
+            at = start + len(piece) if start >= 0 else size
+        elif token is None:
+            out.append(None)
+            at = size
+        else:
+            # what bounds an unknown token: the next token's text, or the one's after it where the next has none
+            bound = bare[i + 1] if i + 1 < len(bare) else None
+            if bound == "":
+                bound = bare[i + 2] if i + 2 < len(bare) else None
+            found = text.find(bound, at) if bound else -1
+            end = found if found > at else min(at + 1, size)
+            out.append((at, end))
+            at = end
+    return out
 
 
 @F.pandas_udf(T.StringType())

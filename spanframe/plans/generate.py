@@ -1,7 +1,7 @@
 """Labelled synthetic sentences: the exact set of a seed, and any number of rows from keys.
 
 The exact set is one sequence of draws of one generator, so it is made on the driver (a few hundred rows). The scaled
-form takes every choice from arithmetic on a key and is a plan of column expressions, rows independent of each other.
+form takes every choice from arithmetic on a key, rows independent of each other, and is made in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,16 +11,19 @@ import random
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe import lexicon
-from spanframe.functions.arrays import let
-from spanframe.functions.text import ASCII, FULLWIDTH, strip_punctuation
+from spanframe.functions.batches import span_lists, values_of
+from spanframe.functions.text import ASCII, FULLWIDTH
 from spanframe.model import EXAMPLE, LABELS, SPANS, TIERS
 
 SLOT = re.compile(r"\{([A-Z_]+)\}")
 ATTEMPTS = 50
+#: Rows of the keyed form.
+KEYED = f"k long, id string, text string, entities {SPANS}, tier string, template_id string"
 _WIDE, _BARE = str.maketrans(ASCII, FULLWIDTH), str.maketrans("", "", lexicon.STRIPPED)
 
 
@@ -177,73 +180,83 @@ def template_rows() -> list[tuple[str, int, str, list[tuple[str, str | None]]]]:
     return [(tier, i, t[0], pieces(t[2])) for tier, pool in pools().items() for i, t in enumerate(pool)]
 
 
-def _list(values) -> Column:
-    """A fixed list as one literal, which costs a plan no branch a value."""
-    kind = "array<string>" if isinstance(values[0], str) else "array<array<string>>"
-    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), kind)
+def _plain_values() -> dict[str, Callable[[int, str], str]]:
+    """slot_sql() as plain functions of a key and a tier: the same values."""
+    turn = lambda values, k: values[k % len(values)]
+    cities = list(lexicon.DISTRICTS)
 
+    def person(k: int, tier: str) -> str:
+        name, at = lexicon.SURNAMES[k * 11 % 39], k * 7 % 40
+        polite = (tier == "medium" and k % 5 < 2) or (tier == "hard" and k % 10 < 7)
+        given = "" if polite and k % 3 < 2 else lexicon.GIVEN_CHARACTERS[at : at + 1 + k % 2]
+        return name + given + turn(lexicon.HONORIFICS, k) if polite else name + given
 
-def _turn(values, turn: Column) -> Column:
-    return F.get(_list(values), (turn % len(values)).cast("int"))
+    def address(k: int, tier: str) -> str:
+        city = turn(cities, k)
+        place = city + turn(lexicon.DISTRICTS[city], k * 3)
+        return place if tier == "hard" and k % 5 < 3 else f"{place}{turn(lexicon.ROADS, k * 3)}{turn(lexicon.ROAD_SUFFIXES, k)}{k % 3 + 1}段{k % 300 + 1}號"
 
+    def full(made: Callable[[int, str], str]) -> Callable[[int, str], str]:
+        return lambda k, tier: made(k, tier).translate(_KEYED_WIDE) if _is_wide(k, tier) else made(k, tier)
 
-def slot_values(k: Column, tier: Column) -> dict[str, Column]:
-    """slot_sql() as columns over fixed lists: the same values, in far less code a row."""
-    number = lambda n: n.cast("string")
-    hard, medium = tier == "hard", tier == "medium"
-    name = F.substring(F.lit(lexicon.SURNAMES), (k * 11 % 39 + 1).cast("int"), F.lit(1))
-    given = F.substring(F.lit(lexicon.GIVEN_CHARACTERS), (k * 7 % 40 + 1).cast("int"), (1 + k % 2).cast("int"))
-    polite = (medium & (k % 5 < 2)) | (hard & (k % 10 < 7))
-    person = F.concat(name, F.when(polite & (k % 3 < 2), "").otherwise(given), F.when(polite, _turn(lexicon.HONORIFICS, k)).otherwise(""))
-    cities = list(lexicon.DISTRICTS)
-    districts = F.get(_list([list(lexicon.DISTRICTS[c]) for c in cities]), (k % len(cities)).cast("int"))
-    place = F.concat(_turn(cities, k), F.get(districts, (k * 3 % F.size(districts)).cast("int")))
-    street = F.concat(_turn(lexicon.ROADS, k * 3), _turn(lexicon.ROAD_SUFFIXES, k), number(k % 3 + 1), F.lit("段"), number(k % 300 + 1), F.lit("號"))
-    letter = F.substring(F.lit("ABCDEFGH"), (k % 8 + 1).cast("int"), F.lit(1))
-    narrow = "".join(c for c in ASCII if c not in "'\\")
-    full = lambda c: F.when(F.expr(wide_sql()), F.translate(c, narrow, narrow.translate(_WIDE))).otherwise(c)
     return {
         "PERSON": person,
-        "ADDRESS": full(F.concat(place, F.when(hard & (k % 5 < 3), "").otherwise(street))),
-        "ORG": F.concat(_turn(lexicon.ORG_WORDS, k), _turn(lexicon.ORG_SUFFIXES, k)),
-        "DATE": full(F.concat(number(2024 + k % 3), F.lit("年"), F.lpad(number(k % 12 + 1), 2, "0"), F.lit("月"), F.lpad(number(k % 28 + 1), 2, "0"), F.lit("日"))),
-        "AMOUNT": full(F.concat(F.lit("NT$"), number(100 + k * 37 % 99900))),
-        "ORDER_NO": full(F.concat(letter, number(100000000 + k % 900000000))),
-        "PRODUCT_CODE": full(F.concat(F.lit("P"), number(1000 + k % 9000), F.lit("-"), letter)),
-        "NUMBER": full(number(k % 500 + 1)),
+        "ADDRESS": full(address),
+        "ORG": lambda k, tier: turn(lexicon.ORG_WORDS, k) + turn(lexicon.ORG_SUFFIXES, k),
+        "DATE": full(lambda k, tier: f"{2024 + k % 3}年{k % 12 + 1:02d}月{k % 28 + 1:02d}日"),
+        "AMOUNT": full(lambda k, tier: f"NT${100 + k * 37 % 99900}"),
+        "ORDER_NO": full(lambda k, tier: f"{'ABCDEFGH'[k % 8]}{100000000 + k % 900000000}"),
+        "PRODUCT_CODE": full(lambda k, tier: f"P{1000 + k % 9000}-{'ABCDEFGH'[k % 8]}"),
+        "NUMBER": full(lambda k, tier: str(k % 500 + 1)),
     }
 
 
+_KEYED_WIDE = str.maketrans({c: w for c, w in zip(ASCII, FULLWIDTH, strict=True) if c not in "'\\"})
+
+
+def _is_wide(k: int, tier: str) -> bool:
+    return (tier == "medium" and k % 5 >= 3) or (tier == "hard" and k % 5 >= 1) or (tier == "negative" and k % 10 < 3)
+
+
+def _is_bare(k: int, tier: str) -> bool:
+    return (tier == "medium" and k % 7 < 3) or (tier == "hard" and k % 7 < 6) or (tier == "negative" and k % 7 < 1)
+
+
+def keyed_row() -> Callable[[int], tuple]:
+    """A function from a key to (id, text, spans, tier, template id)."""
+    made = _plain_values()
+    parts = lambda template: [(lit, lit.translate(_BARE), slot, made.get(slot)) for lit, slot in pieces(template)]
+    of_tier = [(tier, [(t[0], parts(t[2])) for t in pool]) for tier, pool in pools().items()]
+
+    def row(k: int) -> tuple:
+        tier, pool = of_tier[k % 4]
+        name, filled = pool[k // 4 % len(pool)]
+        bare, text, spans = _is_bare(k, tier), "", []
+        for literal, stripped, slot, value in filled:
+            text += stripped if bare else literal
+            if slot is not None:
+                start = len(text)
+                text += value(k, tier)
+                if slot in LABELS:
+                    spans.append((start, len(text), slot))
+        return f"{tier}_{k}", text, spans, tier, name
+
+    return row
+
+
 def synthesize(keys: DataFrame, key: str) -> DataFrame:
     """Example rows (k, id, text, entities, tier, template_id) of non-negative integer keys, one each.
 
-    The templates are one literal, so that there is nothing to join and a row is made where its key is read.
+    A row is made by plain code where its key is read, with nothing to join. As column expressions, folds over the parts cost
+    about ten times as much, and a filter on the text would be pushed below them, to make each row twice.
     """
-    slots = list(slot_values(F.col("k"), F.col("tier")))
-    table = [{"id": name, "parts": [{"literal": lit, "slot": slot, "value": slots.index(slot) if slot else -1} for lit, slot in parts]} for _, _, name, parts in template_rows()]
-    templates = F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<struct<id:string,parts:array<struct<literal:string,slot:string,value:int>>>>")
-    sizes = [len(pool) for pool in pools().values()]
-    turn = (F.col("k") % 4).cast("int")
-    of = lambda numbers: F.get(F.array(*map(F.lit, numbers)), turn)
-    rows = keys.select(F.col(key).cast("long").alias("k")).withColumn("tier", F.get(F.array(*map(F.lit, TIERS)), turn))
-    at = of([sum(sizes[:i]) for i in range(len(sizes))]) + (F.floor(F.col("k") / 4) % of(sizes)).cast("int")
-    # bound by let(), as columns of their own would be put into the fold and computed for each part
-    given = F.struct(F.array(*slot_values(F.col("k"), F.col("tier")).values()).alias("values"), F.expr(strip_sql()).alias("bare"))
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def put(acc: Column, p: Column, row: Column) -> Column:
-        literal = F.when(row["bare"], strip_punctuation(p["literal"])).otherwise(p["literal"])
-        value = F.coalesce(F.get(row["values"], p["value"]), F.lit(""))
-        return let(F.struct(literal.alias("literal"), value.alias("value")), lambda x: _appended(acc, p, x))
-
-    rows = rows.withColumn("template", F.get(templates, at))
-    rows = rows.withColumn("made", let(given, lambda row: F.aggregate(F.col("template.parts"), zero, lambda acc, p: put(acc, p, row))))
-    return rows.select("k", F.concat("tier", F.lit("_"), F.col("k").cast("string")).alias("id"), F.col("made.text").alias("text"), F.col("made.spans").alias("entities"), "tier", F.col("template.id").alias("template_id"))
-
-
-def _appended(acc: Column, part: Column, filled: Column) -> Column:
-    start = acc["at"] + F.length(filled["literal"])
-    end = start + F.length(filled["value"])
-    span = F.struct(start.alias("start"), end.alias("end"), part["slot"].alias("label"))
-    spans = F.when(part["slot"].isin(*LABELS), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-    return F.struct(F.concat(acc["text"], filled["literal"], filled["value"]).alias("text"), end.alias("at"), spans.alias("spans"))
+
+    def run(batches):
+        row = keyed_row()
+        for b in batches:
+            found = [(None,) * 5 if k is None or k < 0 else row(k) for k in values_of(b.column(0))]
+            ids, texts, spans, tiers, names = zip(*found, strict=True) if found else [[]] * 5
+            columns = [pa.array(x, pa.string()) for x in (ids, texts, tiers, names)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns[:2], span_lists(list(spans)), *columns[2:]], names=["k", "id", "text", "entities", "tier", "template_id"])
+
+    return keys.select(F.col(key).cast("long").alias("k")).mapInArrow(run, KEYED)

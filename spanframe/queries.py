@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from spanframe import lexicon
 from spanframe.functions import spans as S
 from spanframe.functions import text as X
 from spanframe.functions import tokens as K
+from spanframe.functions.batches import list_array, offset_lists, values_of
 from spanframe.model import LABELS, SPANS, dimension
 from spanframe.operators import relational, responses, scoring
 from spanframe.operators import tokens as T
 from spanframe.plans import audit
-from spanframe.plans.generate import slot_sql, strip_sql, synthesize, template_rows
+from spanframe.plans.generate import KEYED, slot_sql, strip_sql, synthesize, template_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,10 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys of a task: what is made of a key costs far more than to move it, so tasks are many and short at any size.
+KEYS_A_TASK = 50_000
+
+
 def spread(keys: DataFrame) -> DataFrame:
-    """keys over all cores: what is made of a key costs far more than to move it. A scan of as many splits stays as it is."""
+    """keys dealt evenly over all cores and over so many tasks that each has few, however few and large the file's splits are."""
     cores = keys.sparkSession.sparkContext.defaultParallelism
-    return keys if keys.rdd.getNumPartitions() >= cores else keys.repartition(cores)
+    return keys.repartition(max(cores, -(-keys.count() // KEYS_A_TASK)))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,22 +409,37 @@ def entity_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covered.select("id", "s.start", "s.end", F.col("c.start").alias("first"), F.col("c.end").alias("last"))
 
 
+@lru_cache(1 << 12)
+def _borders(size: int) -> list[tuple[int, int]]:
+    n, at = 4 * (size // 10) + sum(size % 10 > x for x in (0, 1, 4, 6)), (0, 1, 4, 6)
+    return [(10 * (i // 4) + at[i % 4], min(10 * ((i + 1) // 4) + at[(i + 1) % 4], size)) for i in range(n)]
+
+
+@lru_cache(1 << 12)
+def _odd(n: int, third: bool, even: bool) -> list[tuple[int, str | None]]:
+    """Places of tokens that are something else than their text, None for a marked one."""
+    kind = lambda i: "[UNK]" if i % 7 == 3 or (i % 7 == 4 and third) else "☃" if i % 23 == 19 and even else "▁" if i % 13 == 12 else None if i % 5 == 1 else ""
+    return [(i, kind(i)) for i in range(n) if kind(i) != ""]
+
+
+def _cut(k: int, text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    truth = _borders(len(text))
+    tokens = [text[start:end] for start, end in truth]
+    for i, other in _odd(len(truth), k % 3 == 0, k % 2 == 0):
+        tokens[i] = "##" + tokens[i] if other is None else other
+    return tokens[:-1] if k % 17 == 0 else tokens, truth
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences cut into tokens of 1, 3, 2 and 4 characters in turn: some unknown, also side by side, some marked, some of no
     text or of one that isn't there, and every seventeenth row without its last token."""
-    k, size = F.col("k"), F.length("text")
-    starts = lambda i: 10 * F.floor(i / 4).cast("int") + F.get(F.array(*map(F.lit, (0, 1, 4, 6))), i % 4)
-    n = 4 * F.floor(size / 10).cast("int") + F.when(size % 10 > 6, 4).when(size % 10 > 4, 3).when(size % 10 > 1, 2).when(size % 10 > 0, 1).otherwise(0)
-
-    def token(i):
-        piece = F.substring("text", starts(i) + 1, starts(i + 1) - starts(i))
-        unknown = (i % 7 == 3) | ((i % 7 == 4) & (k % 3 == 0))
-        return F.when(unknown, "[UNK]").when((i % 23 == 19) & (k % 2 == 0), "☃").when(i % 13 == 12, "▁").when(i % 5 == 1, F.concat(F.lit("##"), piece)).otherwise(piece)
-
-    places = F.sequence(F.lit(0), n - 1)
-    truth = F.transform(places, lambda i: F.struct(starts(i).alias("start"), F.least(starts(i + 1), size).alias("end")))
-    rows = corpus(spark, sf_dir).where(size > 0).withColumns({"tokens": F.transform(places, token), "truth": truth})
-    return rows.withColumn("tokens", F.when(k % 17 == 0, F.slice("tokens", F.lit(1), F.size("tokens") - 1)).otherwise(F.col("tokens")))
+
+    def run(batches):
+        for b in batches:
+            tokens, truth = zip(*map(_cut, values_of(b.column("k")), values_of(b.column("text"))), strict=True) if b.num_rows else ([], [])
+            yield b.append_column("tokens", list_array(list(tokens), lambda flat: pa.array(flat, pa.string()))).append_column("truth", offset_lists(list(truth)))
+
+    return corpus(spark, sf_dir).where(F.length("text") > 0).mapInArrow(run, f"{KEYED}, tokens array<string>, truth {K.OFFSETS}")
 
 
 _WALK = f"""WITH RECURSIVE {corpus_sql()},
