@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanframe.functions.arrays import let
+from spanframe.functions.batches import list_array, lists_of, struct_array, tuples_of
+from spanframe.model import LABELS, RULES
 
 
 def exact_match(gold: Column, pred: Column) -> Column:
@@ -42,3 +45,47 @@ def _claimed(gold: Column, preds: Column, rule: str) -> Column:
 
 def of_label(spans: Column, label: Column | str) -> Column:
     return F.filter(spans, lambda s: s["label"] == label)
+
+
+COUNTS = "array<struct<rule:string,label:string,tp:int,fp:int,fn:int>>"
+_COUNTS = pa.struct([("rule", pa.string()), ("label", pa.string()), ("tp", pa.int32()), ("fp", pa.int32()), ("fn", pa.int32())])
+
+
+def label_counts(gold: Column, preds: Column, rules: tuple[str, ...] = RULES) -> Column:
+    """greedy_match() of each label's spans under each rule, over Arrow batches; one pass of a row serves all of them."""
+
+    @F.arrow_udf(COUNTS)
+    def run(golds: pa.Array, found: pa.Array) -> pa.Array:
+        rows = zip(lists_of(golds, tuples_of), lists_of(found, tuples_of), strict=True)
+        return list_array([_row_counts(g, p, rules) for g, p in rows], lambda flat: struct_array(flat, _COUNTS))
+
+    return run(gold, preds)
+
+
+def _row_counts(gold: list[tuple] | None, preds: list[tuple] | None, rules: tuple[str, ...]) -> list[tuple]:
+    out = []
+    for label in LABELS:
+        g = None if gold is None else [s for s in gold if s[2] == label]
+        p = None if preds is None else [s for s in preds if s[2] == label]
+        for rule in rules:
+            if g is None or p is None:
+                # a missing side has no count; neither has what would meet it
+                known = g == [] or p == []
+                out.append((rule, label, 0 if known else None, len(p) if known and p is not None else None, len(g) if known and g is not None else None))
+            elif not g or not p:
+                out.append((rule, label, 0, len(p), len(g)))
+            else:
+                tp = _matched(g, list(p), rule == "exact")
+                out.append((rule, label, tp, len(p) - tp, len(g) - tp))
+    return out
+
+
+def _matched(gold: list[tuple], left: list[tuple], exact: bool) -> int:
+    tp = 0
+    for start, end, _ in gold:
+        for i, (a, b, _) in enumerate(left):
+            if None not in (start, end, a, b) and ((start == a and end == b) if exact else (start < b and a < end)):
+                del left[i]
+                tp += 1
+                break
+    return tp

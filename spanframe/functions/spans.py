@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe import lexicon
 from spanframe.functions.arrays import let, running_sums
+from spanframe.functions.batches import span_lists, values_of
 from spanframe.functions.text import SPACE
 from spanframe.model import SPANS
 
@@ -69,10 +72,22 @@ def each_span(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("*", F.explode_outer(column).alias("s")).drop(column).where(F.col("s").isNotNull())
 
 
+def pattern_finder() -> Callable[[str], list[tuple[int, int, str]]]:
+    """A function of one text: the spans of the three lexicon patterns, sorted by start, end and label."""
+    patterns = (("PERSON", person_pattern()), ("ADDRESS", address_pattern(flags="")), ("ORG", org_pattern(flags="")))
+    found = [(label, re.compile(p).finditer) for label, p in patterns]
+    return lambda text: sorted([(*m.span(), label) for label, each in found for m in each(text)])
+
+
 def pattern_spans(text: Column) -> Column:
-    """The spans of the three lexicon patterns, sorted by start, end and label."""
-    patterns = (("PERSON", person_pattern()), ("ADDRESS", address_pattern()), ("ORG", org_pattern()))
-    return F.array_sort(F.concat(*[find_spans(text, p, label) for label, p in patterns]))
+    """pattern_finder() over Arrow batches, where a text costs about a twentieth of what marks and folds in the row do."""
+
+    @F.arrow_udf(SPANS)
+    def run(texts: pa.Array) -> pa.Array:
+        find = pattern_finder()
+        return span_lists([find(t) if t else [] for t in values_of(texts)])
+
+    return run(text)
 
 
 def locate_items(text: Column, items: Column, longest: int = 100) -> Column:

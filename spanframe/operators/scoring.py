@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.functions.match import greedy_match, of_label
+from spanframe.functions.match import label_counts
 from spanframe.functions.text import half_even
-from spanframe.model import LABELS, RULES, SCORED_TIERS, no_spans
+from spanframe.model import RULES, SCORED_TIERS, no_spans
 
 
 #: Systems that one plan compares; each needs the gold rows once.
@@ -35,9 +35,8 @@ def join_predictions(gold: DataFrame, predictions: DataFrame, systems: DataFrame
 
 def row_counts(joined: DataFrame) -> DataFrame:
     """(system, id, tier, rule, label, tp, fp, fn) for each of the labels; spans of other labels don't count."""
-    sides = F.array(*[F.struct(F.lit(x).alias("label"), of_label(F.col("gold"), x).alias("gold"), of_label(F.col("pred"), x).alias("pred")) for x in LABELS])
-    cells = F.transform(sides, lambda s: F.array(*[F.struct(F.lit(rule).alias("rule"), s["label"].alias("label"), greedy_match(s["gold"], s["pred"], rule).alias("c")) for rule in RULES]))
-    return joined.select("system", "id", "tier", F.explode(F.flatten(cells)).alias("x")).select("system", "id", "tier", "x.rule", "x.label", "x.c.tp", "x.c.fp", "x.c.fn")
+    cells = joined.select("system", "id", "tier", F.explode(label_counts(F.col("gold"), F.col("pred"))).alias("x"))
+    return cells.select("system", "id", "tier", "x.rule", "x.label", "x.tp", "x.fp", "x.fn")
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -57,9 +56,12 @@ def score_by_label(counts: DataFrame) -> DataFrame:
 def score_by_tier(counts: DataFrame) -> DataFrame:
     """(system, rule, tier, f1): micro scores of each scored tier, all of them also where a tier has no rows."""
     sums = [F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    have = counts.where(F.col("tier").isin(*SCORED_TIERS)).groupBy("system", "rule", "tier").agg(*sums)
-    every = counts.select("system").distinct().select("system", F.explode(F.array(*map(F.lit, RULES))).alias("rule")).select("*", F.explode(F.array(*map(F.lit, SCORED_TIERS))).alias("tier"))
-    return with_rates(every.join(have, ["system", "rule", "tier"], "left").fillna(0, ["tp", "fp", "fn"]))
+    # one pass over the counts: what a system lacks is filled from its few sums, not from its rows once more
+    have = counts.groupBy("system", "rule", "tier").agg(*sums)
+    own = F.when(F.col("tier").isin(*SCORED_TIERS), F.struct("rule", "tier", "tp", "fp", "fn"))
+    every = have.groupBy("system").agg(F.collect_list(own).alias("own")).select("*", F.explode(F.array(*map(F.lit, RULES))).alias("rule")).select("*", F.explode(F.array(*map(F.lit, SCORED_TIERS))).alias("tier"))
+    cell = every.withColumn("c", F.get(F.filter("own", lambda x: (x["rule"] == F.col("rule")) & (x["tier"] == F.col("tier"))), F.lit(0)))
+    return with_rates(cell.select("system", "rule", "tier", *[F.coalesce(f"c.{c}", F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]))
 
 
 def negatives(joined: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def negatives(joined: DataFrame) -> DataFrame:
 
 def false_per_1000(joined: DataFrame) -> DataFrame:
     """(system, fp, chars, false_per_1000): exact false positives of the labels over all tiers, per 1000 characters."""
-    fp = sum((greedy_match(of_label(F.col("gold"), x), of_label(F.col("pred"), x), "exact")["fp"] for x in LABELS[1:]), greedy_match(of_label(F.col("gold"), LABELS[0]), of_label(F.col("pred"), LABELS[0]), "exact")["fp"])
+    fp = F.aggregate(label_counts(F.col("gold"), F.col("pred"), ("exact",)), F.lit(0), lambda acc, c: acc + c["fp"])
     out = joined.select("system", F.length("text").alias("chars"), fp.alias("fp")).groupBy("system").agg(F.sum("fp").alias("fp"), F.sum("chars").alias("chars"))
     return out.withColumn("false_per_1000", half_even(F.coalesce(F.try_divide(1000 * F.col("fp"), "chars"), F.lit(0.0))))
 

@@ -8,7 +8,6 @@ time, which a plan over columns doesn't have: a system that can answer for one s
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe import lexicon
-from spanframe.functions.spans import address_pattern, map_labels, org_pattern, pattern_spans, person_pattern
+from spanframe.functions.spans import map_labels, pattern_finder, pattern_spans
 from spanframe.model import CALLS, LABELS, RESULT, SPANS, no_spans
 from spanframe.operators.responses import bytes_sent, few_shot_messages, located_responses
 from spanframe.sources.files import exists, optional_json, predictions
@@ -84,12 +83,6 @@ class System:
         return rows.select(F.col("ord").cast("long").alias("ord"), "text").mapInPandas(run, CALLS)
 
 
-def _matcher() -> Callable[[str], Spans]:
-    patterns = [("PERSON", person_pattern()), ("ADDRESS", address_pattern(flags="")), ("ORG", org_pattern(flags=""))]
-    found = [(label, re.compile(p).finditer) for label, p in patterns]
-    return lambda text: sorted((m.start(), m.end(), label) for label, each in found for m in each(text))
-
-
 class PatternSystem(System):
     """The lexicon patterns: a lower bound without any model."""
 
@@ -103,7 +96,7 @@ class PatternSystem(System):
         return F.when(F.length(text) > 0, pattern_spans(text)).otherwise(no_spans())
 
     def one(self) -> Callable[[], Callable[[str], Spans]]:
-        return _matcher
+        return pattern_finder
 
 
 class ReplaySystem(System):

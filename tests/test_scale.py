@@ -22,3 +22,17 @@ def test_tasks_grow_in_number_not_in_length(spark):
 @pytest.mark.parametrize("name", ["rebuilt_mismatches", "rebuilt_accuracy"])
 def test_offsets_are_rebuilt_without_a_fold_of_columns(spark, name):
     assert "locate(" not in plan(spark, name) and "concat(" not in plan(spark, name)
+
+
+def test_tiers_are_filled_from_sums_and_not_from_the_rows_once_more(spark):
+    assert plan(spark, "score_tiers").count("Relation [") == 1
+
+
+@pytest.mark.parametrize("name", ["overlap_check"])
+def test_a_pattern_is_no_fold_of_columns(spark, name):
+    assert "regexp_replace(" not in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["score_labels"])
+def test_spans_are_matched_without_folds_of_columns(spark, name):
+    assert "array_position(" not in plan(spark, name)
