@@ -36,3 +36,8 @@ def test_a_pattern_is_no_fold_of_columns(spark, name):
 @pytest.mark.parametrize("name", ["score_labels"])
 def test_spans_are_matched_without_folds_of_columns(spark, name):
     assert "array_position(" not in plan(spark, name)
+
+
+def test_a_form_is_checked_in_its_row(spark):
+    found = plan(spark, "audit_forms")
+    assert "Join" not in found and "Window" not in found and "Aggregate" not in found
