@@ -28,12 +28,12 @@ def test_tiers_are_filled_from_sums_and_not_from_the_rows_once_more(spark):
     assert plan(spark, "score_tiers").count("Relation [") == 1
 
 
-@pytest.mark.parametrize("name", ["overlap_check"])
+@pytest.mark.parametrize("name", ["overlap_check", "regex_spans", "span_counts_by_label"])
 def test_a_pattern_is_no_fold_of_columns(spark, name):
     assert "regexp_replace(" not in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["score_labels"])
+@pytest.mark.parametrize("name", ["score_labels", "false_entities_per_1000", "system_scores"])
 def test_spans_are_matched_without_folds_of_columns(spark, name):
     assert "array_position(" not in plan(spark, name)
 
@@ -41,3 +41,9 @@ def test_spans_are_matched_without_folds_of_columns(spark, name):
 def test_a_form_is_checked_in_its_row(spark):
     found = plan(spark, "audit_forms")
     assert "Join" not in found and "Window" not in found and "Aggregate" not in found
+
+
+@pytest.mark.parametrize("name", ["locate_spans", "token_masks"])
+def test_a_filter_or_lambda_makes_no_sentence_again(spark, name):
+    found = plan(spark, name)
+    assert found.count("MapInArrow") == 1 and "您好，我是" not in found
