@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,4 +58,12 @@ def span_lists(rows: list[list | None]) -> pa.ListArray:
 
 
 def offset_lists(rows: list[list | None]) -> pa.ListArray:
-    return list_array(rows, lambda flat: struct_array(flat, OFFSET_TYPE))
+    return list_array(rows, _offsets)
+
+
+def _offsets(flat: list[tuple[int, int] | None]) -> pa.StructArray:
+    # numbers in one pass, which costs about a tenth of columns of tuples
+    missing = np.fromiter((x is None for x in flat), bool, len(flat)) if None in flat else None
+    own = flat if missing is None else [(0, 0) if x is None else x for x in flat]
+    start, end = np.fromiter(chain.from_iterable(own), np.int32, 2 * len(own)).reshape(-1, 2).T.copy()
+    return pa.StructArray.from_arrays([pa.array(start, mask=missing), pa.array(end, mask=missing)], fields=list(OFFSET_TYPE), mask=None if missing is None else pa.array(missing))

@@ -1,9 +1,13 @@
 """What keeps tasks short and rows made once, by the plans of the queries."""
 
+import random
+
 import compare
+import pyarrow as pa
 import pytest
 
 from spanframe import queries as own
+from spanframe.operators import tokens
 
 SF = f"{compare.DATA}/sf0.001"
 
@@ -47,3 +51,41 @@ def test_a_form_is_checked_in_its_row(spark):
 def test_a_filter_or_lambda_makes_no_sentence_again(spark, name):
     found = plan(spark, name)
     assert found.count("MapInArrow") == 1 and "您好，我是" not in found
+
+
+def test_rebuilt_offsets_are_counted_without_lambdas(spark):
+    found = plan(spark, "rebuilt_accuracy")
+    assert "lambdafunction(" not in found and found.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 22])
+def test_rebuilt_counts_agree_with_plain_code(monkeypatch, pairs):
+    rng = random.Random(5)
+    number = lambda: rng.choice([None, *range(6), *range(6)])
+    struct = lambda: None if rng.random() < 0.1 else {"start": number(), "end": number()}
+    lists = lambda n: [struct() for _ in range(n)]
+    sizes = [rng.choice([0, 1, 2, 5, 9]) for _ in range(400)]
+    truth = [lists(n) for n in sizes]
+    rebuilt = [[rng.choice([t, t, struct()]) for t in row] for row in truth]
+    entities = [None if rng.random() < 0.1 else lists(rng.randrange(4)) for _ in sizes]
+    under = lambda a, b: a is not None and b is not None and a < b
+    expected = []
+    for r, t, es in zip(rebuilt, truth, entities, strict=True):
+        hits = [[i for i, o in enumerate(t) if o and e and under(o["start"], e["end"]) and under(e["start"], o["end"])] for e in es or []]
+        edge = lambda i, c: r[i] and r[i][c]  # noqa: B023, E731
+        right = [bool(h) and e["start"] is not None and edge(h[0], "start") == e["start"] and edge(h[-1], "end") == e["end"] for h, e in zip(hits, es or [], strict=True)]
+        known = es is not None or not t
+        expected.append((len(t), sum(a == b for a, b in zip(r, t, strict=True)), sum(map(bool, hits)) if known else None, sum(right) if known else None))
+    monkeypatch.setattr(tokens, "PAIRS", pairs)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    counts, unknown = tokens._right_counts(*(pa.array(x, kind) for x in (rebuilt, truth, entities)))
+    found = [(a, b, None if u else c, None if u else d) for a, b, c, d, u in zip(*map(list, counts), list(unknown), strict=True)]
+    assert found == expected
+
+
+def test_uneven_rows_are_left_out_of_rebuilt_accuracy(spark):
+    kind = "array<struct<start:int,end:int>>"
+    one, two = [(0, 1)], [(0, 1), (1, 2)]
+    rows = [("a", two, two, [(0, 2)]), ("a", one, two, [(0, 2)]), ("a", None, two, []), ("a", [None, (1, 3)], [None, (1, 2)], None), ("b", one, two, [(0, 1)])]
+    found = tokens.rebuilt_accuracy(spark.createDataFrame(rows, f"tokenizer string, rebuilt {kind}, truth {kind}, entities {kind}"))
+    assert sorted(map(tuple, found.collect())) == [("a", 4, 1, 4, 3, 1, 1, 0.75, 1.0), ("b", 1, 1, None, None, None, None, None, None)]
