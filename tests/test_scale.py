@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from spanframe import queries as own
+from spanframe.functions import spans
 from spanframe.operators import tokens
 
 SF = f"{compare.DATA}/sf0.001"
@@ -89,3 +90,9 @@ def test_uneven_rows_are_left_out_of_rebuilt_accuracy(spark):
     rows = [("a", two, two, [(0, 2)]), ("a", one, two, [(0, 2)]), ("a", None, two, []), ("a", [None, (1, 3)], [None, (1, 2)], None), ("b", one, two, [(0, 1)])]
     found = tokens.rebuilt_accuracy(spark.createDataFrame(rows, f"tokenizer string, rebuilt {kind}, truth {kind}, entities {kind}"))
     assert sorted(map(tuple, found.collect())) == [("a", 4, 1, 4, 3, 1, 1, 0.75, 1.0), ("b", 1, 1, None, None, None, None, None, None)]
+
+
+
+def test_organizations_are_looked_for_only_where_a_suffix_is(monkeypatch):
+    monkeypatch.setattr(spans, "org_pattern", lambda **_: "x")
+    assert spans.pattern_finder()("x") == [] and spans.pattern_finder()("x銀行") == [(0, 1, "ORG")]
