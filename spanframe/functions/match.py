@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +58,51 @@ def label_counts(gold: Column, preds: Column, rules: tuple[str, ...] = RULES) ->
 
     @F.arrow_udf(COUNTS)
     def run(golds: pa.Array, found: pa.Array) -> pa.Array:
-        rows = zip(lists_of(golds, tuples_of), lists_of(found, tuples_of), strict=True)
-        return list_array([_row_counts(g, p, rules) for g, p in rows], lambda flat: struct_array(flat, _COUNTS))
+        return _batch_counts(golds, found, rules)
 
     return run(gold, preds)
 
 
+def _batch_counts(golds: pa.ListArray, found: pa.ListArray, rules: tuple[str, ...]) -> pa.ListArray:
+    """label_counts() of a batch: what a label has once on either side is compared as whole columns, the rest span by span."""
+    if not (_whole(golds) and _whole(found)):
+        rows = zip(lists_of(golds, tuples_of), lists_of(found, tuples_of), strict=True)
+        return list_array([_row_counts(g, p, rules) for g, p in rows], lambda flat: struct_array(flat, _COUNTS))
+    rows, kinds = len(golds), len(LABELS) * len(rules)
+    (n_gold, first_gold, gold), (n_pred, first_pred, pred) = (_by_label(x) for x in (golds, found))
+    met = (n_gold > 0) & (n_pred > 0)
+    once = np.flatnonzero(met & (n_gold == 1) & (n_pred == 1))
+    (start, end), (a, b) = gold[:, first_gold[once]], pred[:, first_pred[once]]
+    tp = np.zeros((len(n_gold), len(rules)), np.int32)
+    for at, rule in enumerate(rules):
+        tp[once, at] = (start == a) & (end == b) if rule == "exact" else (start < b) & (a < end)
+    met[once] = False
+    for cell in np.flatnonzero(met).tolist():
+        mine, theirs = ([(*x, None) for x in s[:, f[cell] : f[cell] + n[cell]].T.tolist()] for s, f, n in ((gold, first_gold, n_gold), (pred, first_pred, n_pred)))
+        for at, rule in enumerate(rules):
+            tp[cell, at] = _matched(mine, list(theirs), rule == "exact")
+    repeated = lambda names: pa.array(names, pa.string()).take(pa.array(np.tile(np.arange(kinds), rows)))
+    counts = [tp.ravel(), (n_pred[:, None] - tp).ravel(), (n_gold[:, None] - tp).ravel()]
+    columns = [repeated(list(rules) * len(LABELS)), repeated([x for x in LABELS for _ in rules]), *[pa.array(c, pa.int32()) for c in counts]]
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * kinds), pa.StructArray.from_arrays(columns, fields=list(_COUNTS)))
+
+
+def _whole(lists: pa.ListArray) -> bool:
+    """Whether nothing is null in any row."""
+    return lists.null_count == 0 and (flat := lists.flatten()).null_count == 0 and all(c.null_count == 0 for c in flat.flatten())
+
+
+def _by_label(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each label of each row how many spans it has and the place of the first; starts and ends, in order, in these places."""
+    flat = lists.flatten()
+    label = pc.fill_null(pc.index_in(flat.field("label"), pa.array(LABELS)), -1).to_numpy()
+    cell = pc.list_parent_indices(lists).to_numpy() * len(LABELS) + label
+    known = np.flatnonzero(label >= 0)
+    order = known[np.argsort(cell[known], kind="stable")]
+    n = np.bincount(cell[known], minlength=len(lists) * len(LABELS)).astype(np.int32)
+    return n, np.cumsum(n) - n, np.stack([flat.field(c).to_numpy()[order] for c in ("start", "end")])
+
+
 def _row_counts(gold: list[tuple] | None, preds: list[tuple] | None, rules: tuple[str, ...]) -> list[tuple]:
     out = []
     for label in LABELS:

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from spanframe import queries as own
-from spanframe.functions import spans
+from spanframe.functions import match, spans
+from spanframe.functions.batches import span_lists
 from spanframe.operators import tokens
 
 SF = f"{compare.DATA}/sf0.001"
@@ -96,3 +97,22 @@ def test_uneven_rows_are_left_out_of_rebuilt_accuracy(spark):
 def test_organizations_are_looked_for_only_where_a_suffix_is(monkeypatch):
     monkeypatch.setattr(spans, "org_pattern", lambda **_: "x")
     assert spans.pattern_finder()("x") == [] and spans.pattern_finder()("x銀行") == [(0, 1, "ORG")]
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+@pytest.mark.parametrize("rules", [("exact", "overlap"), ("exact",)])
+def test_counts_of_batches_agree_with_those_of_rows(nulls, rules):
+    rng = random.Random(7)
+    number = lambda: None if nulls and rng.random() < 0.1 else rng.randrange(5)
+    label = lambda: rng.choice(["PERSON", "PERSON", "ADDRESS", "ORG", "OTHER", None if nulls else ""])
+    side = lambda: [None if nulls and rng.random() < 0.1 else [(number(), number(), label()) for _ in range(rng.choice([0, 1, 1, 2, 3, 6]))] for _ in range(500)]
+    gold, found = side(), side()
+    names = [f.name for f in match._COUNTS]
+    expected = [[dict(zip(names, x, strict=True)) for x in match._row_counts(g, p, rules)] for g, p in zip(gold, found, strict=True)]
+    assert match._batch_counts(span_lists(gold), span_lists(found), rules).to_pylist() == expected
+
+
+def test_plain_batches_are_not_counted_row_by_row(monkeypatch):
+    monkeypatch.delattr(match, "_row_counts")
+    rows = span_lists([[(0, 2, "ORG"), (3, 5, "PERSON")], []])
+    assert [[(c["label"], c["tp"], c["fp"], c["fn"]) for c in r if c["tp"]] for r in match._batch_counts(rows, rows, ("exact",)).to_pylist()] == [[("PERSON", 1, 0, 0), ("ORG", 1, 0, 0)], []]
