@@ -21,7 +21,8 @@ MOST_SYSTEMS = 1000
 def join_predictions(gold: DataFrame, predictions: DataFrame, systems: DataFrame | None = None) -> DataFrame:
     """(system, id, text, tier, gold, pred): every gold row for every system, a missing prediction as no spans.
 
-    The systems are a dimension whose size is checked: more than MOST_SYSTEMS are an error.
+    The systems are a dimension whose size is checked: more than MOST_SYSTEMS are an error. Predictions grow with the rows
+    and are merged, never broadcast: of rows made from keys Spark's estimate is that of the keys, however much is made of them.
     """
     systems = (systems if systems is not None else predictions).select("system").distinct()
     names = [r.system for r in systems.limit(MOST_SYSTEMS + 1).collect()]
@@ -30,7 +31,7 @@ def join_predictions(gold: DataFrame, predictions: DataFrame, systems: DataFrame
     each = F.explode(F.array(*[F.lit(x) for x in sorted(names)]).cast("array<string>"))
     wanted = gold.select(each.alias("system"), "id", "text", "tier", F.col("spans").alias("gold"))
     found = predictions.select("system", "id", F.col("spans").alias("pred"))
-    return wanted.join(found, ["system", "id"], "left").withColumn("pred", F.coalesce("pred", no_spans()))
+    return wanted.join(found.hint("merge"), ["system", "id"], "left").withColumn("pred", F.coalesce("pred", no_spans()))
 
 
 def row_counts(joined: DataFrame) -> DataFrame:

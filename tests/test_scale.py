@@ -93,6 +93,13 @@ def test_uneven_rows_are_left_out_of_rebuilt_accuracy(spark):
     assert sorted(map(tuple, found.collect())) == [("a", 4, 1, 4, 3, 1, 1, 0.75, 1.0), ("b", 1, 1, None, None, None, None, None, None)]
 
 
+@pytest.mark.parametrize("name", ["system_scores", "system_negatives"])
+def test_predictions_are_made_in_one_pass_and_never_broadcast(spark, name):
+    found = own.QUERIES[name](spark, SF)._jdf.queryExecution()
+    # the scan of the names of systems, which system_negatives is not given, is a job of its own
+    assert found.optimizedPlan().toString().count("MapInArrow") == 2
+    assert "Broadcast" not in found.executedPlan().toString() and "SortMergeJoin" in found.executedPlan().toString()
+
 
 def test_organizations_are_looked_for_only_where_a_suffix_is(monkeypatch):
     monkeypatch.setattr(spans, "org_pattern", lambda **_: "x")
