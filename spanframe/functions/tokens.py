@@ -3,29 +3,74 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import zip_longest
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanframe.functions.batches import lists_of, offset_lists, values_of
+from spanframe.functions.batches import list_array, lists_of, offset_lists, values_of
 
 OFFSETS = "array<struct<start:int,end:int>>"
 
 
 def content_tokens(tokens: Column, special_mask: Column) -> Column:
-    """Tokens that the mask of special tokens leaves."""
-    pairs = F.zip_with(tokens, special_mask, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
-    return F.transform(F.filter(pairs, lambda p: p["m"] == 0), lambda p: p["t"])
+    """Tokens that the mask of special tokens leaves, over Arrow batches."""
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array, masks: pa.Array) -> pa.Array:
+        return _content(lists, masks)
+
+    return run(tokens, special_mask)
 
 
 def unknown_spans(text: Column, tokens: Column, offsets: Column, unknown: Column | str) -> Column:
-    """array<struct<start,end,text>> of the tokens that are the unknown token; offsets are [start, end] arrays."""
-    pairs = F.filter(F.zip_with(tokens, offsets, lambda t, o: F.struct(t.alias("t"), o.alias("o"))), lambda p: p["t"] == unknown)
-    cut = lambda p: F.substring(text, p["o"][0] + 1, p["o"][1] - p["o"][0])
-    return F.transform(pairs, lambda p: F.struct(p["o"][0].alias("start"), p["o"][1].alias("end"), cut(p).alias("text")))
+    """array<struct<start,end,text>> of the tokens that are the unknown token; offsets are [start, end] arrays.
+
+    The offsets are picked over Arrow batches; lambdas see only those of unknown tokens.
+    """
+
+    @F.arrow_udf("array<array<int>>")
+    def run(lists: pa.Array, places: pa.Array, other: pa.Array) -> pa.Array:
+        return _unknown(lists, places, other)
+
+    cut = lambda o: F.substring(text, o[0] + 1, o[1] - o[0])
+    picked = run(tokens, offsets, F.lit(unknown) if isinstance(unknown, str) else unknown)
+    return F.transform(picked, lambda o: F.struct(o[0].alias("start"), o[1].alias("end"), cut(o).alias("text")))
+
+
+def _content(lists: pa.ListArray, masks: pa.ListArray) -> pa.ListArray:
+    if _even(lists, masks):
+        return _picked(lists, lists, pc.equal(masks.flatten(), 0))
+    pairs = zip(lists_of(lists), lists_of(masks), strict=True)
+    rows = [None if t is None or m is None else [x for x, y in zip_longest(t, m) if y == 0] for t, m in pairs]
+    return list_array(rows, lambda flat: pa.array(flat, pa.string()))
+
+
+def _unknown(lists: pa.ListArray, places: pa.ListArray, other: pa.Array) -> pa.ListArray:
+    kind = pa.list_(pa.int32())
+    if _even(lists, places):
+        return _picked(lists, places, pc.equal(lists.flatten(), other.take(pc.list_parent_indices(lists)))).cast(pa.list_(kind))
+    rows = zip(lists_of(lists), lists_of(places, pa.Array.to_pylist), values_of(other), strict=True)
+    found = [None if t is None or o is None else [y for x, y in zip_longest(t, o) if x is not None and x == u] for t, o, u in rows]
+    return list_array(found, lambda flat: pa.array(flat, kind))
+
+
+def _even(a: pa.ListArray, b: pa.ListArray) -> bool:
+    """Whether the lists of each row are as long as each other, and none is null."""
+    return a.null_count == 0 and b.null_count == 0 and pc.all(pc.equal(pc.list_value_length(a), pc.list_value_length(b)), min_count=0).as_py()
+
+
+def _picked(like: pa.ListArray, lists: pa.ListArray, chosen: pa.Array) -> pa.ListArray:
+    """The chosen values of lists that are as long as others."""
+    keep = pc.fill_null(chosen, False)
+    ends = np.cumsum(pc.list_value_length(like).to_numpy(), dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(before[np.concatenate([[0], ends])], pa.int32()), lists.flatten().filter(keep))
 
 
 def rebuild_offsets(text: Column, tokens: Column, unknown: tuple[str, ...] = ("[UNK]", "<unk>")) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -485,21 +487,28 @@ def rebuilt_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each character a token, every seventh of them unknown."""
-    places = F.sequence(F.lit(1), F.length("text"))
-    chars = F.transform(places, lambda i: F.when(i % 7 == 0, F.lit("[UNK]")).otherwise(F.substring("text", i, F.lit(1))))
-    truth = F.transform(places, lambda i: F.struct((i - 1).alias("start"), i.alias("end")))
-    return corpus(spark, sf_dir).where(F.length("text") > 0).withColumns({"tokens": chars, "truth": truth})
+    """Each character a token, every seventh of them unknown and every fifth special."""
+
+    @F.arrow_udf("tokens array<string>, offsets array<array<int>>, mask array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        own = values_of(texts)
+        cuts = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        place = np.arange(cuts[-1], dtype=np.int32) - np.repeat(cuts[:-1], np.diff(cuts))
+        chars = pc.if_else(pa.array(place % 7 == 6), "[UNK]", pa.array(list("".join(own)), pa.string()))
+        pairs = pa.ListArray.from_arrays(pa.array(2 * np.arange(len(place) + 1, dtype=np.int32)), pa.array(np.stack([place, place + 1], 1).ravel()))
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (chars, pairs, pa.array((place % 5 == 4).astype(np.int32)))]
+        return pa.StructArray.from_arrays(lists, names=["tokens", "offsets", "mask"])
+
+    rows = corpus(spark, sf_dir).where(F.length("text") > 0).select("id", "text", run("text").alias("c"))
+    return rows.select("id", "text", "c.tokens", "c.offsets", "c.mask")
 
 
 @query(f"""WITH {corpus_sql()}, p AS (SELECT id, unnest(range(1, length(text) + 1)) AS i, text FROM zh)
   SELECT id, count(*) FILTER (i % 7 = 0)::INT AS n_unknown, count(*) FILTER (i % 5 <> 0)::INT AS n_content FROM p GROUP BY id""")
 def token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _characters(spark, sf_dir)
-    offsets = F.transform("truth", lambda o: F.array(o["start"], o["end"]))
-    mask = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: (i % 5 == 0).cast("int"))
-    unknown = K.unknown_spans(F.col("text"), F.col("tokens"), offsets, "[UNK]")
-    return rows.select("id", F.size(unknown).alias("n_unknown"), F.size(K.content_tokens(F.col("tokens"), mask)).alias("n_content"))
+    unknown = K.unknown_spans(F.col("text"), F.col("tokens"), F.col("offsets"), "[UNK]")
+    return rows.select("id", F.size(unknown).alias("n_unknown"), F.size(K.content_tokens(F.col("tokens"), F.col("mask"))).alias("n_content"))
 
 
 @query(f"""WITH q AS (SELECT lang, coalesce(regexp_matches(text, 'stupid|trash|scum'), false) AS pred, toxic = 1 AS gold FROM labels JOIN documents USING (doc_id)),

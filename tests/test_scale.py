@@ -5,9 +5,11 @@ import random
 import compare
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanframe import queries as own
 from spanframe.functions import match, spans
+from spanframe.functions import tokens as K
 from spanframe.functions.batches import span_lists
 from spanframe.operators import tokens
 
@@ -123,3 +125,28 @@ def test_plain_batches_are_not_counted_row_by_row(monkeypatch):
     monkeypatch.delattr(match, "_row_counts")
     rows = span_lists([[(0, 2, "ORG"), (3, 5, "PERSON")], []])
     assert [[(c["label"], c["tp"], c["fp"], c["fn"]) for c in r if c["tp"]] for r in match._batch_counts(rows, rows, ("exact",)).to_pylist()] == [[("PERSON", 1, 0, 0), ("ORG", 1, 0, 0)], []]
+
+
+def test_masks_are_applied_without_a_lambda_a_token(spark):
+    found = plan(spark, "token_masks")
+    assert "zip_with(" not in found and "sequence(" not in found and "filter(" not in found
+
+
+def test_masks_and_unknown_tokens_of_odd_rows(spark):
+    rows = [
+        (["a", "[UNK]", "b"], [[0, 1], [1, 3], [3, 4]], [0, 0, 1]),
+        (["[UNK]"], [[0, 2]], [0]),
+        ([], [], []),
+        (["a", None, "[UNK]"], [[0, 1], None, None], [0, 0, None]),
+        (["[UNK]", "[UNK]"], [[0, 1]], [0]),
+        (["a"], [[0, 1], [1, 2]], [0, 0, 1]),
+        (None, [], [0]),
+        (["a"], None, None),
+    ]
+    kind = "tokens array<string>, offsets array<array<int>>, mask array<int>, i int"
+    for parts in (rows[:3], rows):
+        df = spark.createDataFrame([(*r, i) for i, r in enumerate(parts)], kind).coalesce(1)
+        one = df.select("i", K.content_tokens(F.col("tokens"), F.col("mask")).alias("c"), K.unknown_spans(F.lit("wxyz"), F.col("tokens"), F.col("offsets"), "[UNK]").alias("u"))
+        found = [(r.c, r.u and [tuple(x) for x in r.u]) for r in one.orderBy("i").collect()]
+        expected = [(["a", "[UNK]"], [(1, 3, "xy")]), (["[UNK]"], [(0, 2, "wx")]), ([], []), (["a", None], [(None, None, None)]), (["[UNK]"], [(0, 1, "w"), (None, None, None)]), (["a", None], []), (None, None), (None, None)]
+        assert found == expected[: len(parts)]
